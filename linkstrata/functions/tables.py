@@ -103,7 +103,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of a plan (file sizes and column pruning included)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", spread_by: str = "id") -> DataFrame:

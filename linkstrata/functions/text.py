@@ -113,7 +113,10 @@ def nfkc(c: Column) -> Column:
 
 
 def tree_label(c: Column) -> Column:
-    """Taxonomy label for the tree: NFKC, single spaces, no level suffix."""
+    """Taxonomy label for the tree: NFKC, single spaces, no level suffix.
+
+    Project it before using it inside a higher-order function (it holds an Arrow UDF).
+    """
     no_suffix = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*[Ⅰ-Ⅹ]+\s*$", "")
     cleaned = F.regexp_replace(F.trim(nfkc(no_suffix)), r"\s+", " ")
     return F.trim(F.regexp_replace(cleaned, r"(?<=[㐀-鿿])\s*[IVX]{1,4}\s*$", ""))
@@ -150,17 +153,11 @@ def plain_text(*parts: Column) -> Column:
 
 
 def grams(text: Column) -> Column:
-    """Set of character 2- and 3-grams."""
-    n = F.length(text)
-    empty = F.array().cast("array<string>")
-
-    def of(size: int) -> Column:
-        return F.when(
-            n >= size,
-            F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size))),
-        ).otherwise(empty)
-
-    return F.array_distinct(F.concat(of(2), of(3)))
+    """Set of character 2- and 3-grams, linear in the text (characters are split once)."""
+    chars = F.filter(F.split(text, ""), lambda ch: ch != "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars), F.lit(0))), lambda a, b: F.concat(a, b))
+    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), F.greatest(F.size(chars), F.lit(0))), lambda p, c: F.concat(p, c))
+    return F.array_distinct(F.filter(F.concat(pairs, triples), lambda g: g.isNotNull()))
 
 
 def pair_id(a: Column, b: Column) -> Column:

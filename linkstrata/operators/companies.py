@@ -52,11 +52,22 @@ def taxonomy_catalog(companies: DataFrame) -> DataFrame:
     return taxonomy_values(companies).groupBy("column", "value").agg(F.count(F.lit(1)).alias("company_count"))
 
 
+def with_tree_path(companies: DataFrame, *keep: str) -> DataFrame:
+    """Kept columns and ``path``: the folded taxonomy path as an array.
+
+    All labels of a row go through one Arrow batch.
+    """
+    labels = {c: "_label_" + c for c in K.TAXONOMY_COLUMNS}
+    named = companies.select(*keep, *[X.tree_label(F.col(c)).alias(n) for c, n in labels.items()])
+    levels = [F.col(labels[c]) for c in K.TAXONOMY_LEVEL_COLUMNS]
+    return named.select(*keep, X.tree_path(levels, F.col(labels["indunamesw"])).alias("path"))
+
+
 def taxonomy_paths(companies: DataFrame) -> DataFrame:
     """One row per folded taxonomy path with counts, raw leaf names and raw paths."""
     raw_levels = F.array(*[F.trim(F.coalesce(c, F.lit(""))) for c in K.TAXONOMY_LEVEL_COLUMNS])
-    labelled = companies.select(
-        X.tree_path([X.tree_label(F.col(c)) for c in K.TAXONOMY_LEVEL_COLUMNS], X.tree_label(F.col("indunamesw"))).alias("path"),
+    labelled = with_tree_path(companies, *K.TAXONOMY_COLUMNS).select(
+        "path",
         F.array_join(F.filter(raw_levels, lambda x: x != ""), " > ").alias("raw_path"),
         F.filter(F.array(F.trim(F.coalesce("indunamesw3", F.lit(""))), F.trim(F.coalesce("indunamesw", F.lit("")))), lambda x: x != "").alias("leaves"),
     ).filter(F.size("path") > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import first_by, last_by, lookup
+from linkstrata.functions.tables import checkpointed, first_by, last_by, lookup
 
 KEY = "industry_id"
 NODE_OUT = (
@@ -233,10 +233,13 @@ def remove_singleton_leaves(nodes: DataFrame, edges: DataFrame) -> tuple[DataFra
 def standardize_graph(
     graphs: DataFrame, nodes: DataFrame, edges: DataFrame, as_of: str, collapse: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all graphs in standard form. ``as_of`` replaces "now"."""
+    """Nodes and edges of all graphs in standard form. ``as_of`` replaces "now".
+
+    The filled nodes and the full edge set are read several times below, so each is cut once.
+    """
     defaults = graph_defaults(graphs, as_of)
-    std = fill_parents(standardize_nodes(nodes, defaults), edges)
-    out = standardize_edges(legal_edge_keys(std), edges, std, defaults)
+    std = checkpointed(fill_parents(standardize_nodes(nodes, defaults), edges))
+    out = checkpointed(standardize_edges(legal_edge_keys(std), edges, std, defaults))
     if not collapse:
         return std, out
     std, out, _ = remove_singleton_leaves(std, out)

@@ -50,9 +50,9 @@ def write_store(df: DataFrame, path: str) -> None:
 
 
 # --- manifest ---------------------------------------------------------------------------
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries (or JSON lines) with ``id`` as industry id."""
-    raw = spark.read.schema(S.MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of entries, or JSON lines; ``id`` becomes the industry id."""
+    raw = spark.read.schema(S.MANIFEST).option("multiLine", not lines).json(path)
     return raw.withColumnRenamed("id", KEY)
 
 
