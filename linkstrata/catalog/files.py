@@ -39,11 +39,6 @@ def _(g):
     return FI.read_json_lines(g.spark, path, S.EVIDENCE).select("evidence_id", "url", "content_hash")
 
 
-@query("s04_missing_json_lines", "SELECT '' AS evidence_id, '' AS url WHERE false")
-def _(g):
-    return FI.read_json_lines(g.spark, g.fresh_path("nothing"), S.EVIDENCE).select("evidence_id", "url")
-
-
 _MASTER = ("master", """SELECT trim(comcode) AS comcode, trim(chiname) AS name, trim(chinameabbr) AS short_name,
 CASE WHEN trim(islisted) = '' THEN NULL ELSE lower(trim(islisted)) IN ('1', 'true', 'yes', 'y') END AS is_listed,
 CASE WHEN trim(isabroadlisted) = '' THEN NULL ELSE lower(trim(isabroadlisted)) IN ('1', 'true', 'yes', 'y') END AS is_abroad_listed,

@@ -46,21 +46,30 @@ def node_rows(nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: s
     )
 
 
+def _coded(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(industry_id, id, name, did): delivery ids are computed once per node, not per row that names it."""
+    code = lookup(nodes.select(KEY, "id", "name"), metadata.select(KEY, "code"), [KEY], "inner")
+    return code.select(KEY, "id", "name", X.delivery_id(F.col("id"), F.col(KEY), F.col("code")).alias("did"))
+
+
 def edge_rows(edges: DataFrame, nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
     """Start is the edge's target, end its source. ``edges`` is ordered by ``pos`` (main first, then overlays)."""
     c = F.col
-    name = nodes.select(KEY, "id", "name")
+    ids = nodes.select(KEY, "id")
     known = (
         edges.withColumn("_key", X.or_default(c("id"), F.concat("source", F.lit("->"), "target")))
-        .join(name.select(KEY, c("id").alias("source"), c("name").alias("_sn")), [KEY, "source"])
-        .join(name.select(KEY, c("id").alias("target"), c("name").alias("_tn")), [KEY, "target"])
+        .join(ids.withColumnRenamed("id", "source"), [KEY, "source"], "left_semi")
+        .join(ids.withColumnRenamed("id", "target"), [KEY, "target"], "left_semi")
     )
     rows = first_by(
-        known.select(KEY, "_key", "pos", "source", "target", "_sn", "_tn", "relation_type", "relation_weight", "description", "confidence"), [KEY, "_key"], ["pos", "source", "target"]
+        known.select(KEY, "_key", "pos", "source", "target", "relation_type", "relation_weight", "description", "confidence"), [KEY, "_key"], ["pos", "source", "target"]
+    )
+    coded = _coded(nodes, metadata)
+    named = rows.join(coded.select(KEY, c("id").alias("source"), c("name").alias("_sn"), c("did").alias("_sd")), [KEY, "source"]).join(
+        coded.select(KEY, c("id").alias("target"), c("name").alias("_tn"), c("did").alias("_td")), [KEY, "target"]
     )
-    return _headed(rows.withColumnRenamed("_key", "edge_key"), graphs, metadata, as_of).select(
-        KEY, X.delivery_id(c("target"), c(KEY), c("code")).alias("起点节点id"), c("_tn").alias("起点节点名称"),
-        X.delivery_id(c("source"), c(KEY), c("code")).alias("终点节点id"), c("_sn").alias("终点节点名称"),
+    return _headed(named.withColumnRenamed("_key", "id"), graphs, metadata, as_of).select(
+        KEY, c("_td").alias("起点节点id"), c("_tn").alias("起点节点名称"), c("_sd").alias("终点节点id"), c("_sn").alias("终点节点名称"),
         F.when(c("relation_type") == K.CONTAINS, "SUBORDINATE_TO").otherwise("DOWNSTREAM_OF").alias("关系类型"),
         F.coalesce("relation_weight", F.lit(1.0)).alias("关系权重"), F.coalesce("description", F.lit("")).alias("关系描述"), c("confidence").alias("置信度"),
         F.lit("").alias("强度"), c("effective_date").alias("开始时间"), F.lit("").alias("结束时间"),
@@ -103,9 +112,10 @@ def company_edge_rows(
         above = closure(paths, nodes).select(KEY, c("id").alias("node_id"), "ancestor")
         pairs = pairs.join(above, [KEY, "node_id"]).select(KEY, "company_id", c("ancestor").alias("node_id")).distinct()
     info = companies.select(KEY, "company_id", "comcode", c("name").alias("company_name")).dropDuplicates([KEY, "company_id"])
-    named = pairs.join(nodes.select(KEY, c("id").alias("node_id"), c("name").alias("node_name")), [KEY, "node_id"]).join(info, [KEY, "company_id"])
+    coded = _coded(nodes, metadata).select(KEY, c("id").alias("node_id"), c("name").alias("node_name"), "did")
+    named = pairs.join(coded, [KEY, "node_id"]).join(info, [KEY, "company_id"])
     return _headed(named.withColumnRenamed("node_id", "id"), graphs, metadata, as_of).select(
-        KEY, c("comcode").alias("起点节点code"), c("company_name").alias("起点节点名称"), X.delivery_id(c("id"), c(KEY), c("code")).alias("终点节点id"),
+        KEY, c("comcode").alias("起点节点code"), c("company_name").alias("起点节点名称"), c("did").alias("终点节点id"),
         c("node_name").alias("终点节点名称"), F.lit("BELONGS_TO_IND_NODE").alias("主体产业链关系"), c("effective_date").alias("开始时间"),
         F.lit("").alias("结束时间"), F.lit("联网搜索").alias("数据来源"),
     )
