@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import last_by, top_rows
+from linkstrata.functions.tables import checkpointed, last_by, top_rows
 from linkstrata.operators.hierarchy import lineage
 
 KEY = "industry_id"
@@ -227,9 +227,10 @@ def scored_pairs(
     left_end = F.when(F.col("ra") == K.CONTAINS, F.col("a")).otherwise(F.col("b"))
     right_end = F.when(F.col("ra") == K.CONTAINS, F.col("b")).otherwise(F.col("a"))
     adjacent = joined.groupBy(KEY, left_end.alias("id")).agg(F.collect_set(right_end).alias("joined_to"))
-    placed = profile.join(sizes, KEY).withColumn(
+    # both sides of the block join read the profiles, and the grams are costly: cut once
+    placed = checkpointed(profile.join(sizes, KEY).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.when(F.col("is_left"), F.col("nl")).otherwise(F.col("nr")).cast("bigint")).cast("int")
-    ).withColumn("grams", X.grams(F.col("text")))
+    ).withColumn("grams", X.grams(F.col("text"))))
     left = placed.filter("is_left").join(adjacent, [KEY, "id"], "left").select(
         KEY, F.col("block").alias("bl"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("br"), "id", "name", "chain_position",
         "branch_id", "text", "grams", F.coalesce("joined_to", F.array().cast("array<string>")).alias("joined_to"),
@@ -238,6 +239,7 @@ def scored_pairs(
         KEY, F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bl"), F.col("block").alias("br"), "id", "name", "chain_position",
         "branch_id", "text", "grams",
     )
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own column ids on this side
     return left.groupBy(KEY, "bl", "br").cogroup(right.groupBy(KEY, "bl", "br")).applyInPandas(
         _block_scorer(max(per_node, 1), audit_rate), _SCORED
     )
@@ -407,7 +409,8 @@ def normalized_decisions(decisions: DataFrame, pairs: DataFrame) -> DataFrame:
     info = pairs.select(KEY, "pair_id", "node_a_id", "node_b_id", "allowed_verdicts", "selection_reasons")
     verdict = F.upper(F.coalesce("verdict", F.lit("INVALID")))
     rejected = verdict.isin("A_TO_B", "B_TO_A") & ~F.array_contains("allowed_verdicts", verdict)
-    return decisions.join(info, [KEY, "pair_id"]).select(
+    given = decisions.select(KEY, "pair_id", "verdict", "decision_source", "cache_key")
+    return given.join(info, [KEY, "pair_id"]).select(
         KEY, "pair_id", "node_a_id", "node_b_id", F.when(rejected, "NO").otherwise(verdict).alias("verdict"),
         F.coalesce("decision_source", F.lit("model")).alias("decision_source"), F.coalesce("cache_key", F.lit("")).alias("cache_key"),
         "selection_reasons", F.when(rejected, "l1_branch_role_policy").alias("rule_rejection"),
