@@ -158,8 +158,8 @@ def scope_report(companies: DataFrame, rules: DataFrame, selected: DataFrame) ->
         F.countDistinct("rule_pos").alias("rule_count"), F.count(F.lit(1)).alias("value_count")
     )
     chosen = selected.groupBy(KEY).agg(F.count(F.lit(1)).alias("selected_company_count"))
-    # the totals are a single row
-    return text.join(chosen, KEY, "left").join(F.broadcast(totals)).select(
+    one = F.lit(1).alias("_one")  # the totals are a single row
+    return text.join(chosen, KEY, "left").select("*", one).join(F.broadcast(totals.select("*", one)), "_one").select(
         KEY, "rule_count", "value_count", "total_company_count", "eligible_company_count",
         F.coalesce("selected_company_count", F.lit(0)).alias("selected_company_count"),
     )

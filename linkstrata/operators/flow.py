@@ -16,7 +16,7 @@ from linkstrata.functions.tables import checkpointed, last_by, top_rows
 from linkstrata.operators.hierarchy import lineage
 
 KEY = "industry_id"
-BLOCK_ROWS = 256
+BLOCK_ROWS = 512
 PARTNER_ROLES = ("upstream", "downstream")
 
 

@@ -99,8 +99,9 @@ def overlay_issues(decisions: DataFrame, l2: DataFrame, projected: DataFrame, no
     lines = lineage(nodes, ancestor_paths(tree_parents(nodes)))
     evaluated = nodes.filter(F.col("level") == 2).select(KEY, F.col("id").alias("node_id"))
     with_pos = lambda df: df if "pos" in df.columns else df.withColumn("pos", F.lit(0).cast("bigint"))
+    expected = checkpointed(flow.project_flows(l2, nodes, as_of))
     return validate.flow_issues(
-        evaluated, with_pos(decisions), l2, with_pos(projected), flow.project_flows(l2, nodes, as_of), nodes, edges, lines, industries
+        evaluated, with_pos(decisions), l2, checkpointed(with_pos(projected)), expected, nodes, edges, checkpointed(lines), industries
     )
 
 
