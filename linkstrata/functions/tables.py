@@ -106,27 +106,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", spread_by: str = "id") -> DataFrame:
-    """Join a dimension with unique keys to rows whose key may be very hot.
+def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Left or inner join of a dimension with unique keys to rows whose key may be very hot.
 
-    The dimension is broadcast when its estimated size is small; otherwise it is copied
-    ``SPREAD`` times and the rows of one key are spread over that many partitions.
+    The dimension is broadcast when its estimated size is small; otherwise it is copied ``SPREAD``
+    times and the rows of one key are spread over that many partitions by a hash of their other columns.
     """
+    if how not in ("left", "inner"):
+        raise ValueError("only left and inner lookups can be spread")
     if estimated_bytes(dim) <= BROADCAST_LIMIT_BYTES:
         return df.join(F.broadcast(dim), list(on), how)
+    plain = [f.name for f in df.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "array", "struct")]
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    rows = df.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(SPREAD)))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("int") if plain else F.lit(0))
     return rows.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def ordered_struct_agg(value: Column, order: Column) -> Column:
-    """Small ordered list per key (bounded groups only)."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
-
-
-def rename_all(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keep])
-
-
 def empty_like(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)

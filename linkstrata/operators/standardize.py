@@ -181,7 +181,7 @@ def standardize_edges(keys: DataFrame, raw_edges: DataFrame, nodes: DataFrame, d
         F.array_distinct(F.concat(F.coalesce("_us", _strings()), F.coalesce("_ut", _strings()), F.coalesce("default_urls", _strings())))
     )
     edge_urls = _filled(c("source_urls"), union)
-    return lookup(joined, defaults, [KEY], spread_by="target").select(
+    return lookup(joined, defaults, [KEY]).select(
         KEY, "pos",
         X.or_default(c("id"), X.edge_id(c("source"), c("relation_type"), c("target"))).alias("id"),
         "source", "target", "relation_type",
