@@ -326,16 +326,20 @@ def collapse_low_coverage(
         if thin.isEmpty():
             break
         removed = thin if removed is None else removed.unionByName(thin)
-        moves = thin.select(KEY, F.col("id").alias("node_id"), F.col("parent_id").alias("_to"))
-        moved = pairs.join(moves, [KEY, "node_id"], "left")
-        is_moved = F.col("_to").isNotNull()
-        moved = moved.select(
+        # only pairs on a removed node or on a receiving parent can change; the others pass through
+        route = thin.select(KEY, F.col("id").alias("node_id"), F.col("parent_id").alias("_to")).unionByName(
+            thin.select(KEY, F.col("parent_id").alias("node_id"), F.col("parent_id").alias("_to")).distinct()
+        )
+        routed = pairs.join(route, [KEY, "node_id"], "left")
+        is_moved = F.col("_to") != F.col("node_id")
+        moved = routed.filter(F.col("_to").isNotNull()).select(
             *[c for c in pairs.columns if c not in ("node_id", "aggregation_source_node_id", "aggregation_reason")],
             F.when(is_moved, F.col("node_id")).otherwise(F.col("aggregation_source_node_id")).alias("aggregation_source_node_id"),
             F.when(is_moved, F.lit(K.REASON_COLLAPSE % threshold)).otherwise(F.col("aggregation_reason")).alias("aggregation_reason"),
-            F.coalesce("_to", "node_id").alias("node_id"), is_moved.cast("int").alias("_moved"),
+            F.col("_to").alias("node_id"), is_moved.cast("int").alias("_moved"),
         )
-        pairs = checkpointed(merge_moved(moved).select(*extra.columns))
+        still = routed.filter(F.col("_to").isNull()).select(*extra.columns)
+        pairs = checkpointed(still.unionByName(merge_moved(moved).select(*extra.columns)))
         tree = checkpointed(tree.join(thin.select(KEY, "id"), [KEY, "id"], "left_anti").select(*tree.columns))
     if removed is None:
         return nodes, edges, extra, thin
@@ -344,11 +348,15 @@ def collapse_low_coverage(
 
 
 def merge_moved(moved: DataFrame) -> DataFrame:
-    """One row per (company, node): an unmoved row wins (the last of several), else the first moved one."""
-    order = F.when(F.col("_moved") == 0, -F.col("pos")).otherwise(F.col("pos"))
-    first_pos = moved.groupBy(KEY, "company_id", "node_id").agg(F.min("pos").alias("_first"))
-    best = first_by(moved.withColumn("_o", order), [KEY, "company_id", "node_id"], ["_moved", "_o"])
-    return best.join(first_pos, [KEY, "company_id", "node_id"]).withColumn("pos", F.col("_first")).drop("_o", "_moved", "_first")
+    """One row per (company, node): an unmoved row wins (the last of several), else the first moved one.
+
+    The row keeps the first position of its group. One aggregate with map-side combine.
+    """
+    key = [KEY, "company_id", "node_id"]
+    rest = [c for c in moved.columns if c not in (*key, "pos", "_moved")]
+    order = F.struct("_moved", F.when(F.col("_moved") == 0, -F.col("pos")).otherwise(F.col("pos")))
+    best = moved.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_row"), F.min("pos").alias("pos"))
+    return best.select(*key, "pos", *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def prune_to_coverage(

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from linkstrata import constants as K
 from linkstrata.functions import text as X
 from linkstrata.functions.tables import checkpointed, first_by
-from linkstrata.operators.companies import missing_exact_matches
 
 KEY = "industry_id"
 ERROR, WARNING = "error", "warning"
@@ -246,13 +245,14 @@ def attachment_issues(
     twice = attachments.groupBy(KEY, "company_id", "node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts.append(_issues(twice, v, ERROR, "duplicate_attachment", "pair is repeated", pair))
     own = attachments.select(KEY, "company_id", "node_id").distinct()
-    covered = own.select(KEY, "company_id", c("node_id").alias("id")).join(closure_above, [KEY, "id"]).filter(c("ancestor") != c("id")).select(
-        KEY, "company_id", c("ancestor").alias("node_id")
+    above = checkpointed(
+        own.select(KEY, "company_id", c("node_id").alias("id")).join(closure_above, [KEY, "id"]).filter(c("ancestor") != c("id"))
+        .select(KEY, "company_id", c("ancestor").alias("node_id")).distinct()
     )
-    nested = own.join(covered.distinct(), [KEY, "company_id", "node_id"], "left_semi").select(KEY, "company_id").distinct()
+    nested = own.join(above, [KEY, "company_id", "node_id"], "left_semi").select(KEY, "company_id").distinct()
     parts.append(_issues(nested, v, ERROR, "ancestor_descendant_attachment", "company sits on a node and on one of its ancestors", c("company_id")))
-    with_self = own.select(KEY, c("node_id").alias("id"), c("node_id").alias("ancestor"), F.lit(0).alias("dist")).distinct().unionByName(closure_above.select(KEY, "id", "ancestor", "dist"))
-    parts.append(_issues(missing_exact_matches(required, attachments, with_self), v, ERROR, "obvious_taxonomy_match_missing", "exact label match is not attached", pair))
+    uncovered = required.select(KEY, "company_id", "node_id").join(own.unionByName(above), [KEY, "company_id", "node_id"], "left_anti")
+    parts.append(_issues(uncovered, v, ERROR, "obvious_taxonomy_match_missing", "exact label match is not attached", pair))
     return _union(parts)
 
 

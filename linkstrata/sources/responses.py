@@ -36,8 +36,9 @@ def parse_company_matches(responses: DataFrame, requested: DataFrame) -> DataFra
     raw = F.col("raw_response")
     start, back = F.locate("{", raw), F.locate("}", F.reverse(raw))
     body = F.when((start > 0) & (back > 0), F.substring(raw, start, F.length(raw) - back - start + 2))
+    # the outer form keeps the optimizer from parsing the text once more for a size filter
     results = responses.select(KEY, "batch_id", F.from_json(body, MATCH_RESPONSE)["results"].alias("r")).select(
-        KEY, "batch_id", F.posexplode("r").alias("i", "item")
+        KEY, "batch_id", F.posexplode_outer("r").alias("i", "item")
     ).select(KEY, "batch_id", "i", F.coalesce("item.company_id", F.lit("")).alias("company_id"), "item.matched_nodes").filter(F.col("company_id") != "")
     last = results.groupBy(KEY, "batch_id", "company_id").agg(F.max_by(F.struct("matched_nodes"), "i").alias("m"))
     kept = requested.join(last, [KEY, "batch_id", "company_id"], "left")
