@@ -259,7 +259,7 @@ def _(g):
     return _pruned(g)[3]
 
 
-_SINGLE = (
+SINGLE = (
     ("kids", "SELECT industry_id, source, count(*) AS n, max(target) AS child FROM edges WHERE relation_type = 'contains' GROUP BY ALL"),
     ("single", """SELECT k.industry_id, k.source AS parent_id, k.child AS child_id FROM kids k JOIN nodes p ON p.industry_id = k.industry_id AND p.id = k.source
 JOIN nodes c ON c.industry_id = k.industry_id AND c.id = k.child LEFT JOIN kids x ON x.industry_id = k.industry_id AND x.source = k.child WHERE k.n = 1 AND p.level <> 0 AND c.level >= 2 AND x.n IS NULL"""),
@@ -269,12 +269,12 @@ QUALIFY row_number() OVER (PARTITION BY a.industry_id, a.company_id, coalesce(s.
 )
 
 
-@query("m06_singleton_move_attachments", "SELECT * FROM moved", TF, _SINGLE)
+@query("m06_singleton_move_attachments", "SELECT * FROM moved", TF, SINGLE)
 def _(g):
     return C.collapse_attached_singletons(g("nodes"), g("edges"), g("attachments"))[2].select(KEY, "company_id", "node_id", "reason", "confidence")
 
 
-@query("m06_singleton_move_nodes", "SELECT n.industry_id, n.id FROM nodes n ANTI JOIN single s ON s.industry_id = n.industry_id AND s.child_id = n.id", TF, _SINGLE)
+@query("m06_singleton_move_nodes", "SELECT n.industry_id, n.id FROM nodes n ANTI JOIN single s ON s.industry_id = n.industry_id AND s.child_id = n.id", TF, SINGLE)
 def _(g):
     return C.collapse_attached_singletons(g("nodes"), g("edges"), g("attachments"))[0].select(KEY, "id")
 
@@ -286,7 +286,7 @@ def _(g):
 
 
 # --- remap to survivors ---------------------------------------------------------------------
-_LEGACY = (
+LEGACY = (
     ("alive", "SELECT * FROM nodes WHERE NOT (level = 3 AND confidence < 0.6) AND NOT (level = 2 AND confidence < 0.5)"),
     ("old_att", "SELECT a.industry_id, a.company_id, l.id AS node_id, a.reason, a.confidence FROM attachments a JOIN legacy_nodes l ON l.industry_id = a.industry_id AND l.parent_id = a.node_id"),
     ("chain(industry_id, start, cur, dist)", """SELECT DISTINCT industry_id, node_id, node_id, 0 FROM old_att UNION ALL
@@ -298,7 +298,7 @@ LEFT JOIN nodes n ON n.industry_id = c.industry_id AND n.id = c.cur WHERE coales
 
 @query("j19_survivor_remap", """SELECT o.industry_id, o.company_id, o.node_id AS old_node_id, n.node_id, CASE WHEN n.node_id IS NULL THEN 'dropped' ELSE 'remapped' END AS outcome,
 CASE WHEN n.node_id IS NULL THEN o.reason ELSE o.reason || '（原节点 ' || o.node_id || ' 已合并至现有父节点）' END AS reason
-FROM old_att o LEFT JOIN nearest n ON n.industry_id = o.industry_id AND n.start = o.node_id""", ("nodes", "attachments", "legacy_nodes"), _LEGACY)
+FROM old_att o LEFT JOIN nearest n ON n.industry_id = o.industry_id AND n.start = o.node_id""", ("nodes", "attachments", "legacy_nodes"), LEGACY)
 def _(g):
     old = legacy_attachments(g).withColumn("old_node_id", F.col("node_id"))
     return C.remap_to_survivors(old, alive_nodes(g), legacy_paths(g)).select(KEY, "company_id", "old_node_id", "node_id", "outcome", "reason")

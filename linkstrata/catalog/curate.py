@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from linkstrata.catalog.company import alive_nodes
+from linkstrata.catalog.company import SINGLE, alive_nodes
 from linkstrata.catalog.graph import G
 from linkstrata.catalog.registry import AS_OF, KEY, LINE, joined, query
-from linkstrata.catalog.standard import standardized
+from linkstrata.catalog.standard import RAW, STD, standardized
 from linkstrata.functions import text as X
 from linkstrata.operators import merge as M
 from linkstrata.operators import publish as P
@@ -376,7 +376,10 @@ def _(g):
     return V.graph_issues(g("raw_nodes"), g("raw_edges")).select(KEY, "severity", "code", "item_id")
 
 
-@query("v_graph_rules_standardized")
+_GR_STD = tuple((n, q.replace("raw_nodes", "std_nodes").replace("raw_edges", "std_edges")) for n, q in _GR)
+
+
+@query("v_graph_rules_standardized", "SELECT industry_id, severity, code, count(*) AS n FROM found GROUP BY ALL", RAW, STD + _GR_STD)
 def _(g):
     n, e = standardized(g)
     return V.graph_issues(n, e).groupBy(KEY, "severity", "code").agg(F.count("*").alias("n"))
@@ -439,7 +442,14 @@ def _(g):
     return final(g)[1].groupBy(KEY, "type").agg(F.count("*").alias("n"))
 
 
-@query("m19_rebuild_from_branches")
+_SMALL = ("small", """SELECT industry_id, count(*) AS n FROM (SELECT b.industry_id, b.id FROM nodes b LEFT JOIN nodes x ON x.industry_id = b.industry_id AND x.level >= 2 AND starts_with(x.id, b.id || '_')
+WHERE b.level = 1 GROUP BY ALL HAVING count(x.id) < 8) GROUP BY ALL""")
+_COUNTS = """(SELECT count(*) FROM nodes x WHERE x.industry_id = m.industry_id) - (SELECT count(*) FROM single s WHERE s.industry_id = m.industry_id) AS node_count,
+(SELECT count(*) FROM edges x WHERE x.industry_id = m.industry_id) - (SELECT count(*) FROM single s WHERE s.industry_id = m.industry_id) AS edge_count"""
+
+
+@query("m19_rebuild_from_branches", f"""SELECT m.industry_id, {_COUNTS} FROM manifest m WHERE m.industry_id NOT IN (SELECT industry_id FROM small)
+UNION ALL SELECT industry_id, cast(0 AS bigint), -n FROM small""", G + ("manifest",), SINGLE[:2] + (_SMALL,))
 def _(g):
     seed_nodes = g("nodes").filter("level <= 1")
     seed_edges = g("edges").join(seed_nodes.select(KEY, F.col("id").alias("target")), [KEY, "target"], "left_semi").select(*g("edges").columns)
@@ -450,13 +460,25 @@ def _(g):
     return counts.select(KEY, "node_count", "edge_count").unionByName(failures.groupBy(KEY).agg(F.lit(0).cast("bigint").alias("node_count"), (-F.count("*")).alias("edge_count")))
 
 
-@query("m11_update_candidate")
+_UPD = SINGLE[:2] + (
+    ("cur", """SELECT industry_id, id, parent_id, level FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM single s WHERE s.industry_id = n.industry_id AND s.child_id = n.id)
+UNION ALL SELECT industry_id, parent_id || '_9' || event_id, parent_id, 3 FROM event_targets WHERE event_type = 'view' AND value >= 10
+UNION ALL SELECT DISTINCT industry_id, node_id, parent_id, 3 FROM event_targets WHERE event_type = 'view' AND value < 10 AND node_id IN (SELECT child_id FROM single)"""),
+    ("kin", "SELECT industry_id, parent_id, count(*) AS n, max(id) AS id, max(level) AS level FROM cur WHERE parent_id <> '' GROUP BY ALL"),
+    ("lone", """SELECT k.industry_id, k.id FROM kin k JOIN cur p ON p.industry_id = k.industry_id AND p.id = k.parent_id WHERE k.n = 1 AND p.level <> 0 AND k.level >= 2
+AND NOT EXISTS (SELECT 1 FROM kin c WHERE c.industry_id = k.industry_id AND c.parent_id = k.id)"""),
+)
+
+
+@query("m11_update_candidate", """SELECT m.industry_id, (SELECT count(*) FROM cur x WHERE x.industry_id = m.industry_id) - (SELECT count(*) FROM lone x WHERE x.industry_id = m.industry_id) AS node_count,
+(SELECT count(DISTINCT e.node_id) FROM event_targets e JOIN cur x ON x.industry_id = e.industry_id AND x.id = e.node_id WHERE e.industry_id = m.industry_id AND e.event_type = 'signup'
+AND e.node_id NOT IN (SELECT id FROM lone)) AS deprecated_count FROM manifest m""", ET + ("manifest",), _UPD)
 def _(g):
     n, e = CU.propose_update(g("graphs"), g("nodes"), g("edges"), *_updates(g), AS_OF)
     return n.groupBy(KEY).agg(F.count("*").alias("node_count"), F.count_if("deprecated").alias("deprecated_count"))
 
 
-@query("f13_publish_candidates")
+@query("f13_publish_candidates", f"SELECT m.industry_id, 'ready' AS status, {_COUNTS}, true AS can_apply FROM manifest m", G + ("manifest",), SINGLE[:2])
 def _(g):
     _, _, entries, gate = CU.publish_candidates(g("manifest"), g("graphs"), g("nodes"), g("edges"), g("nodes"), g("edges"), AS_OF)
     return entries.join(gate, KEY).select(KEY, "status", "node_count", "edge_count", "can_apply")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkstrata import constants as K
-from linkstrata.catalog.company import alive_nodes
+from linkstrata.catalog.company import LEGACY, alive_nodes
 from linkstrata.catalog.graph import _PROJ
 from linkstrata.catalog.registry import AS_OF, KEY, LINE, joined, query
 from linkstrata.functions import text as X
@@ -307,7 +307,8 @@ def reconciled(g):
     return {n: g(n) for n in names}
 
 
-@query("m13_reconcile_counts")
+@query("m13_reconcile_counts", """SELECT o.industry_id, count(n.node_id) AS retained, count(*) - count(n.node_id) AS removed, count(n.node_id) AS remapped FROM old_att o
+LEFT JOIN nearest n ON n.industry_id = o.industry_id AND n.start = o.node_id GROUP BY ALL""", ("nodes", "attachments", "legacy_nodes"), LEGACY)
 def _(g):
     return reconciled(g)["rec_counts"]
 
