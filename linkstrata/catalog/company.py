@@ -331,7 +331,39 @@ def attached(g):
     return {n: g(n) for n in names}
 
 
-@query("m18_attach_companies")
+_LISTED_ONLY = {"companies": "lc", "vals": "lvals", "cat": "lcat", "rules": "full_rules"}
+
+
+def _renamed(part, *names):
+    import re
+
+    name, sql = part
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", _LISTED_ONLY[n], sql)
+        name = re.sub(rf"^{n}$", _LISTED_ONLY[n], name)
+    return name, sql
+
+
+_JOB = BASE[:3] + (
+    ("lc", "SELECT * FROM companies WHERE is_listed"),
+    _renamed(VALUES, "companies", "vals"), _renamed(CATALOG, "vals", "cat"), _renamed(FULL, "cat"), _renamed(CHOSEN, "vals", "rules"), EXACT[0], EXACT[1], _renamed(EXACT[2], "vals"),
+) + H + _M3 + (("p0", "SELECT industry_id, company_id, node_id, pos FROM built"), _FOLD[4]) + tuple(
+    (n, q.replace("<= 30", "<= 1")) for n, q in FOLD[5:]
+) + (
+    ("seen", "SELECT DISTINCT h.industry_id, h.ancestor AS id FROM p4 a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id"),
+    ("stay", """SELECT t.* FROM t4 t WHERE t.level = 0 OR EXISTS (SELECT 1 FROM seen k WHERE k.industry_id = t.industry_id AND k.id = t.id)
+OR NOT EXISTS (SELECT 1 FROM seen k WHERE k.industry_id = t.industry_id)"""),
+    ("skids", """SELECT e.industry_id, e.source, count(*) AS n, max(e.target) AS child FROM edges e JOIN stay a ON a.industry_id = e.industry_id AND a.id = e.source
+JOIN stay b ON b.industry_id = e.industry_id AND b.id = e.target WHERE e.relation_type = 'contains' GROUP BY ALL"""),
+    ("slone", """SELECT k.industry_id, k.source AS parent_id, k.child FROM skids k JOIN stay p ON p.industry_id = k.industry_id AND p.id = k.source JOIN stay c ON c.industry_id = k.industry_id AND c.id = k.child
+WHERE k.n = 1 AND p.level <> 0 AND c.level >= 2 AND NOT EXISTS (SELECT 1 FROM skids x WHERE x.industry_id = k.industry_id AND x.source = k.child)"""),
+    ("last_pairs", "SELECT DISTINCT p.industry_id, p.company_id, coalesce(s.parent_id, p.node_id) AS node_id FROM p4 p LEFT JOIN slone s ON s.industry_id = p.industry_id AND s.child = p.node_id"),
+)
+
+
+@query("m18_attach_companies", """SELECT m.industry_id, (SELECT count(*) FROM stay s WHERE s.industry_id = m.industry_id) - (SELECT count(*) FROM slone s WHERE s.industry_id = m.industry_id) AS node_count,
+(SELECT nullif(count(*), 0) FROM last_pairs p WHERE p.industry_id = m.industry_id) AS attachment_count, (SELECT nullif(count(DISTINCT company_id), 0) FROM last_pairs p WHERE p.industry_id = m.industry_id) AS company_count FROM manifest m""",
+       TM + ("manifest",), _JOB)
 def _(g):
     r = attached(g)
     counts = r["job_nodes"].groupBy(KEY).agg(F.count("*").alias("node_count"))
@@ -339,7 +371,8 @@ def _(g):
     return counts.join(pairs, KEY, "left")
 
 
-@query("m18_attach_removals")
+@query("m18_attach_removals", """SELECT industry_id, 'low_coverage' AS step, count(*) AS removed FROM gone GROUP BY ALL UNION ALL
+SELECT t.industry_id, 'no_coverage', count(*) FROM t4 t ANTI JOIN stay s ON s.industry_id = t.industry_id AND s.id = t.id GROUP BY ALL UNION ALL SELECT industry_id, 'singleton', count(*) FROM slone GROUP BY ALL""", TM, _JOB)
 def _(g):
     return attached(g)["job_removed"].groupBy(KEY, "step").agg(F.count("*").alias("removed"))
 

@@ -52,7 +52,7 @@ class GraphTables:
         """Write a table to the shared folder and read it back."""
         path = join_path(self.root, name)
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def remember(self, name: str, build) -> DataFrame:
         """A stored intermediate result that several queries of a session share."""
