@@ -165,8 +165,7 @@ def overlay_meta(g):
 
 def current_state(g):
     fingerprint = P.graph_fingerprint(g("graphs"), g("nodes"), g("edges"))
-    source = P.table_hash(g("companies")).select("source_hash", F.lit(1).alias("one"))  # a single row
-    return fingerprint.withColumn("one", F.lit(1)).join(F.broadcast(source), "one").drop("one")
+    return fingerprint.withColumn("source_hash", P.table_hash(g("companies")).scalar())
 
 
 _STATUS = ("overlay", """SELECT industry_id, CASE substr(industry_id, 1, 3) WHEN 'sta' THEN 'missing' WHEN 'lar' THEN 'invalid' WHEN 'pro' THEN 'invalid' WHEN 'med' THEN 'stale' WHEN 'eco' THEN 'stale'

@@ -151,16 +151,14 @@ def select_by_scope(companies: DataFrame, rules: DataFrame) -> DataFrame:
 
 def scope_report(companies: DataFrame, rules: DataFrame, selected: DataFrame) -> DataFrame:
     """Per industry: rules, values, all companies, listed (eligible) and selected companies."""
-    totals = companies.agg(
-        F.count(F.lit(1)).alias("total_company_count"), F.count_if(F.col("is_listed")).alias("eligible_company_count")
-    )
+    total = companies.agg(F.count(F.lit(1))).scalar()
+    eligible = companies.agg(F.count_if(F.col("is_listed"))).scalar()
     text = rules.groupBy(KEY).agg(
         F.countDistinct("rule_pos").alias("rule_count"), F.count(F.lit(1)).alias("value_count")
     )
     chosen = selected.groupBy(KEY).agg(F.count(F.lit(1)).alias("selected_company_count"))
-    one = F.lit(1).alias("_one")  # the totals are a single row
-    return text.join(chosen, KEY, "left").select("*", one).join(F.broadcast(totals.select("*", one)), "_one").select(
-        KEY, "rule_count", "value_count", "total_company_count", "eligible_company_count",
+    return text.join(chosen, KEY, "left").select(
+        KEY, "rule_count", "value_count", total.alias("total_company_count"), eligible.alias("eligible_company_count"),
         F.coalesce("selected_company_count", F.lit(0)).alias("selected_company_count"),
     )
 
