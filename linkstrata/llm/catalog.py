@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkstrata.functions.tables import join_path
 from linkstrata.llm.exact import exact_duplicates
+from linkstrata.llm.simhash import near_duplicate_snippets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(as_evidence(table(spark, sf_dir, "documents")))
     return found.select(F.col("evidence_id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("content_hash").alias("text_sha256"))
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicate_snippets(as_evidence(table(spark, sf_dir, "documents")))
+    return found.select(F.col("evidence_id").alias("doc_id"), "fingerprint", "component_id")
