@@ -18,11 +18,11 @@ def fresh_path(spark, name: str) -> str:
     return join_path(work_dir(spark), f"llm-{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, outlives executors, gives true sizes to the planner."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,8 @@ MASK = 0xA282EAD8
 FRAME = struct.Struct("<QI")
 CHECK = struct.Struct("<I")
 HEAD = struct.Struct("<BI")
-ENTRY = struct.Struct("<QQQ")
+ENTRY = "<QQQ"
+ENTRY_BYTES = struct.calcsize(ENTRY)
 BATCH_BYTES = 8 * 1024 * 1024
 
 
@@ -96,7 +97,7 @@ def write_token_records(evidence: DataFrame, path: str, tokenizer: str, end_id:
                 for identifier, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     ids = encode(text.as_py()) + end
                     data = frame(pack_payload(identifier, ids))
-                    entries.append(ENTRY.pack(totals[0], len(data), totals[1]))
+                    entries.append(struct.pack(ENTRY, totals[0], len(data), totals[1]))
                     totals[0] += len(data)
                     totals[1] += len(ids) // 4
                     yield data
@@ -134,13 +135,13 @@ def read_token_records(spark: SparkSession, path: str, shuffle_seed: int | None
             for shard in batch.column(0).to_pylist():
                 base = join_path(path, f"shard-{shard:05d}")
                 data, index = load(f"{base}.rec"), load(f"{base}.idx")
-                order = list(range(len(index) // ENTRY.size))
+                order = list(range(len(index) // ENTRY_BYTES))
                 if shuffle_seed is not None:
                     random.Random(f"{shuffle_seed}-{shard}").shuffle(order)
                 rows: list[tuple] = []
                 held = 0
                 for position in order:
-                    offset, length, first = ENTRY.unpack_from(index, position * ENTRY.size)
+                    offset, length, first = struct.unpack_from(ENTRY, index, position * ENTRY_BYTES)
                     name, ids = unpack_payload(unframe(data, offset, length))
                     rows.append((shard, position, name, first, ids))
                     held += len(ids)
