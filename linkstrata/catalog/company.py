@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkstrata import constants as K
+from linkstrata.functions import text as X
 from linkstrata.catalog.files import TAXONOMY, current_state
 from linkstrata.catalog.registry import H, KEY, query
 from linkstrata.operators import companies as C
@@ -420,5 +421,5 @@ def _(g):
         KEY, F.when(kind == "med", "other").otherwise(c(KEY)).alias("payload_industry_id"), F.when(kind == "lar", "v0").otherwise(K.ATTACHMENT_SCHEMA_VERSION).alias("schema_version"),
         F.when(kind == "eco", "old").otherwise(c("graph_fingerprint")).alias("graph_fingerprint"), F.when(kind == "sma", "old").otherwise(c("source_hash")).alias("source_hash"),
     )
-    scope = g("scope_rules").filter(kind != "pro").withColumn("column", F.trim("column"))
+    scope = g("scope_rules").filter(kind != "pro").withColumn("column", X.strip("column"))
     return V.attachment_meta_issues(meta, state, scope).select(KEY, "code")

@@ -254,11 +254,13 @@ def _(g):
     return Q.search_plan(g("manifest"))
 
 
-@query("s21_verdict_parse", """SELECT batch_id, pair_id, verdict FROM (SELECT batch_id, pair_id, verdict, substr(pair_id, 10, 1) AS h
-FROM (SELECT l.batch_id, l.pair_id, d.verdict FROM verdict_lines l JOIN decisions d ON d.industry_id = l.industry_id AND d.pair_id = l.pair_id))
-WHERE h NOT IN ('0', '1', '3') AND verdict <> 'INVALID'
-UNION ALL SELECT l.batch_id, l.pair_id, 'NO' FROM verdict_lines l JOIN decisions d ON d.industry_id = l.industry_id AND d.pair_id = l.pair_id
-WHERE substr(l.pair_id, 10, 1) = '1' AND d.verdict = 'INVALID'""", ("verdict_lines", "decisions"))
+_LINES = ("lines", f"""SELECT batch_id, unnest(regexp_split_to_array(replace(line, '```', ''), '{K.LINE_END}')) AS line FROM verdict_lines""")
+
+
+@query("s21_verdict_parse", """SELECT batch_id, pair_id, max(verdict) AS verdict FROM (
+SELECT batch_id, lower(regexp_extract(line, '(?i)^\\s*(p_[0-9a-f]{16})\\s*:\\s*(A_TO_B|B_TO_A|NO)\\s*$', 1)) AS pair_id,
+upper(regexp_extract(line, '(?i)^\\s*(p_[0-9a-f]{16})\\s*:\\s*(A_TO_B|B_TO_A|NO)\\s*$', 2)) AS verdict FROM lines)
+WHERE (batch_id, pair_id) IN (SELECT (batch_id, pair_id) FROM verdict_lines) GROUP BY ALL HAVING count(*) = 1""", ("verdict_lines",), (_LINES,))
 def _(g):
     responses = g("verdict_lines").select("batch_id", F.col("line").alias("raw_response"))
     return R.parse_verdicts(responses, g("verdict_lines").select("batch_id", "pair_id"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkstrata import constants as K
 from linkstrata.sources.derived import GraphTables, duckdb_tables, graph_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,9 +17,32 @@ KEY = "industry_id"
 AS_OF = "2024-06-01"
 
 
+_TRIM = re.compile(r"(?<![a-z_])trim\(")
+
+
+def _stripping(sql: str) -> str:
+    """The SQL with white space meaning white space of any kind, in ``trim`` and in patterns."""
+    sql = sql.replace("\\s", f"[{K.WHITE_SPACE}]")
+    out, at = [], 0
+    for start in [m.end() for m in _TRIM.finditer(sql)]:
+        depth, end, quoted = 1, start, False
+        while depth:
+            ch = sql[end]
+            quoted ^= ch == "'"
+            depth += 0 if quoted else (ch == "(") - (ch == ")")
+            end += 1
+        out.append((start, end - 1))
+    pieces = []
+    for position in sorted(end for _, end in out):
+        pieces += [sql[at:position], f", '{K.WHITE_SPACE}'"]
+        at = position
+    return "".join([*pieces, sql[at:]])
+
+
 def twin(select: str, tables: tuple[str, ...] = (), parts: tuple[tuple[str, str], ...] = ()) -> str:
     """SQL over the base tables: derived tables, then helper parts, then the final select."""
-    ctes = [*duckdb_tables(*tables), *parts]
+    ctes = [*duckdb_tables(*tables), *((name, _stripping(sql)) for name, sql in parts)]
+    select = _stripping(select)
     if not ctes:
         return select
     body = ",\n".join(f"{name} AS {'' if '(' in name else 'MATERIALIZED '}(\n{sql}\n)" for name, sql in ctes)

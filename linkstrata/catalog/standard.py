@@ -165,7 +165,7 @@ def _(g):
     return g("company_file").select("pos", X.company_id(F.col("comcode")).alias("company_id"))
 
 
-@query("p15_name_normalization", "SELECT doc_id, regexp_replace(lower(text), '[\\s\\x{00a0}\\x{3000}]+', '', 'g') AS norm FROM documents")
+@query("p15_name_normalization", "SELECT doc_id, regexp_replace(lower(text), '\\s+', '', 'g') AS norm FROM documents")
 def _(g):
     return g("documents").select("doc_id", X.normalized_name(F.col("text")).alias("norm"))
 

@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 from linkstrata import constants as K
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(K.WHITE_SPACE))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -74,20 +79,20 @@ def delivery_id(node_id: Column, industry_id: Column, code: Column, strict: bool
 
 
 def safe_file_name(c: Column) -> Column:
-    return or_default(F.trim(F.regexp_replace(c, r'[<>:"/\\|?*]', "")), F.lit("industry"))
+    return or_default(strip(F.regexp_replace(c, r'[<>:"/\\|?*]', "")), F.lit("industry"))
 
 
 def three_valued_flag(c: Column) -> Column:
-    text = F.trim(c.cast("string"))
+    text = strip(c.cast("string"))
     return F.when(text.isNotNull() & (text != ""), F.lower(text).isin("1", "true", "yes", "y"))
 
 
 def company_id(code: Column) -> Column:
-    return F.concat(F.lit("sw_"), F.trim(code))
+    return F.concat(F.lit("sw_"), strip(code))
 
 
 def normalized_name(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[\s 　]+", "")
+    return F.regexp_replace(F.lower(c), K.SPACES, "")
 
 
 def looks_like_process_step(name: Column) -> Column:
@@ -96,10 +101,15 @@ def looks_like_process_step(name: Column) -> Column:
     return F.when(has_term, ~excepted).otherwise(name.rlike("(" + "|".join(K.PROCESS_STEP_SUFFIXES) + ")$"))
 
 
+def case_folded(c: Column) -> Column:
+    """Lower case, with the letters that case folding writes differently: sharp s, final sigma, long s."""
+    return F.replace(F.translate(F.lower(c), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+
+
 def match_label(c: Column) -> Column:
     """Taxonomy label for exact matching: no whitespace, no trailing Roman numeral, case folded."""
-    squeezed = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s 　]+", "")
-    return F.lower(F.regexp_replace(squeezed, "[ⅠⅡⅢⅣⅤⅥ]+$", ""))
+    squeezed = F.regexp_replace(F.coalesce(c, F.lit("")), K.SPACES, "")
+    return case_folded(F.regexp_replace(squeezed, "[ⅠⅡⅢⅣⅤⅥ]+$", ""))
 
 
 @F.pandas_udf(T.StringType())
@@ -117,9 +127,9 @@ def tree_label(c: Column) -> Column:
 
     Project it before using it inside a higher-order function (it holds an Arrow UDF).
     """
-    no_suffix = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*[Ⅰ-Ⅹ]+\s*$", "")
-    cleaned = F.regexp_replace(F.trim(nfkc(no_suffix)), r"\s+", " ")
-    return F.trim(F.regexp_replace(cleaned, r"(?<=[㐀-鿿])\s*[IVX]{1,4}\s*$", ""))
+    no_suffix = F.regexp_replace(F.coalesce(c, F.lit("")), f"{K.SPACES[:-1]}*[Ⅰ-Ⅹ]+{K.SPACES[:-1]}*$", "")
+    cleaned = F.regexp_replace(strip(nfkc(no_suffix)), K.SPACES, " ")
+    return strip(F.regexp_replace(cleaned, f"(?<=[㐀-鿿]){K.SPACES[:-1]}*[IVX]{{1,4}}{K.SPACES[:-1]}*$", ""))
 
 
 def tree_path(levels: list[Column], leaf: Column) -> Column:

@@ -24,7 +24,7 @@ def company_master(raw: DataFrame) -> DataFrame:
 
     def pick(*names: str):
         present = [X.blank_to_null(F.col(f"`{n}`")) for n in names if n in have]
-        return F.trim(F.coalesce(*present, F.lit("")))
+        return X.strip(F.coalesce(*present, F.lit("")))
 
     def flag(name: str):
         return X.three_valued_flag(F.col(name)) if name in have else F.lit(None).cast("boolean")
@@ -40,7 +40,7 @@ def company_master(raw: DataFrame) -> DataFrame:
 def taxonomy_values(companies: DataFrame, *keep: str) -> DataFrame:
     """Unpivot the four taxonomy columns: (company_id, col_no, column, value), blanks dropped."""
     entries = F.array(*[
-        F.struct(F.lit(i).alias("col_no"), F.lit(c).alias("column"), F.trim(F.coalesce(c, F.lit(""))).alias("value"))
+        F.struct(F.lit(i).alias("col_no"), F.lit(c).alias("column"), X.strip(F.coalesce(c, F.lit(""))).alias("value"))
         for i, c in enumerate(K.TAXONOMY_COLUMNS)
     ])
     return companies.select("company_id", *keep, F.explode(entries).alias("t")).select(
@@ -65,11 +65,11 @@ def with_tree_path(companies: DataFrame, *keep: str) -> DataFrame:
 
 def taxonomy_paths(companies: DataFrame) -> DataFrame:
     """One row per folded taxonomy path with counts, raw leaf names and raw paths."""
-    raw_levels = F.array(*[F.trim(F.coalesce(c, F.lit(""))) for c in K.TAXONOMY_LEVEL_COLUMNS])
+    raw_levels = F.array(*[X.strip(F.coalesce(c, F.lit(""))) for c in K.TAXONOMY_LEVEL_COLUMNS])
     labelled = with_tree_path(companies, *K.TAXONOMY_COLUMNS).select(
         "path",
         F.array_join(F.filter(raw_levels, lambda x: x != ""), " > ").alias("raw_path"),
-        F.filter(F.array(F.trim(F.coalesce("indunamesw3", F.lit(""))), F.trim(F.coalesce("indunamesw", F.lit("")))), lambda x: x != "").alias("leaves"),
+        F.filter(F.array(X.strip(F.coalesce("indunamesw3", F.lit(""))), X.strip(F.coalesce("indunamesw", F.lit("")))), lambda x: x != "").alias("leaves"),
     ).filter(F.size("path") > 0)
     # few distinct raw spellings per path: reduce to distinct spellings before collecting them
     spelled = labelled.groupBy("path", "raw_path", "leaves").agg(F.count(F.lit(1)).alias("n"))
@@ -94,9 +94,9 @@ def compact_tree(paths: DataFrame) -> DataFrame:
 
 def selected_taxonomy(selection: DataFrame, paths: DataFrame) -> DataFrame:
     """Selected paths that exist in the tree, first per path; unknown roles become core."""
-    role = F.lower(F.trim(F.coalesce("suggested_role", F.lit(""))))
+    role = F.lower(X.strip(F.coalesce("suggested_role", F.lit(""))))
     rows = selection.select(
-        KEY, "pos", F.trim("path").alias("path"), F.trim(F.coalesce("reason", F.lit(""))).alias("reason"),
+        KEY, "pos", X.strip("path").alias("path"), X.strip(F.coalesce("reason", F.lit(""))).alias("reason"),
         F.when(role.isin(*K.SELECTION_ROLES), role).otherwise("core").alias("suggested_role"),
     )
     tree = paths.select(F.col("indunamesw_path").alias("path"), F.col("indunamesw").alias("name"), "level")
@@ -117,7 +117,7 @@ def taxonomy_role_coverage(valid: DataFrame, required: tuple[str, ...] = K.REQUI
 def normalize_scope(rules: DataFrame, catalog: DataFrame) -> DataFrame:
     """Exploded scope rules (industry_id, rule_pos, value_pos, column, value, reason): known values, first rule wins."""
     rows = rules.select(
-        KEY, "rule_pos", "value_pos", F.trim("column").alias("column"), F.trim("value").alias("value"), F.trim("reason").alias("reason")
+        KEY, "rule_pos", "value_pos", X.strip("column").alias("column"), X.strip("value").alias("value"), X.strip("reason").alias("reason")
     ).join(catalog.select("column", "value"), ["column", "value"], "left_semi")
     return first_by(rows, [KEY, "column", "value"], ["rule_pos", "value_pos"])
 
@@ -186,11 +186,11 @@ def build_attachments(matches: DataFrame, selected: DataFrame, nodes: DataFrame,
     """Attachment set: valid non-root targets, last match per pair, deepest node on every ancestor line."""
     targets = nodes.filter(F.coalesce("level", F.lit(0)) != 0).select(KEY, F.col("id").alias("node_id"))
     rows = (
-        matches.withColumn("node_id", F.trim("node_id"))
+        matches.withColumn("node_id", X.strip("node_id"))
         .join(selected.select(KEY, "company_id").distinct(), [KEY, "company_id"], "left_semi")
         .join(targets.distinct(), [KEY, "node_id"], "left_semi")
         .select(
-            KEY, "pos", "company_id", "node_id", F.trim(F.coalesce("reason", F.lit(""))).alias("reason"),
+            KEY, "pos", "company_id", "node_id", X.strip(F.coalesce("reason", F.lit(""))).alias("reason"),
             X.clamp_confidence(F.col("confidence")).alias("confidence"),
             X.or_default(F.col("match_method"), F.lit("agent_web_search")).alias("match_method"),
             X.blank_to_null(F.col("taxonomy_column")).alias("taxonomy_column"),
@@ -410,7 +410,7 @@ def remap_to_survivors(attachments: DataFrame, nodes: DataFrame, legacy_paths: D
     own = alive.select(KEY, F.col("ancestor").alias("node_id"), F.lit(True).alias("_alive"))
     joined = attachments.join(own, [KEY, "node_id"], "left").join(nearest, [KEY, "node_id"], "left")
     outcome = F.when(F.col("_alive"), "kept").when(F.col("_to").isNotNull(), "remapped").otherwise("dropped")
-    note = F.format_string(K.REASON_REMAP, F.trim(F.coalesce("reason", F.lit(""))), F.col("node_id"))
+    note = F.format_string(K.REASON_REMAP, X.strip(F.coalesce("reason", F.lit(""))), F.col("node_id"))
     return joined.withColumn("outcome", outcome).select(
         *[c for c in attachments.columns if c not in ("node_id", "reason")],
         F.when(F.col("outcome") == "kept", F.col("node_id")).otherwise(F.col("_to")).alias("node_id"),

@@ -45,7 +45,7 @@ def l2_catalog(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     first = top_rows(below, [KEY, "top"], [F.col("dist"), F.col("walk")], 24)
     summary = F.concat(
         X.or_default(F.col("name"), F.col("id")),
-        F.when(F.trim(own) != "", F.concat(F.lit("："), F.substring(F.trim(own), 1, 240))).otherwise(""),
+        F.when(X.strip(own) != "", F.concat(F.lit("："), F.substring(X.strip(own), 1, 240))).otherwise(""),
     )
     texts = nodes.select(KEY, "id", summary.alias("summary"))
     contexts = first.join(texts, [KEY, "id"]).groupBy(KEY, F.col("top").alias("id")).agg(
@@ -308,7 +308,7 @@ def with_ends(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     a_first = F.struct(c("_a_path"), c("node_a_id")) <= F.struct(c("_b_path"), c("node_b_id"))
 
     def mentions(s: str, o: str) -> Column:
-        name = F.trim(c(f"_{o}_name"))
+        name = X.strip(c(f"_{o}_name"))
         texts = F.filter(c(f"_{s}_descendant_contexts"), lambda t: (name != "") & F.contains(t, name))
         return F.transform(texts, lambda t: F.struct(
             c(f"node_{s}_id").alias("source_node_id"), c(f"_{s}_name").alias("source_node_name"), t.alias("matched_descendant_context")

@@ -58,7 +58,7 @@ def node_conflicts(nodes: DataFrame) -> DataFrame:
 
 def merge_source_basis(basis: DataFrame) -> DataFrame:
     """First entry per url (name when there is no url) in (graph_no, pos) order."""
-    key = X.or_default(F.trim(F.coalesce("url", F.lit(""))), F.trim(F.coalesce("name", F.lit(""))))
+    key = X.or_default(X.strip(F.coalesce("url", F.lit(""))), X.strip(F.coalesce("name", F.lit(""))))
     rows = basis.withColumn("basis_key", key).filter(F.col("basis_key") != "")
     return first_by(rows, [KEY, "basis_key"], ["graph_no", "pos"])
 
@@ -70,7 +70,7 @@ def namespace_branches(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     are errors and such branches should not be used.
     """
     key = [KEY, "branch_id"]
-    trimmed = nodes.withColumn("id", F.trim("id")).withColumn("parent_id", F.trim(F.coalesce("parent_id", F.lit(""))))
+    trimmed = nodes.withColumn("id", X.strip("id")).withColumn("parent_id", X.strip(F.coalesce("parent_id", F.lit(""))))
     children = trimmed.filter(F.col("level") >= 2)
     counts = children.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("n"))
     errors = counts.filter((F.col("id") == "") | (F.col("n") > 1)).select(*key, F.col("id").alias("old_id"), "n")
@@ -84,7 +84,7 @@ def namespace_branches(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
         return df.join(m, [*key, column], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
     out = remap(remap(trimmed, "id"), "parent_id")
-    links = edges.withColumn("source", F.trim("source")).withColumn("target", F.trim("target"))
+    links = edges.withColumn("source", X.strip("source")).withColumn("target", X.strip("target"))
     links = remap(remap(links, "source"), "target")
     return out.select(*nodes.columns), links.drop("id"), errors
 
@@ -104,7 +104,7 @@ def branch_membership(nodes: DataFrame, paths: DataFrame, min_new: int = K.MIN_B
 
 def position_coverage(level_one: DataFrame) -> DataFrame:
     """L1 count per position and the missing required positions; works on graphs and blueprints."""
-    position = F.lower(F.trim(F.coalesce("chain_position", F.lit(""))))
+    position = F.lower(X.strip(F.coalesce("chain_position", F.lit(""))))
     counts = level_one.groupBy(KEY).agg(*[F.count_if(position == p).alias(p) for p in K.COVERED_POSITIONS])
     missing = F.filter(F.array(*[F.when(F.col(p) == 0, p) for p in K.REQUIRED_SKELETON_POSITIONS]), lambda x: x.isNotNull())
     return counts.withColumn("missing_positions", F.array_join(missing, ", "))
@@ -334,7 +334,7 @@ def apply_repairs(nodes: DataFrame, edges: DataFrame, repairs: DataFrame) -> tup
     is an edge id or ``source->target``.
     """
     c = F.col
-    fix = repairs.withColumn("action", F.trim(F.coalesce("action", F.lit("")))).withColumn("target_id", F.trim(F.coalesce("target_id", F.lit(""))))
+    fix = repairs.withColumn("action", X.strip(F.coalesce("action", F.lit("")))).withColumn("target_id", X.strip(F.coalesce("target_id", F.lit(""))))
     edge_names = F.array_distinct(F.array(c("id"), F.concat("source", F.lit("->"), "target")))
     named = edges.select(KEY, "id", F.explode(edge_names).alias("target_id"))
     node_hits = nodes.groupBy(KEY, c("id").alias("target_id")).agg(F.count(F.lit(1)).alias("_nodes"))
@@ -382,7 +382,7 @@ def repair_attachments(attachments: DataFrame, proposed: DataFrame) -> tuple[Dat
     """Repairs may only keep a subset of the pairs and adjust reason and confidence."""
     c = F.col
     key = [KEY, "company_id", "node_id"]
-    new = proposed.select(*key, F.trim(F.coalesce("reason", F.lit(""))).alias("_reason"), c("confidence").cast("string").alias("_conf"))
+    new = proposed.select(*key, X.strip(F.coalesce("reason", F.lit(""))).alias("_reason"), c("confidence").cast("string").alias("_conf"))
     original = last_by(attachments, key, ["pos"])
     kept = original.join(new, key)
     value = c("_conf").try_cast("double")

@@ -158,7 +158,7 @@ def graph_profile(nodes: DataFrame, edges: DataFrame, lines: DataFrame) -> DataF
     level = nodes.select(KEY, "id", F.coalesce("level", F.lit(0)).alias("level"))
     levels = level.groupBy(KEY, F.concat(F.lit("L"), c("level").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     branch = nodes.filter(c("level") >= 2).join(lines.select(KEY, "id", "branch_id"), [KEY, "id"]).groupBy(KEY, c("branch_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    names = nodes.groupBy(KEY, F.trim("name").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND key <> ''")
+    names = nodes.groupBy(KEY, X.strip("name").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND key <> ''")
     flows = (
         edges.filter(c("relation_type") == K.FLOW)
         .join(level.select(KEY, c("id").alias("source"), c("level").alias("_s")), [KEY, "source"])
@@ -239,7 +239,7 @@ def attachment_issues(
         (c("_company").isNull(), ERROR, "attachment_unknown_company", "attachment names an unknown company", c("company_id")),
         (c("_level").isNull(), ERROR, "attachment_unknown_node", "attachment names an unknown node", c("node_id")),
         (c("_level") == 0, ERROR, "root_direct_attachment", "companies may not attach to the root", c("node_id")),
-        (F.trim(F.coalesce("reason", F.lit(""))) == "", ERROR, "attachment_reason_missing", "attachment has no reason"),
+        (X.strip(F.coalesce("reason", F.lit(""))) == "", ERROR, "attachment_reason_missing", "attachment has no reason"),
         (bad, ERROR, "attachment_confidence_invalid", "confidence is not within 0 and 1"),
     ]))
     twice = attachments.groupBy(KEY, "company_id", "node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -360,7 +360,7 @@ def flow_issues(
         (both_known & ~both_l2, ERROR, "endpoint_not_l2", "edge end is not L2"),
         (both_known & both_l2 & ~allowed("_ra", "_rb"), ERROR, "branch_role_policy_violation", "direction is against the branch roles"),
         (c("_main").isNotNull(), ERROR, "main_relation_conflict", "pair is already joined in the main graph"),
-        (F.trim(F.coalesce("description", F.lit(""))) == "", ERROR, "description_missing", "edge has no description"),
+        (X.strip(F.coalesce("description", F.lit(""))) == "", ERROR, "description_missing", "edge has no description"),
         (_empty("source_urls"), ERROR, "source_url_missing", "edge has no source url"),
         (~_empty("source_urls") & F.exists("source_urls", lambda u: ~X.has_http_scheme(u)), ERROR, "source_url_invalid", "source url is not http"),
         (_empty("evidence_ids"), WARNING, "evidence_id_missing", "edge has no evidence id"),
@@ -399,7 +399,7 @@ def projection_issues(projected: DataFrame, expected: DataFrame, level: DataFram
         (~known, ERROR, "projected_unknown_endpoint", "projected end does not exist"),
         (known & ~one_two, ERROR, "projected_endpoint_levels_invalid", "projection must join L1 and L2"),
         (~basis, ERROR, "projected_relation_without_l2_basis", "projection has no L2 edge below it"),
-        (basis & (F.trim(F.coalesce("description", F.lit(""))) == ""), ERROR, "projected_description_missing", "projection has no description"),
+        (basis & (X.strip(F.coalesce("description", F.lit(""))) == ""), ERROR, "projected_description_missing", "projection has no description"),
     ]
     rules += [
         (basis & ~c(f).eqNullSafe(c("_x")[f]), ERROR, "projected_attribute_mismatch", f"{f} differs from the L2 edges") for f in PROJECTED_FIELDS

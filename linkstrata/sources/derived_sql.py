@@ -114,7 +114,7 @@ FROM (
 DEFINITIONS["raw_nodes"] = """
 SELECT industry_id, pos * 10 + copy AS pos, id,
        CASE WHEN level = 3 AND v % 17 = 0 THEN name || '清洗' WHEN level = 3 AND v % 19 = 0 THEN name || '发酵设备'
-            WHEN level = 3 AND v % 23 = 0 THEN name || '加工步骤' ELSE name END AS name,
+            WHEN level = 3 AND v % 23 = 0 THEN name || '加工步骤' WHEN level = 3 AND v % 29 = 1 THEN replace(name, ' ', '\u2003') ELSE name END AS name,
        cast(NULL AS string) AS node_type, '' AS tags, CASE WHEN v % 4 = 0 THEN '' ELSE cast(NULL AS string) END AS industry,
        CASE WHEN level = 3 AND v % 53 = 5 THEN -1 ELSE level END AS level, chain_position,
        CASE WHEN level >= 2 AND v % 11 = 3 THEN '' WHEN level = 1 THEN industry_id || '_000' ELSE parent_id END AS parent_id,
@@ -173,9 +173,10 @@ FROM {company_base}
 
 # rows of the candidate file: padded codes, blank names, repeated codes, flag spellings
 DEFINITIONS["company_file"] = """
-SELECT s_suppkey * 10 + copy AS pos, ' ' || comcode || ' ' AS comcode,
+SELECT s_suppkey * 10 + copy AS pos,
+       CASE s_suppkey % 3 WHEN 0 THEN ' ' || comcode || ' ' WHEN 1 THEN '\t' || comcode || '\u3000' ELSE '\u2003' || comcode END AS comcode,
        CASE WHEN copy = 0 AND s_suppkey % 8 = 1 THEN '' ELSE name || CASE WHEN copy = 1 THEN ' copy' ELSE '' END END AS chiname, short_name AS chinameabbr,
-       CASE WHEN is_listed IS NULL THEN ' ' WHEN is_listed THEN (CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE '1' END) ELSE 'no' END AS islisted,
+       CASE WHEN is_listed IS NULL THEN '\u2003' WHEN is_listed THEN (CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE\t' ELSE '\u30001' END) ELSE 'no' END AS islisted,
        CASE WHEN is_abroad_listed IS NULL THEN '' WHEN is_abroad_listed THEN 'Y' ELSE '0' END AS isabroadlisted,
        indunamesw, indunamesw1, indunamesw2, indunamesw3
 FROM (SELECT c.*, 0 AS copy FROM {company_base} c UNION ALL SELECT c.*, 1 AS copy FROM {company_base} c WHERE s_suppkey % 4 = 1) t
@@ -201,7 +202,7 @@ FROM {supply}
 DEFINITIONS["loose_attachments"] = """
 SELECT industry_id, pos, CASE WHEN o % 101 = 0 THEN company_id || '_x' ELSE company_id END AS company_id,
        CASE WHEN o % 29 = 1 THEN industry_id || '_000' WHEN o % 31 = 2 THEN leaf_id || '_x' WHEN o % 7 = 3 THEN branch_id ELSE leaf_id END AS node_id,
-       CASE WHEN o % 23 = 4 THEN ' ' ELSE 'order ' || cast(o AS string) END AS reason,
+       CASE WHEN o % 46 = 4 THEN '\t\u3000' WHEN o % 23 = 4 THEN ' ' ELSE 'order ' || cast(o AS string) END AS reason,
        CASE WHEN o % 37 = 5 THEN cast(1.5 AS double) WHEN o % 41 = 6 THEN cast(NULL AS double) ELSE confidence END AS confidence,
        'agent_web_search' AS match_method, cast(NULL AS string) AS taxonomy_column, cast(NULL AS string) AS taxonomy_value
 FROM {supply}
@@ -210,7 +211,7 @@ FROM {supply}
 DEFINITIONS["web_matches"] = """
 SELECT industry_id, pos, company_id,
        CASE WHEN o % 11 = 0 THEN industry_id || '_000' WHEN o % 5 = 0 THEN branch_id WHEN o % 17 = 0 THEN leaf_id || '_gone' ELSE leaf_id END AS node_id,
-       ' order ' || cast(o AS string) AS reason,
+       CASE WHEN o % 2 = 0 THEN '\u3000order ' ELSE ' order ' END || cast(o AS string) AS reason,
        CASE WHEN o % 7 = 0 THEN 'n/a' WHEN o % 13 = 0 THEN '1.7' ELSE cast(confidence AS string) END AS confidence,
        CASE WHEN o % 3 = 0 THEN '' ELSE 'agent_web_search' END AS match_method, cast(NULL AS string) AS taxonomy_column, cast(NULL AS string) AS taxonomy_value
 FROM {supply}
@@ -283,7 +284,7 @@ SELECT industry_id, cast(v AS bigint) * 10 + copy AS pos, CASE WHEN v % 19 = 1 T
        CASE WHEN v % 23 = 1 THEN target WHEN copy = 2 THEN target ELSE source END AS source,
        CASE WHEN v % 29 = 1 THEN target || '_x' WHEN copy = 2 THEN source WHEN v % 31 = 1 THEN industry_id || '_003' ELSE target END AS target,
        CASE WHEN v % 37 = 1 THEN 'contains' ELSE 'upstream_downstream' END AS relation_type, CASE WHEN v % 13 = 1 THEN 'main' ELSE 'l2_flow' END AS relation_layer,
-       relation_weight, CASE WHEN v % 11 = 1 THEN ' ' ELSE source_name || ' feeds ' || target_name END AS description,
+       relation_weight, CASE WHEN v % 22 = 1 THEN '\u2003' WHEN v % 11 = 1 THEN ' ' ELSE source_name || ' feeds ' || target_name END AS description,
        CASE WHEN v % 7 = 1 THEN '' WHEN v % 17 = 1 THEN 'ftp://src.example.org/x' ELSE source_urls END AS source_urls, evidence_ids,
        CASE WHEN v % 5 = 1 THEN cast(0.4 AS double) WHEN v % 9 = 1 THEN cast(1.2 AS double) ELSE confidence END AS confidence,
        'endpoint_graph_sources_and_pairwise_model_decision' AS evidence_basis,
@@ -320,6 +321,8 @@ SELECT industry_id, node_a_id AS batch_id, pair_id,
             WHEN h = '1' THEN pair_id || ':' || verdict || chr(10) || upper(pair_id) || ' : no'
             WHEN h = '2' THEN '``' || '`' || chr(10) || '  ' || pair_id || ' : ' || lower(verdict) || '  '
             WHEN h = '3' THEN pair_id || ':YES'
+            WHEN h = '4' THEN '\u3000' || pair_id || ':\u2003' || verdict WHEN h = '5' THEN 'none\u2028' || pair_id || ':' || verdict
+            WHEN h = '6' THEN pair_id || ':' || verdict || '\x0b' || 'p_0123456789abcdef:NO'
             ELSE pair_id || ':' || verdict END AS line
 FROM (SELECT d.*, substr(pair_id, 10, 1) AS h FROM {decisions} d) t
 """

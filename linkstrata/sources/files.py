@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstrata import constants as K
+from linkstrata.functions import text as X
 from linkstrata.functions.tables import checkpointed, empty_like, path_exists
 from linkstrata.operators.companies import company_master, taxonomy_paths
 from linkstrata.sources import schemas as S
@@ -65,7 +66,7 @@ def read_json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     """Blank lines are skipped; a missing file is an empty table."""
     if not path_exists(spark, path):
         return empty_like(spark, schema)
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = spark.read.text(path).filter(X.strip("value") != "")
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkstrata import constants as K
 from linkstrata.sources.schemas import MATCH_RESPONSE
 
 KEY = "industry_id"
 # fixed line grammar of a pair verdict, upper or lower case
-VERDICT_LINE = r"(?i)^\s*(p_[0-9a-f]{16})\s*:\s*(A_TO_B|B_TO_A|NO)\s*$"
+_ANY = f"[{K.WHITE_SPACE}]*"
+VERDICT_LINE = f"(?i)^{_ANY}(p_[0-9a-f]{{16}}){_ANY}:{_ANY}(A_TO_B|B_TO_A|NO){_ANY}$"
 FENCE = "```"
 
 
@@ -19,7 +21,7 @@ def parse_verdicts(responses: DataFrame, expected: DataFrame) -> DataFrame:
     ``responses``: batch_id, raw_response. ``expected``: batch_id, pair_id.
     """
     text = F.replace("raw_response", F.lit(FENCE), F.lit(""))
-    lines = responses.select("batch_id", F.explode(F.split(text, "\r\n|\n|\r")).alias("line"))
+    lines = responses.select("batch_id", F.explode(F.split(text, K.LINE_END)).alias("line"))
     rows = lines.filter(F.col("line").rlike(VERDICT_LINE)).select(
         "batch_id", F.lower(F.regexp_extract("line", VERDICT_LINE, 1)).alias("pair_id"), F.upper(F.regexp_extract("line", VERDICT_LINE, 2)).alias("verdict")
     )
