@@ -1,29 +1,82 @@
-"""Training-corpus pipeline over the documents table."""
+"""Training-corpus pipeline: language, exact copies, near copies, benchmark leaks, packing.
+
+Every stage takes all that its predecessor kept. All but the last return the columns of ``documents``. Decisions are carried back to
+the rows by document id and text, so that null or repeated ids cannot mix up rows; rows that repeat both share their decision. Empty
+tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstrata.functions.tables import join_path
-from linkstrata.llm.catalog import as_evidence
+from linkstrata.llm.catalog import as_evidence, tokenizer_path
 from linkstrata.llm.common import stage
 from linkstrata.llm.exact import exact_duplicates
+from linkstrata.llm.language import UNDETERMINED, predict_language
+from linkstrata.llm.leaks import leaked_items
+from linkstrata.llm.packing import pack_snippets
+from linkstrata.llm.simhash import near_duplicate_snippets
 
 ORACLE_SQL = None
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def _digest() -> Column:
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
+def _row_id() -> Column:
+    """Id and text as one id: different for any two rows that differ in either."""
+    return F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), _digest())
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found with a score of at least 0.5; those without a letter, with null or with undecided text go."""
+    rows = docs.select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("snippet"), "lang", F.struct(*docs.columns).alias("document"))
+    found = predict_language(rows, carry="document")
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("document.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts stays."""
-    kept = exact_duplicates(as_evidence(docs)).filter("kept").select(F.col("evidence_id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of identical texts: that with the largest id."""
+    found = exact_duplicates(as_evidence(docs)).filter(F.col("evidence_id").eqNullSafe(F.col("keep_id")))
+    kept = stage(found.groupBy("evidence_id", "content_hash").agg(F.count(F.lit(1)).alias("_copies")), "kept-documents")
+    same = F.col("doc_id").eqNullSafe(F.col("evidence_id")) & (F.col("_digest") == F.col("content_hash"))
+    rows = docs.withColumn("_digest", _digest()).join(kept, same)
+    once = rows.filter("_copies = 1")
+    repeated = rows.filter("_copies > 1").dropDuplicates(["evidence_id", "content_hash"])
+    return once.unionByName(repeated).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    rows = docs.select(_row_id().alias("evidence_id"), F.col("text").alias("snippet"))
+    gone = stage(near_duplicate_snippets(rows).filter("evidence_id <> component_id").select("evidence_id").distinct(), "near-copies")
+    return docs.withColumn("_id", _row_id()).join(gone, F.col("_id") == F.col("evidence_id"), "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    items = spark.read.parquet(join_path(sf_dir, "benchmark.parquet")).select("item_id", F.col("text").alias("message"))
+    rows = docs.select(_row_id().alias("evidence_id"), F.col("text").alias("snippet"))
+    gone = stage(leaked_items(rows, items).select("evidence_id").distinct(), "leaked")
+    return docs.withColumn("_id", _row_id()).join(gone, F.col("_id") == F.col("evidence_id"), "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in training windows; ``ids`` are little-endian unsigned 32-bit numbers."""
+    return pack_snippets(as_evidence(docs), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("evidence_id", "doc_id")
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+STAGES = [
+    ("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's result is stored and read again by the next."""
+    """Applies the stages to ``documents``; each stage's result is stored as Parquet and read again by the next."""
     docs = spark.read.parquet(join_path(sf_dir, "documents.parquet"))
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)

@@ -81,8 +81,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(TEMPERATURES[int(np.argmin(losses))])
 
 
-def predict_language(evidence: DataFrame, folds: int = 3, held_out_fold: int = 1, sample_rows: int = 20_000, settings: Settings = SETTINGS) -> DataFrame:
-    """Language of every whole snippet: ``evidence_id``, ``held_out``, ``lang_pred``, ``score`` (0 to 1).
+def predict_language(evidence: DataFrame, folds: int = 3, held_out_fold: int = 1, sample_rows: int = 20_000, settings: Settings = SETTINGS, carry: str | None = None) -> DataFrame:
+    """Language of every whole snippet: ``evidence_id``, ``held_out``, ``lang_pred``, ``score`` (0 to 1), and the column ``carry`` as it is.
 
     Reads ``evidence_id``, ``snippet`` and ``lang``. The project's records have no language field; ``lang`` is a column that the caller adds, null where unknown.
     Rows whose crc32 of the id modulo ``folds`` is ``held_out_fold`` are held out. Of the others, all with a language give the document
@@ -141,5 +141,6 @@ def predict_language(evidence: DataFrame, folds: int = 3, held_out_fold: int = 1
                 rows.append((names[best], float(chances[best])))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    scored = evidence.select("evidence_id", (share("evidence_id", folds) == held_out_fold).alias("held_out"), predicted("snippet").alias("found"))
-    return scored.select("evidence_id", "held_out", "found.lang_pred", "found.score")
+    more = [carry] if carry else []
+    scored = evidence.select("evidence_id", (share("evidence_id", folds) == held_out_fold).alias("held_out"), predicted("snippet").alias("_found"), *more)
+    return scored.select("evidence_id", "held_out", "_found.lang_pred", "_found.score", *more)
