@@ -18,7 +18,7 @@ from linkstrata.llm.ftrl import EXAMPLE, Settings, dealt, in_sample, probabiliti
 
 FEATURES = 1 << 18
 REMEMBERED = 200_000
-SETTINGS = Settings(alpha=0.3, beta=1.0, l1=0.0005, l2=0.001, shards=6, rounds=4)
+SETTINGS = Settings(alpha=2.0, beta=1.0, l1=0.001, l2=0.0, shards=6, rounds=8)
 _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa" if m[0].istitle() else "aA"), (re.compile(r"\d+"), "0"))
 _KNOWN: dict[bytes, int] = {}
 
