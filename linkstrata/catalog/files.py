@@ -82,7 +82,8 @@ def _(g):
 _HEAD = ("head", """SELECT n.industry_id, n.id, d.code, d.delivery_name, d.code || CASE WHEN length(t) < 6 THEN lpad(t, 6, '0') ELSE t END AS did FROM (
 SELECT industry_id, id, replace(substr(id, length(industry_id) + 2), '_', '') AS t FROM nodes) n JOIN delivery_codes d ON d.industry_id = n.industry_id""")
 DT = ("nodes", "edges", "delivery_codes")
-DA = ("nodes", "edges", "delivery_codes", "attachments", "companies")
+DA = ("nodes", "edges", "delivery_codes", "attachments", "companies", "payloads")
+_DAY = "(SELECT coalesce(nullif(substr(y.generated_at, 1, 10), ''), '2024-06-01') FROM payloads y WHERE y.industry_id = {}.industry_id)"
 _LISTED = ("listed", "SELECT a.* FROM attachments a JOIN companies c ON c.company_id = a.company_id WHERE c.is_listed")
 
 
@@ -100,55 +101,70 @@ def _(g):
     return E.missing_metadata(g("manifest"), E.delivery_metadata(g.spark))
 
 
-@query("s10_delivery_nodes", """SELECT n.industry_id, h.did AS "节点id", '产业链' AS "节点类型", n.name AS "节点名称", 'level_' || n.level AS "节点标签", h.delivery_name AS "节点行业",
+_S10 = """SELECT n.industry_id, h.did AS "节点id", '产业链' AS "节点类型", n.name AS "节点名称", 'level_' || n.level AS "节点标签", h.delivery_name AS "节点行业",
 coalesce(nullif(n.business_description, ''), n.description) AS "业务描述", '' AS "公司列表", CASE WHEN n.is_key_node THEN 'TRUE' ELSE 'FALSE' END AS "关键节点",
 CASE WHEN n.level = 1 THEN n.chain_segment ELSE '' END AS "产业链环节", h.code AS "节点行业code", '2024-05-01' AS "生效时间", '' AS "失效时间"
-FROM nodes n JOIN head h ON h.industry_id = n.industry_id AND h.id = n.id""", DT, (_HEAD,))
+FROM nodes n JOIN head h ON h.industry_id = n.industry_id AND h.id = n.id"""
+
+
+@query("s10_delivery_nodes", _S10, DT, (_HEAD,))
 def _(g):
     return E.node_rows(g("nodes"), g("graphs"), g("delivery_codes"), AS_OF)
 
 
-@query("s11_delivery_edges", """SELECT e.industry_id, t.did AS "起点节点id", tn.name AS "起点节点名称", s.did AS "终点节点id", sn.name AS "终点节点名称",
+_S11 = """SELECT e.industry_id, t.did AS "起点节点id", tn.name AS "起点节点名称", s.did AS "终点节点id", sn.name AS "终点节点名称",
 CASE WHEN e.relation_type = 'contains' THEN 'SUBORDINATE_TO' ELSE 'DOWNSTREAM_OF' END AS "关系类型", e.relation_weight AS "关系权重", e.description AS "关系描述", e.confidence AS "置信度",
 '' AS "强度", '2024-05-01' AS "开始时间", '' AS "结束时间"
 FROM (SELECT industry_id, source, target, relation_type, relation_weight, description, confidence FROM edges
-      UNION ALL SELECT industry_id, source, target, relation_type, relation_weight, description, confidence FROM l2_edges) e
+      UNION ALL SELECT industry_id, source, target, relation_type, relation_weight, description, confidence FROM {overlays}) e
 JOIN head s ON s.industry_id = e.industry_id AND s.id = e.source JOIN head t ON t.industry_id = e.industry_id AND t.id = e.target
-JOIN nodes sn ON sn.industry_id = e.industry_id AND sn.id = e.source JOIN nodes tn ON tn.industry_id = e.industry_id AND tn.id = e.target""", DT + ("l2_edges",), (_HEAD,))
+JOIN nodes sn ON sn.industry_id = e.industry_id AND sn.id = e.source JOIN nodes tn ON tn.industry_id = e.industry_id AND tn.id = e.target"""
+
+
+@query("s11_delivery_edges", _S11.format(overlays="l2_edges"), DT + ("l2_edges",), (_HEAD,))
 def _(g):
     cols = [KEY, "id", "source", "target", "relation_type", "relation_weight", "description", "confidence", "pos"]
-    extra = g("l2_edges").withColumn("pos", F.col("pos") + 2**40).select(*cols)
-    return E.edge_rows(g("edges").select(*cols).unionByName(extra), g("nodes"), g("graphs"), g("delivery_codes"), AS_OF)
+    extra = g("l2_edges").select(*cols).withColumn("layer_no", F.lit(1))
+    return E.edge_rows(g("edges").select(*cols).withColumn("layer_no", F.lit(0)).unionByName(extra), g("nodes"), g("graphs"), g("delivery_codes"), AS_OF)
 
 
-@query("s12_delivery_node_industry", """SELECT n.industry_id, h.did AS "起点节点id", n.name AS "起点节点名称", h.code AS "终点节点code", h.delivery_name AS "终点节点名称",
-'BELONGS_TO_INDUSTRY' AS "关系类型", '2024-05-01' AS "开始时间", '' AS "结束时间" FROM nodes n JOIN head h ON h.industry_id = n.industry_id AND h.id = n.id""", DT, (_HEAD,))
+_S12 = """SELECT n.industry_id, h.did AS "起点节点id", n.name AS "起点节点名称", h.code AS "终点节点code", h.delivery_name AS "终点节点名称",
+'BELONGS_TO_INDUSTRY' AS "关系类型", '2024-05-01' AS "开始时间", '' AS "结束时间" FROM nodes n JOIN head h ON h.industry_id = n.industry_id AND h.id = n.id"""
+
+
+@query("s12_delivery_node_industry", _S12, DT, (_HEAD,))
 def _(g):
     return E.node_industry_rows(g("nodes"), g("graphs"), g("delivery_codes"), AS_OF)
 
 
-@query("s13_delivery_companies", """SELECT DISTINCT a.industry_id, c.comcode AS "节点code", '公司' AS "节点类型", c.name AS "节点名称", '' AS "证券代码", '2024-05-01' AS "生效时间", '' AS "失效时间", '' AS "业务描述"
-FROM listed a JOIN companies c ON c.company_id = a.company_id""", DA, (_LISTED,))
+_S13 = """SELECT DISTINCT a.industry_id, c.comcode AS "节点code", '公司' AS "节点类型", c.name AS "节点名称", '' AS "证券代码", """ + _DAY.format("a") + """ AS "生效时间", '' AS "失效时间", '' AS "业务描述"
+FROM listed a JOIN companies c ON c.company_id = a.company_id"""
+
+
+@query("s13_delivery_companies", _S13, DA, (_LISTED,))
 def _(g):
     a, people = _people(g)
-    return E.company_rows(a, people, g("nodes"), g("graphs"), g("delivery_codes"), AS_OF)
+    return E.company_rows(a, people, g("nodes"), g("payloads"), g("delivery_codes"), AS_OF)
 
 
 _CE = """SELECT DISTINCT x.industry_id, c.comcode AS "起点节点code", c.name AS "起点节点名称", h.did AS "终点节点id", n.name AS "终点节点名称", 'BELONGS_TO_IND_NODE' AS "主体产业链关系",
-'2024-05-01' AS "开始时间", '' AS "结束时间", '联网搜索' AS "数据来源" FROM {pairs} x JOIN companies c ON c.company_id = x.company_id
+""" + _DAY.format("x") + """ AS "开始时间", '' AS "结束时间", '联网搜索' AS "数据来源" FROM {pairs} x JOIN companies c ON c.company_id = x.company_id
 JOIN head h ON h.industry_id = x.industry_id AND h.id = x.node_id JOIN nodes n ON n.industry_id = x.industry_id AND n.id = x.node_id"""
 
 
-@query("s14_delivery_company_nodes", _CE.format(pairs="""(SELECT a.industry_id, a.company_id, h0.ancestor AS node_id FROM listed a JOIN h h0 ON h0.industry_id = a.industry_id AND h0.id = a.node_id)"""), DA, (_LISTED, _HEAD) + H)
+_S14 = _CE.format(pairs="""(SELECT a.industry_id, a.company_id, h0.ancestor AS node_id FROM listed a JOIN h h0 ON h0.industry_id = a.industry_id AND h0.id = a.node_id)""")
+
+
+@query("s14_delivery_company_nodes", _S14, DA, (_LISTED, _HEAD) + H)
 def _(g):
     a, people = _people(g)
-    return E.company_edge_rows(a, people, g("nodes"), g("agg_paths"), g("graphs"), g("delivery_codes"), AS_OF)
+    return E.company_edge_rows(a, people, g("nodes"), g("agg_paths"), g("payloads"), g("delivery_codes"), AS_OF)
 
 
 @query("s15_delivery_company_nodes_direct", _CE.format(pairs="listed"), DA, (_LISTED, _HEAD))
 def _(g):
     a, people = _people(g)
-    return E.company_edge_rows(a, people, g("nodes"), g("agg_paths"), g("graphs"), g("delivery_codes"), AS_OF, aggregate_upward=False)
+    return E.company_edge_rows(a, people, g("nodes"), g("agg_paths"), g("payloads"), g("delivery_codes"), AS_OF, aggregate_upward=False)
 
 
 def overlay_meta(g):
@@ -190,24 +206,38 @@ def _(g):
     return E.eligible_industries(g("manifest"), g("nodes"), _ready(g))
 
 
-@query("s16_delivery_bundle", """SELECT industry_id, file, count(*) AS row_count FROM (
-SELECT industry_id, 'industry_node' AS file FROM delivery_codes UNION ALL SELECT industry_id, 'industrynode_node' FROM nodes UNION ALL SELECT industry_id, 'industrynode_industry_edge' FROM nodes
-UNION ALL SELECT industry_id, 'industrynode_edge' FROM edges
-UNION ALL SELECT e.industry_id, 'industrynode_edge' FROM l2_edges e JOIN overlay o ON o.industry_id = e.industry_id AND o.overlay_status = 'ready'
-UNION ALL SELECT e.industry_id, 'industrynode_edge' FROM projected e JOIN overlay o ON o.industry_id = e.industry_id AND o.overlay_status = 'ready'
-UNION ALL SELECT DISTINCT ON (a.industry_id, a.company_id) a.industry_id, 'company_node' FROM listed a JOIN overlay o ON o.industry_id = a.industry_id AND o.overlay_status = 'ready'
-UNION ALL SELECT a.industry_id, 'company_industrynode_edge_node_不聚合' FROM listed a JOIN overlay o ON o.industry_id = a.industry_id AND o.overlay_status = 'ready'
-UNION ALL SELECT industry_id, 'company_industrynode_edge_node' FROM (SELECT DISTINCT a.industry_id, a.company_id, h.ancestor FROM listed a JOIN overlay o ON o.industry_id = a.industry_id AND o.overlay_status = 'ready'
-  JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id)) GROUP BY ALL""", DA + ("manifest", "l2_edges"), (_LISTED, _READY) + H + _PROJ)
+def _file(name: str, select: str, ready: bool = False) -> str:
+    cells = ", ".join(f'"{c}"' for c in D.HEADERS[name])
+    gate = " WHERE industry_id IN (SELECT industry_id FROM overlay WHERE overlay_status = 'ready')" if ready else ""
+    return f"SELECT industry_id, '{name}' AS file, concat_ws('|', {cells}) AS line FROM ({select}) f{gate}"
+
+
+_OVERLAYS = (
+    ("members", """SELECT industry_id, sp AS source, target, source AS ls, target AS lt, id, relation_weight, confidence FROM both_l2
+UNION ALL SELECT industry_id, source, tp, source, target, id, relation_weight, confidence FROM both_l2"""),
+    ("overlays", """SELECT x.* FROM (
+SELECT industry_id, source, target, relation_type, relation_weight, description, confidence FROM l2_edges UNION ALL
+SELECT m.industry_id, m.source, m.target, 'upstream_downstream', arg_min(m.relation_weight, {'s': m.ls, 't': m.lt}),
+any_value(s.name) || '是' || any_value(t.name) || '的跨层上游投影，由 ' || count(DISTINCT m.id) || ' 条 L2 上下游关系推导。', min(m.confidence)
+FROM members m JOIN nodes s ON s.industry_id = m.industry_id AND s.id = m.source JOIN nodes t ON t.industry_id = m.industry_id AND t.id = m.target
+GROUP BY m.industry_id, m.source, m.target) x JOIN overlay o ON o.industry_id = x.industry_id AND o.overlay_status = 'ready'"""),
+)
+
+
+@query("s16_delivery_bundle", "\nUNION ALL ".join((
+    _file("industry_node", "SELECT industry_id, code, delivery_name AS name, ind_id FROM delivery_codes"), _file("industrynode_node", _S10), _file("industrynode_industry_edge", _S12),
+    _file("industrynode_edge", _S11.format(overlays="overlays")), _file("company_node", _S13, True), _file("company_industrynode_edge_node", _S14, True),
+    _file("company_industrynode_edge_node_不聚合", _CE.format(pairs="listed"), True),
+)), DA + ("manifest", "l2_edges"), (_LISTED, _READY, _HEAD) + H + _PROJ + _OVERLAYS)
 def _(g):
     tables = D.delivery_tables(
         g("graphs"), g("nodes"), g("edges"), g("l2_edges"), project_flows(g("l2_edges"), g("nodes"), AS_OF), g("attachments"), g("companies"),
-        g("agg_paths"), g("delivery_codes"), _ready(g), _ready(g), AS_OF,
+        g("agg_paths"), g("delivery_codes"), _ready(g), _ready(g), g("payloads"), AS_OF,
     )
     paths = D.write_bundle(tables, g.fresh_path("delivery"))
     out = None
     for name, path in paths.items():
-        rows = g.spark.read.option("header", True).csv(path).groupBy(KEY).agg(F.count("*").alias("row_count")).select(KEY, F.lit(name).alias("file"), "row_count")
+        rows = FI.read_delivery(g.spark, path).select(KEY, F.lit(name).alias("file"), F.concat_ws("|", *D.HEADERS[name]).alias("line"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -24,14 +24,23 @@ def missing_metadata(industries: DataFrame, metadata: DataFrame) -> DataFrame:
     return industries.select(KEY).join(metadata.select(KEY), KEY, "left_anti")
 
 
+def mapped(industries: DataFrame, metadata: DataFrame, *columns: str) -> DataFrame:
+    """Delivery mapping of each industry, with further ``columns`` of it; an industry without a mapping is an error, never left out."""
+    unknown = F.raise_error(F.concat(F.lit("no delivery mapping for industry "), F.col(KEY))).cast("string")
+    rows = industries.select(KEY, *columns).join(metadata.select(KEY, "code", "delivery_name", "ind_id"), KEY, "left")
+    return rows.select(KEY, F.coalesce("code", unknown).alias("code"), "delivery_name", "ind_id", *columns)
+
+
 def industry_rows(metadata: DataFrame, industries: DataFrame) -> DataFrame:
-    return metadata.join(industries.select(KEY), KEY, "left_semi").select(KEY, "code", F.col("delivery_name").alias("name"), "ind_id")
+    return mapped(industries, metadata).select(KEY, "code", F.col("delivery_name").alias("name"), "ind_id")
 
 
-def _headed(df: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
+def _headed(df: DataFrame, headers: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
+    """Rows with code, delivery name and effective date: the day of the header's ``generated_at``. Rows without a header are an error."""
     date = F.substring(X.or_default(F.col("generated_at"), F.lit(as_of)), 1, 10)
-    head = metadata.join(graphs.select(KEY, date.alias("effective_date")), KEY).select(KEY, "code", "delivery_name", "effective_date")
-    return lookup(df, head, [KEY], "inner")
+    head = mapped(headers, metadata, "generated_at").select(KEY, "code", "delivery_name", date.alias("effective_date"))
+    unknown = F.raise_error(F.concat(F.lit("no header for industry "), F.col(KEY))).cast("string")
+    return lookup(df, head, [KEY], "left").withColumn("code", F.coalesce("code", unknown))
 
 
 def node_rows(nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
@@ -48,13 +57,15 @@ def node_rows(nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: s
 
 def _coded(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
     """(industry_id, id, name, did): delivery ids are computed once per node, not per row that names it."""
-    code = lookup(nodes.select(KEY, "id", "name"), metadata.select(KEY, "code"), [KEY], "inner")
+    unknown = F.raise_error(F.concat(F.lit("no delivery mapping for industry "), F.col(KEY))).cast("string")
+    code = lookup(nodes.select(KEY, "id", "name"), metadata.select(KEY, "code"), [KEY], "left").withColumn("code", F.coalesce("code", unknown))
     return code.select(KEY, "id", "name", X.delivery_id(F.col("id"), F.col(KEY), F.col("code")).alias("did"))
 
 
 def edge_rows(edges: DataFrame, nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
-    """Start is the edge's target, end its source. ``edges`` is ordered by ``pos`` (main first, then overlays)."""
+    """Start is the edge's target, end its source. ``edges`` is ordered by ``layer_no`` if present (main first, then overlays), then ``pos``."""
     c = F.col
+    edges = edges if "layer_no" in edges.columns else edges.withColumn("layer_no", F.lit(0))
     ids = nodes.select(KEY, "id")
     known = (
         edges.withColumn("_key", X.or_default(c("id"), F.concat("source", F.lit("->"), "target")))
@@ -62,7 +73,8 @@ def edge_rows(edges: DataFrame, nodes: DataFrame, graphs: DataFrame, metadata: D
         .join(ids.withColumnRenamed("id", "target"), [KEY, "target"], "left_semi")
     )
     rows = first_by(
-        known.select(KEY, "_key", "pos", "source", "target", "relation_type", "relation_weight", "description", "confidence"), [KEY, "_key"], ["pos", "source", "target"]
+        known.select(KEY, "_key", "layer_no", "pos", "source", "target", "relation_type", "relation_weight", "description", "confidence"),
+        [KEY, "_key"], ["layer_no", "pos", "source", "target"],
     )
     coded = _coded(nodes, metadata)
     named = rows.join(coded.select(KEY, c("id").alias("source"), c("name").alias("_sn"), c("did").alias("_sd")), [KEY, "source"]).join(
@@ -90,22 +102,22 @@ def _known_attachments(attachments: DataFrame, companies: DataFrame, nodes: Data
     )
 
 
-def company_rows(attachments: DataFrame, companies: DataFrame, nodes: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
-    """Distinct attached companies (``companies`` per industry)."""
+def company_rows(attachments: DataFrame, companies: DataFrame, nodes: DataFrame, payloads: DataFrame, metadata: DataFrame, as_of: str) -> DataFrame:
+    """Distinct attached companies (``companies`` per industry); ``payloads`` are the headers of the attachment payloads, whose date counts."""
     c = F.col
     ids = _known_attachments(attachments, companies, nodes).select(KEY, "company_id").distinct()
     info = companies.select(KEY, "company_id", "comcode", "name").dropDuplicates([KEY, "company_id"])
-    return _headed(ids.join(info, [KEY, "company_id"]), graphs, metadata, as_of).select(
+    return _headed(ids.join(info, [KEY, "company_id"]), payloads, metadata, as_of).select(
         KEY, c("comcode").alias("节点code"), F.lit("公司").alias("节点类型"), c("name").alias("节点名称"), F.lit("").alias("证券代码"),
         c("effective_date").alias("生效时间"), F.lit("").alias("失效时间"), F.lit("").alias("业务描述"),
     )
 
 
 def company_edge_rows(
-    attachments: DataFrame, companies: DataFrame, nodes: DataFrame, paths: DataFrame, graphs: DataFrame, metadata: DataFrame, as_of: str,
+    attachments: DataFrame, companies: DataFrame, nodes: DataFrame, paths: DataFrame, payloads: DataFrame, metadata: DataFrame, as_of: str,
     aggregate_upward: bool = True,
 ) -> DataFrame:
-    """Company-node rows: the direct node and, when rolling up, every classification ancestor."""
+    """Company-node rows: the direct node and, when rolling up, every classification ancestor; dated by the attachment payload."""
     c = F.col
     pairs = _known_attachments(attachments, companies, nodes).select(KEY, "company_id", "node_id").distinct()
     if aggregate_upward:
@@ -114,7 +126,7 @@ def company_edge_rows(
     info = companies.select(KEY, "company_id", "comcode", c("name").alias("company_name")).dropDuplicates([KEY, "company_id"])
     coded = _coded(nodes, metadata).select(KEY, c("id").alias("node_id"), c("name").alias("node_name"), "did")
     named = pairs.join(coded, [KEY, "node_id"]).join(info, [KEY, "company_id"])
-    return _headed(named.withColumnRenamed("node_id", "id"), graphs, metadata, as_of).select(
+    return _headed(named.withColumnRenamed("node_id", "id"), payloads, metadata, as_of).select(
         KEY, c("comcode").alias("起点节点code"), c("company_name").alias("起点节点名称"), c("did").alias("终点节点id"),
         c("node_name").alias("终点节点名称"), F.lit("BELONGS_TO_IND_NODE").alias("主体产业链关系"), c("effective_date").alias("开始时间"),
         F.lit("").alias("结束时间"), F.lit("联网搜索").alias("数据来源"),

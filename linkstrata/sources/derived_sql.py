@@ -87,6 +87,11 @@ SELECT industry_id, upper(substr(industry_id, 1, 4)) || '_' AS code, industry_na
 FROM {node_base} WHERE level = 0
 """
 
+# headers of the attachment payloads; their dates differ from those of the graphs
+DEFINITIONS["payloads"] = """
+SELECT industry_id, CASE WHEN industry_id LIKE 'med%' THEN '' ELSE '2024-05-20T09:00:00+00:00' END AS generated_at FROM {node_base} WHERE level = 0
+"""
+
 DEFINITIONS["nodes"] = """
 SELECT industry_id, pos, id, name, CASE WHEN level = 0 THEN '产业链' WHEN level = 1 THEN '产业链环节' ELSE '细分环节' END AS node_type,
        'level_' || cast(level AS string) || ';' || chain_position AS tags, industry_name AS industry, level, chain_position, parent_id,

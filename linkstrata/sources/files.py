@@ -126,11 +126,21 @@ def refresh_taxonomy_table(rows: DataFrame, path: str) -> DataFrame:
 
 
 def write_delivery(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Delivery CSV, a folder per industry, UTF-8, given header order."""
-    out = df.select(KEY, *columns)
+    """Delivery CSV, a folder per industry and ``file_prefix``, UTF-8 with byte-order mark, given header order.
+
+    The mark is written as part of each file's header line. With ``order`` the rows of an industry are in order over its part files.
+    """
+    out = df.select(KEY, "file_prefix", *columns)
     if order:
-        out = out.sortWithinPartitions(KEY, *order)
-    out.write.mode("overwrite").partitionBy(KEY).option("header", True).csv(path)
+        out = out.repartitionByRange(KEY, *order).sortWithinPartitions(KEY, *order)
+    marked = out.withColumnRenamed(columns[0], K.BYTE_ORDER_MARK + columns[0])
+    marked.write.mode("overwrite").partitionBy(KEY, "file_prefix").option("header", True).csv(path)
+
+
+def read_delivery(spark: SparkSession, path: str) -> DataFrame:
+    """Delivery CSV as written by ``write_delivery``."""
+    df = spark.read.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
+    return df.select(*[F.col(f"`{c}`").alias(c.lstrip(K.BYTE_ORDER_MARK)) for c in df.columns])
 
 
 def write_report(lines: DataFrame, path: str) -> None:

@@ -3,6 +3,9 @@ import json
 import pytest
 
 import samples as S
+from pyspark.sql import functions as F
+
+from linkstrata.operators import export as E
 from linkstrata.operators import publish as P
 from linkstrata.plans.delivery import HEADERS, delivery_tables, write_bundle
 from linkstrata.operators import hierarchy as HI
@@ -66,17 +69,33 @@ def test_delivery_bundle(spark, tmp_path):
     ready = spark.createDataFrame([("t", "ready")], "industry_id string, overlay_status string")
     none = spark.createDataFrame([], S.EDGE_SCHEMA)
     paths = HI.ancestor_paths(HI.aggregation_parents(n, e))
-    tables = delivery_tables(S.graphs(spark), n, e, none, none, a, people, paths, meta, ready, ready, "2024-06-01")
+    payloads = spark.createDataFrame([("t", "2024-05-20T09:00:00+00:00")], "industry_id string, generated_at string")
+    tables = delivery_tables(S.graphs(spark), n, e, none, none, a, people, paths, meta, ready, ready, payloads, "2024-06-01")
     out = write_bundle(tables, str(tmp_path / "out"))
-    read = {k: spark.read.option("header", True).csv(p) for k, p in out.items()}
+    read = {k: FI.read_delivery(spark, p) for k, p in out.items()}
     assert {k: v.count() for k, v in read.items()} == {
         "industry_node": 1, "industrynode_node": 3, "industrynode_edge": 2, "industrynode_industry_edge": 3, "company_node": 1,
         "company_industrynode_edge_node": 3, "company_industrynode_edge_node_不聚合": 1}
     for name, df in read.items():
-        assert [c for c in df.columns if c != "industry_id"] == list(HEADERS[name])
+        assert [c for c in df.columns if c not in ("industry_id", "file_prefix")] == list(HEADERS[name])
+        assert {r[0] for r in df.select("file_prefix").collect()} == {"测试"}
+    assert S.rows(read["company_node"], "生效时间") == [("2024-05-20",)] and S.rows(read["industrynode_node"].limit(1), "生效时间") == [("2024-05-01",)]
+    files = list((tmp_path / "out" / "industry_node").rglob("*.csv"))
+    assert files and all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in files)
     assert S.rows(read["industrynode_edge"], "起点节点id", "终点节点id") == [("T000001", "T000000"), ("T001001", "T000001")]
 
 
+def test_delivery_needs_a_mapping_and_distinct_ids(spark):
+    n = S.nodes(spark, [("t_000", "r", 0, "root", ""), ("t_001", "a", 1, "midstream", "t_000"), ("t_1", "b", 1, "midstream", "t_000")])
+    meta = spark.createDataFrame([("t", "T", "测试", "01")], "industry_id string, code string, delivery_name string, ind_id string")
+    other = meta.withColumn("industry_id", F.lit("other"))
+    assert E.node_rows(n, S.graphs(spark), meta, "2024-06-01").count() == 3
+    for rows in (E.node_rows(n, S.graphs(spark), other, "2024-06-01"), E.industry_rows(other, S.graphs(spark)), E.node_industry_rows(n, S.graphs(spark), other, "2024-06-01")):
+        with pytest.raises(Exception, match="no delivery mapping for industry t"):
+            rows.collect()
+    assert S.rows(E.delivery_id_collisions(E.node_rows(n, S.graphs(spark), meta, "2024-06-01")), "delivery_id") == [("T000001",)]
+
+
 def test_overlay_status_and_fingerprint(spark):
     n, e, g = S.nodes(spark, S.FLOW_NODES), S.edges(spark, S.FLOW_EDGES), S.graphs(spark)
     first = P.graph_fingerprint(g, n, e).collect()[0]["graph_fingerprint"]
