@@ -59,7 +59,11 @@ def _branch_nodes(g):
     return g("nodes").filter("level >= 1").join(g("lines").select(KEY, "id", "branch_id"), [KEY, "id"]).select(*g("nodes").columns, "branch_id")
 
 
-@query("w05_branch_namespacing", "SELECT a.industry_id, a.branch_id, a.new_id AS id, coalesce(p.new_id, a.parent_id) AS parent_id, a.name FROM ns a LEFT JOIN ns p ON p.industry_id = a.industry_id AND p.id = a.parent_id", ("nodes",), LINE + (_BR, _NS))
+_BR_BY_ID = ("br", "SELECT *, industry_id || '_' || split_part(substr(id, length(industry_id) + 2), '_', 1) AS branch_id FROM nodes WHERE level >= 1")
+
+
+@query("w05_branch_namespacing", """SELECT a.industry_id, a.branch_id, a.new_id AS id, coalesce(p.new_id, a.parent_id) AS parent_id, a.name
+FROM ns a LEFT JOIN ns p ON p.industry_id = a.industry_id AND p.branch_id = a.branch_id AND p.id = a.parent_id""", ("nodes",), (_BR_BY_ID, _NS))
 def _(g):
     loose = _branch_nodes(g).withColumn("id", F.concat(F.lit(" "), "id"))
     edges = g("edges").withColumn("branch_id", F.col("source"))
@@ -407,10 +411,12 @@ def _(g):
     return V.graph_profile(g("nodes"), g("edges"), g("lines"))
 
 
-@query("a14_minimal_change", """SELECT a.industry_id, code FROM (SELECT industry_id, count(*) AS n0, count(*) FILTER (WHERE NOT (level = 3 AND confidence < 0.6) AND NOT (level = 2 AND confidence < 0.5)) AS n1 FROM nodes GROUP BY ALL) a, (SELECT 'node_change_too_large' AS code)
-WHERE n0 - n1 > greatest(5, floor(n0 * 0.15))""", ("nodes",))
+@query("a14_minimal_change", """SELECT industry_id, 'node_change_too_large' AS code, 'nodes' AS item_id FROM (SELECT industry_id, count(*) AS n0,
+count(*) FILTER (WHERE NOT (level = 3 AND confidence < 0.6) AND NOT (level = 2 AND confidence < 0.5)) AS n1 FROM nodes GROUP BY ALL) WHERE n0 - n1 > greatest(5, floor(n0 * 0.15))
+UNION ALL SELECT industry_id, 'edge_change_too_large', 'edges' FROM (SELECT industry_id, count(*) AS e0, count(*) FILTER (WHERE confidence >= 0.5) AS e1 FROM edges GROUP BY ALL)
+WHERE e0 - e1 > greatest(10, floor(e0 * 0.15))""", ("nodes", "edges"))
 def _(g):
-    return V.minimal_change(g("nodes"), g("edges"), alive_nodes(g), g("edges")).select(KEY, "code")
+    return V.minimal_change(g("nodes"), g("edges"), alive_nodes(g), g("edges").filter("confidence >= 0.5")).select(KEY, "code", "item_id")
 
 
 @query("m10_review_queue", """SELECT industry_id, type, count(*) AS n FROM (SELECT industry_id, 'validation_issue' AS type FROM found WHERE severity = 'error' OR code IN ('duplicate_node_name', 'isolated_node')

@@ -151,9 +151,20 @@ def _(g):
     return FL.split_by_cache(_keyed(g), g("decision_cache"))[1].select(KEY, "pair_id")
 
 
-@query("p23_cache_key")
-def _(g):
-    return FL.with_cache_key(pairs(g)).select(KEY, "pair_id", "cache_key")
+@query("p23_cache_key", """SELECT p.industry_id, p.pair_id, true AS has_form, true AS same_again, substr(p.pair_id, 3, 1) >= '8' AS same_with_new_hashes, false AS same_for_other_model, substr(p.pair_id, 4, 1) >= '4' AS same_with_new_verdicts
+FROM pairs p JOIN picked x ON x.industry_id = p.industry_id AND x.pair_id = p.pair_id""", ("nodes",), SCORE)
+def _(g):
+    rows, c = FL.with_cache_key(pairs(g)), F.col
+    hashed = pairs(g).withColumn("node_b_hash", F.when(F.substring("pair_id", 3, 1) < "8", F.sha2("node_b_hash", 256)).otherwise(c("node_b_hash")))
+    verdicts = pairs(g).withColumn("allowed_verdicts", F.when(F.substring("pair_id", 4, 1) < "4", F.array(F.lit("NO"))).otherwise(c("allowed_verdicts")))
+    others = {
+        "same_again": FL.with_cache_key(pairs(g).repartition(3)), "same_with_new_hashes": FL.with_cache_key(hashed),
+        "same_for_other_model": FL.with_cache_key(pairs(g), model="another model"), "same_with_new_verdicts": FL.with_cache_key(verdicts),
+    }
+    out = rows.select(KEY, "pair_id", "cache_key", c("cache_key").rlike("^[0-9a-f]{64}$").alias("has_form"))
+    for name, other in others.items():
+        out = out.join(other.select(KEY, "pair_id", c("cache_key").alias("_other")), [KEY, "pair_id"]).withColumn(name, c("cache_key") == c("_other")).drop("_other")
+    return out.drop("cache_key")
 
 
 def _answers(g):

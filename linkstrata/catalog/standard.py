@@ -198,11 +198,25 @@ def _(g):
     return g("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
-@query("p20_graph_fingerprint")
+@query("p20_graph_fingerprint", """SELECT m.industry_id, true AS has_form, true AS same_when_dealt_anew, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.industry_id = m.industry_id AND n.level = 3 AND n.confidence < 0.42) AS same_with_new_names,
+NOT EXISTS (SELECT 1 FROM edges e WHERE e.industry_id = m.industry_id AND e.confidence > 0.98) AS same_without_sure_edges, false AS same_in_new_order, (SELECT count(*) FROM manifest) AS n_distinct FROM manifest m""", ("nodes", "edges", "manifest"))
 def _(g):
     from linkstrata.operators.publish import graph_fingerprint
 
-    return graph_fingerprint(g("graphs"), g("nodes"), g("edges"))
+    n, e = g("nodes"), g("edges")
+    mark = F.col("graph_fingerprint")
+    first = graph_fingerprint(g("graphs"), n, e)
+    renamed = n.withColumn("name", F.when((F.col("level") == 3) & (F.col("confidence") < 0.42), F.concat("name", F.lit(" new"))).otherwise(F.col("name")))
+    others = {
+        "same_when_dealt_anew": (n.repartition(5), e.repartition(3)), "same_with_new_names": (renamed, e), "same_without_sure_edges": (n, e.filter("confidence <= 0.98")),
+        "same_in_new_order": (n.withColumn("pos", F.col("pos") + 1), e),
+    }
+    out = first.withColumn("has_form", mark.rlike("^[0-9a-f]{64}$"))
+    for name, (nodes, edges) in others.items():
+        other = graph_fingerprint(g("graphs"), nodes, edges).select(KEY, mark.alias("_other"))
+        out = out.join(other, KEY).withColumn(name, mark == F.col("_other")).drop("_other")
+    distinct = first.agg(F.countDistinct(mark).alias("n_distinct"))
+    return out.drop("graph_fingerprint").withColumn("n_distinct", distinct.scalar())
 
 
 @query("p21_confidence_clamp", """SELECT industry_id, pos, company_id, greatest(0.0, least(1.0, coalesce(try_cast(confidence AS double), 0.75))) AS confidence FROM web_matches""", ("web_matches",))

@@ -185,10 +185,11 @@ def minimal_change(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new
     c = F.col
     joined = n(nodes, "n0").join(n(new_nodes, "n1"), KEY, "full_outer").join(n(edges, "e0"), KEY, "full_outer").join(n(new_edges, "e1"), KEY, "full_outer").na.fill(0)
     limit = lambda x, floor: F.greatest(F.lit(floor), F.floor(c(x) * 0.15))
-    sizes = _row_rules(joined, "minimal_change", F.lit(""), [
+    sizes = _row_rules(joined, "minimal_change", F.lit("nodes"), [
         (F.abs(c("n1") - c("n0")) > limit("n0", 5), ERROR, "node_change_too_large", "too many nodes changed"),
+    ]).unionByName(_row_rules(joined, "minimal_change", F.lit("edges"), [
         (F.abs(c("e1") - c("e0")) > limit("e0", 10), ERROR, "edge_change_too_large", "too many edges changed"),
-    ])
+    ]))
     if "has_company_field" not in new_nodes.columns:
         return sizes
     return sizes.unionByName(_issues(new_nodes.filter(F.coalesce("has_company_field", F.lit(False))), "minimal_change", ERROR, "company_field_introduced", "node carries company data", c("id")))
