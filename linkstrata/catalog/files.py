@@ -265,7 +265,7 @@ def _(g):
     new = g("nodes").filter("level >= 2").withColumn("name", F.concat("name", F.lit(" *"))).select(*keep)
     link = [KEY, "source", "relation_type", "target", "confidence"]
     dangling = g("edges").withColumn("target", F.concat("target", F.lit("_none"))).select(*link)
-    nodes, edges, counts = P.upsert_graph(old, g("edges").filter("pos < 3000000").select(*link), new, g("edges").select(*link).unionByName(dangling))
+    nodes, edges, counts = P.upsert_graph(old, g("edges").filter("pos < 3000000000000").select(*link), new, g("edges").select(*link).unionByName(dangling))
     renamed = nodes.groupBy(KEY).agg(F.count_if((F.col("level") == 2) & F.col("name").endswith(" *")).alias("renamed"))
     return counts.join(renamed, KEY)
 

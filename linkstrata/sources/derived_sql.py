@@ -3,8 +3,7 @@
 ``{name}`` refers to a base table or to another definition. Columns listed in ``LISTS`` are
 written as ``;``-joined text here and become arrays when the table is built.
 
-Shape: one graph per (part type, block of 2,000 parts), so the number of graphs grows with the
-data; L1 = size class, L2 = brand, L3 = part name; companies are suppliers; attachments come
+Shape: one graph per part type, so a graph grows with the data; L1 = size class, L2 = brand, L3 = part name; companies are suppliers; attachments come
 from line items; proposals and repairs come from events. Copies with defects, chosen by key
 arithmetic over all rows, give every rule something to find.
 """
@@ -16,8 +15,7 @@ DEFINITIONS: dict[str, str] = {}
 DEFINITIONS["parts"] = """
 SELECT p_partkey, p_name, p_brand, p_type, p_size,
        least(6, 1 + cast(floor((p_size - 1) / 8) AS int)) AS k1,
-       lower(p_type) || '_' || cast(cast(floor(p_partkey / 2000) AS bigint) AS string) AS industry_id,
-       p_type || ' ' || cast(cast(floor(p_partkey / 2000) AS bigint) AS string) AS industry_name
+       lower(p_type) AS industry_id, p_type AS industry_name
 FROM {part}
 """
 
@@ -40,7 +38,7 @@ _POSITION = """CASE WHEN k1 = 0 THEN 'root' WHEN k1 <= 2 THEN 'upstream' WHEN k1
      WHEN k1 = 4 THEN 'support' ELSE 'downstream' END"""
 
 DEFINITIONS["node_base"] = f"""
-SELECT industry_id, cast(k1 * 1000000 + k2 * 1000 + k3 AS bigint) AS pos, id, name, level, k1, k2, k3, partkey, industry_name,
+SELECT industry_id, (cast(k1 AS bigint) * 1000000 + k2) * 1000000 + k3 AS pos, id, name, level, k1, k2, k3, partkey, industry_name,
        {_POSITION} AS chain_position, parent_id, description,
        CASE WHEN level >= 2 AND (k1 * 5 + k2 * 3 + k3) % 7 = 0 THEN ''
             ELSE '{SOURCE}' || id || ';{SOURCE}name/' || lower(name) END AS source_urls,
@@ -51,18 +49,18 @@ FROM (
          cast(0 AS bigint) AS partkey, '' AS parent_id, 'all links of ' || industry_name AS description
   FROM {{parts}} GROUP BY industry_id, industry_name
   UNION ALL
-  SELECT industry_id, industry_name, k1, 0, 0, industry_id || '_' || lpad(cast(k1 AS string), 3, '0'), 'size class ' || cast(k1 AS string), 1,
+  SELECT industry_id, industry_name, k1, 0, 0, industry_id || '_' || lpad(cast(k1 AS string), cast(greatest(3, length(cast(k1 AS string))) AS int), '0'), 'size class ' || cast(k1 AS string), 1,
          cast(0 AS bigint), CASE WHEN k1 IN (3, 4) THEN industry_id || '_000' ELSE '' END, ''
   FROM {{parts}} GROUP BY industry_id, industry_name, k1
   UNION ALL
   SELECT industry_id, industry_name, k1, k2, 0,
-         industry_id || '_' || lpad(cast(k1 AS string), 3, '0') || '_' || lpad(cast(k2 AS string), 3, '0'), p_brand, 2,
-         cast(0 AS bigint), industry_id || '_' || lpad(cast(k1 AS string), 3, '0'), p_brand || ' covers ' || lo || ' to ' || hi
+         industry_id || '_' || lpad(cast(k1 AS string), cast(greatest(3, length(cast(k1 AS string))) AS int), '0') || '_' || lpad(cast(k2 AS string), cast(greatest(3, length(cast(k2 AS string))) AS int), '0'), p_brand, 2,
+         cast(0 AS bigint), industry_id || '_' || lpad(cast(k1 AS string), cast(greatest(3, length(cast(k1 AS string))) AS int), '0'), p_brand || ' covers ' || lo || ' to ' || hi
   FROM {{branch_keys}}
   UNION ALL
   SELECT industry_id, industry_name, k1, k2, k3,
-         industry_id || '_' || lpad(cast(k1 AS string), 3, '0') || '_' || lpad(cast(k2 AS string), 3, '0') || '_' || lpad(cast(k3 AS string), 3, '0'), p_name, 3,
-         partkey, industry_id || '_' || lpad(cast(k1 AS string), 3, '0') || '_' || lpad(cast(k2 AS string), 3, '0'),
+         industry_id || '_' || lpad(cast(k1 AS string), cast(greatest(3, length(cast(k1 AS string))) AS int), '0') || '_' || lpad(cast(k2 AS string), cast(greatest(3, length(cast(k2 AS string))) AS int), '0') || '_' || lpad(cast(k3 AS string), cast(greatest(3, length(cast(k3 AS string))) AS int), '0'), p_name, 3,
+         partkey, industry_id || '_' || lpad(cast(k1 AS string), cast(greatest(3, length(cast(k1 AS string))) AS int), '0') || '_' || lpad(cast(k2 AS string), cast(greatest(3, length(cast(k2 AS string))) AS int), '0'),
          p_name || ' of ' || p_brand || ' goes with Brand#' || cast((partkey * 7 + k1) % 25 + 1 AS string)
   FROM {{leaf_keys}}
 ) t
@@ -164,8 +162,7 @@ SELECT s_suppkey, 'sw_' || cast(s_suppkey AS string) AS company_id, cast(s_suppk
        CASE WHEN s_suppkey % 5 = 0 THEN cast(NULL AS boolean) ELSE s_acctbal > 2000 END AS is_listed,
        CASE WHEN s_suppkey % 9 = 0 THEN cast(NULL AS boolean) ELSE s_suppkey % 7 = 0 END AS is_abroad_listed,
        CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 4 <> 0 THEN p_name || 'Ⅲ' ELSE 'Brand#' || cast(s_suppkey % 25 + 1 AS string) || 'Ⅱ' END AS indunamesw,
-       (CASE s_suppkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END)
-         || ' ' || cast(cast(floor(s_suppkey / 100) AS bigint) AS string) AS indunamesw1,
+       (CASE s_suppkey % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END) AS indunamesw1,
        'Brand#' || cast(s_suppkey % 25 + 1 AS string) || 'Ⅱ' AS indunamesw2,
        CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE p_name || 'Ⅲ' END AS indunamesw3
 FROM {supplier} JOIN {part} ON p_partkey = s_suppkey * 20
@@ -345,7 +342,7 @@ SELECT industry_id, id AS branch_id, name AS branch_name, pos, CASE WHEN k1 = 2
        NOT (k1 = 5 AND industry_id LIKE 'med%') AS has_graph
 FROM {node_base} WHERE level = 1
 UNION ALL
-SELECT industry_id, industry_id || '_099', 'gone branch', cast(99000000 AS bigint), 'error', false FROM {node_base} WHERE level = 0
+SELECT industry_id, industry_id || '_099', 'gone branch', cast(99000000000000 AS bigint), 'error', false FROM {node_base} WHERE level = 0
 """
 
 DEFINITIONS["opinion_records"] = """
