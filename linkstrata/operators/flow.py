@@ -136,25 +136,57 @@ _SCORED = (
 )
 
 
-def _overlap(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """|A and B| for all cells of one block pair, through 0/1 matrices over the shared grams."""
-    common = set().union(*map(set, left)) & set().union(*map(set, right))
-    index = {g: i for i, g in enumerate(common)}
-    result = np.zeros((len(left), len(right)), dtype=np.float32)
-    width = 8192
-    rows = [[index[g] for g in grams if g in index] for grams in left]
-    cols = [[index[g] for g in grams if g in index] for grams in right]
-    for start in range(0, len(index), width):
-        a = np.zeros((len(left), width), dtype=np.float32)
-        b = np.zeros((len(right), width), dtype=np.float32)
-        for matrix, ids in ((a, rows), (b, cols)):
-            for i, row in enumerate(ids):
-                inside = [j - start for j in row if start <= j < start + width]
-                matrix[i, inside] = 1.0
-        result += a @ b.T
+def _gram_sets(texts: pd.Series) -> list[set[str]]:
+    """Character 2- and 3-grams of each text, as ``text.grams`` builds them."""
+    return [{t[i:i + n] for n in (2, 3) for i in range(len(t) - n + 1)} for t in texts]
+
+
+def _postings(sets: list[set[str]]) -> dict[str, np.ndarray]:
+    rows: dict[str, list[int]] = {}
+    for i, grams in enumerate(sets):
+        for g in grams:
+            rows.setdefault(g, []).append(i)
+    return {g: np.array(r) for g, r in rows.items()}
+
+
+def _overlap(left: dict[str, np.ndarray], right: dict[str, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """|A and B| for all cells of one block pair: products of 0/1 matrices over the shared grams."""
+    common = [(left[g], right[g]) for g in left.keys() & right.keys()]
+    result = np.zeros(shape, dtype=np.float32)
+    for start in range(0, len(common), 4096):
+        part = common[start:start + 4096]
+        pair = []
+        for side in (0, 1):
+            matrix = np.zeros((shape[side], len(part)), dtype=np.float32)
+            rows = np.concatenate([p[side] for p in part])
+            matrix[rows, np.repeat(np.arange(len(part)), [len(p[side]) for p in part])] = 1.0
+            pair.append(matrix)
+        result += pair[0] @ pair[1].T
     return result
 
 
+def _mentions(names: pd.Series, texts: list[str], postings: dict[str, np.ndarray]) -> np.ndarray:
+    """1 where a name occurs in a text. A text that holds a name holds its grams: only texts with the name's rarest gram are searched."""
+    found = np.zeros((len(names), len(texts)), dtype=np.float64)
+    for name, rows in names.groupby(names).indices.items():
+        grams = [name[i:i + n] for n in (2, 3) for i in range(len(name) - n + 1)]
+        near = min((postings.get(g, ()) for g in grams), key=len) if grams else range(len(texts))
+        hits = [j for j in near if name in texts[j]] if name else []
+        found[np.ix_(rows, hits)] = 1.0
+    return found
+
+
+def _best_cells(value: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
+    """Mask of the cells among the k best of their row within a group of columns; cells that rounding might tie are kept too."""
+    kept = np.zeros(value.shape, dtype=bool)
+    for g in np.unique(groups):
+        columns = np.flatnonzero(groups == g)
+        part = value[:, columns]
+        least = np.partition(part, -k, axis=1)[:, -k:-k + 1 or None] if len(columns) > k else np.full((len(value), 1), -np.inf)
+        kept[:, columns] = part >= least - 2e-6
+    return kept
+
+
 def _keep_near(order: list[tuple], own: int, partner_branch: list[list[str]], k: int, near: set) -> None:
     taken: dict[tuple, int] = {}
     for _, _, i, j in order:
@@ -165,39 +197,43 @@ def _keep_near(order: list[tuple], own: int, partner_branch: list[list[str]], k:
             near.add((i, j))
 
 
-def _block_scorer(k: int, rate: float):
+def _block_scorer(k: int):
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [KEY, "node_a_id", "node_b_id", "pair_id", "score", "near", "audit"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        shared = _overlap(left["grams"], right["grams"])
-        sizes = np.sqrt(np.outer(left["grams"].map(len).to_numpy(float), right["grams"].map(len).to_numpy(float)))
-        total = shared / np.maximum(1.0, sizes)
-        l_rows = list(zip(left["id"], left["name"], left["text"], left["chain_position"], left["joined_to"]))
-        r_rows = list(zip(right["id"], right["name"], right["text"], right["chain_position"]))
+        shape = (len(left), len(right))
+        l_grams, r_grams = _gram_sets(left["text"]), _gram_sets(right["text"])
+        l_post, r_post = _postings(l_grams), _postings(r_grams)
+        sizes = np.sqrt(np.outer([float(len(g)) for g in l_grams], [float(len(g)) for g in r_grams]))
+        l_texts, r_texts = left["text"].tolist(), right["text"].tolist()
+        refs = _mentions(left["name"].fillna("").reset_index(drop=True), r_texts, r_post) + _mentions(right["name"].fillna("").reset_index(drop=True), l_texts, l_post).T
+        apart = left["chain_position"].to_numpy()[:, None] != right["chain_position"].to_numpy()[None, :]
+        value = _overlap(l_post, r_post, shape) / np.maximum(1.0, sizes) + 2.0 * refs + 0.05 * apart
+        l_ids, r_ids = left["id"].tolist(), right["id"].tolist()
+        place = {r: j for j, r in enumerate(r_ids)}
+
+        def cells_of(lists: pd.Series) -> tuple[list[int], list[int]]:
+            cells = [(i, place[r]) for i, partners in enumerate(lists) for r in partners if r in place]
+            return [c[0] for c in cells], [c[1] for c in cells]
+
+        value[cells_of(left["joined_to"])] = -np.inf
+        audit = np.zeros(shape, dtype=bool)
+        audit[cells_of(left["audit_with"])] = True
+        branches = [right["branch_id"].tolist(), left["branch_id"].tolist()]
+        wanted = _best_cells(value, right["branch_id"].to_numpy(), k) | _best_cells(value.T, left["branch_id"].to_numpy(), k).T
         cells = []
-        for i, (lid, lname, ltext, lpos, joined) in enumerate(l_rows):
-            blocked = set(joined)
-            for j, (rid, rname, rtext, rpos) in enumerate(r_rows):
-                if rid in blocked:
-                    continue
-                refs = (1.0 if lname and lname in rtext else 0.0) + (1.0 if rname and rname in ltext else 0.0)
-                value = round(float(total[i, j]) + 2.0 * refs + (0.05 if lpos != rpos else 0.0), 6)
-                a, b = (lid, rid) if lid < rid else (rid, lid)
-                pid = "p_" + hashlib.sha256(f"{a}\0{b}".encode()).hexdigest()[:16]
-                cells.append((-value, pid, i, j))
+        for i, j in np.argwhere((wanted | audit) & (value > -np.inf)).tolist():
+            a, b = sorted((l_ids[i], r_ids[j]))
+            cells.append((-round(float(value[i, j]), 6), "p_" + hashlib.sha256(f"{a}\0{b}".encode()).hexdigest()[:16], i, j))
         cells.sort()
         near: set = set()
-        branches = [right["branch_id"].tolist(), left["branch_id"].tolist()]
         _keep_near(cells, 0, branches, k, near)
         _keep_near(cells, 1, branches, k, near)
-        out = []
-        for negative, pid, i, j in cells:
-            is_near = (i, j) in near
-            audit = rate > 0 and int(hashlib.sha256(pid.encode()).hexdigest()[:8], 16) / 0xFFFFFFFF < rate
-            if is_near or audit:
-                a, b = sorted((l_rows[i][0], r_rows[j][0]))
-                out.append((key[0], a, b, pid, -negative, is_near, audit))
+        out = [
+            (key[0], *sorted((l_ids[i], r_ids[j])), pid, -negative, (i, j) in near, bool(audit[i, j]))
+            for negative, pid, i, j in cells if (i, j) in near or audit[i, j]
+        ]
         return pd.DataFrame(out, columns=columns)
 
     return score
@@ -210,9 +246,10 @@ def scored_pairs(
 
     The score of a pair depends on both texts, so each ``contains`` node meets each upstream and
     downstream node once. The graph is cut into blocks of about ``BLOCK_ROWS`` nodes per side and a
-    task sees one block pair, however large the graph is. From a block pair only the best ``per_node``
-    pairs of a node per partner branch leave the task (``near``), which is a superset of every
-    quota below, plus the pairs of the audit sample. Nothing is cut without being outranked.
+    task sees one block pair, however large the graph is, and scores it as matrices. From a block pair only
+    the best ``per_node`` pairs of a node per partner branch leave the task (``near``), which is a superset of
+    every quota below, plus the pairs of the audit sample. Nothing is cut without being outranked. The audit sample
+    is drawn beforehand from the hashes of the ids alone.
     """
     usable = catalog.filter(F.col("branch_id") != "")
     text = catalog_text(usable)
@@ -227,21 +264,28 @@ def scored_pairs(
     left_end = F.when(F.col("ra") == K.CONTAINS, F.col("a")).otherwise(F.col("b"))
     right_end = F.when(F.col("ra") == K.CONTAINS, F.col("b")).otherwise(F.col("a"))
     adjacent = joined.groupBy(KEY, left_end.alias("id")).agg(F.collect_set(right_end).alias("joined_to"))
-    # both sides of the block join read the profiles, and the grams are costly: cut once
+    # both sides of the block join read the profiles
     placed = checkpointed(profile.join(sizes, KEY).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.when(F.col("is_left"), F.col("nl")).otherwise(F.col("nr")).cast("bigint")).cast("int")
-    ).withColumn("grams", X.grams(F.col("text"))))
+    ))
+    none = F.array().cast("array<string>")
     left = placed.filter("is_left").join(adjacent, [KEY, "id"], "left").select(
         KEY, F.col("block").alias("bl"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("br"), "id", "name", "chain_position",
-        "branch_id", "text", "grams", F.coalesce("joined_to", F.array().cast("array<string>")).alias("joined_to"),
+        "branch_id", "text", F.coalesce("joined_to", none).alias("joined_to"),
     )
     right = placed.filter("NOT is_left").select(
         KEY, F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bl"), F.col("block").alias("br"), "id", "name", "chain_position",
-        "branch_id", "text", "grams",
+        "branch_id", "text",
     )
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # own column ids on this side
+    if audit_rate > 0:
+        met = left.select(KEY, "bl", "br", "id").join(right.select(KEY, "bl", "br", F.col("id").alias("other")), [KEY, "bl", "br"])
+        drawn = met.filter(X.audit_selected(X.pair_id(F.col("id"), F.col("other")), audit_rate)).groupBy(KEY, "bl", "br", "id").agg(F.collect_set("other").alias("audit_with"))
+        left = left.join(drawn, [KEY, "bl", "br", "id"], "left").withColumn("audit_with", F.coalesce("audit_with", none))
+    else:
+        left = left.withColumn("audit_with", none)
     return left.groupBy(KEY, "bl", "br").cogroup(right.groupBy(KEY, "bl", "br")).applyInPandas(
-        _block_scorer(max(per_node, 1), audit_rate), _SCORED
+        _block_scorer(max(per_node, 1)), _SCORED
     )
 
 
