@@ -341,6 +341,9 @@ def collapse_low_coverage(
         tree = checkpointed(tree.join(thin.select(KEY, "id"), [KEY, "id"], "left_anti").select(*tree.columns))
     if removed is None:
         return nodes, edges, extra, thin
+    # a graph that lost a node has each pair once: the last of repeated rows on nodes that nothing was moved to
+    touched = removed.select(KEY).distinct()
+    pairs = last_by(pairs.join(touched, KEY, "left_semi"), [KEY, "company_id", "node_id"], ["pos"]).unionByName(pairs.join(touched, KEY, "left_anti"))
     kept, left = drop_nodes(nodes, edges, removed)
     return kept.select(*nodes.columns), left.select(*edges.columns), pairs, removed
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import first_by, last_by, lookup, numbered, top_rows
+from linkstrata.functions.tables import checkpointed, first_by, last_by, lookup, numbered, top_rows
 from linkstrata.operators.hierarchy import closure, subtree, tree_listing
 from linkstrata.operators.standardize import drop_nodes
 
@@ -330,11 +330,12 @@ def proposal_counts(proposals: DataFrame) -> DataFrame:
 def apply_repairs(nodes: DataFrame, edges: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Whitelisted patches on uniquely found targets: (nodes, edges, guardrail rows).
 
-    ``repairs``: industry_id, pos, action, target_id, changes (map), remove_fields (array). An edge target
-    is an edge id or ``source->target``.
+    ``repairs``: industry_id, pos, action (or ``type``, read where it is blank), target_id, changes (map), remove_fields (array). An
+    edge target is an edge id or ``source->target``.
     """
     c = F.col
-    fix = repairs.withColumn("action", X.strip(F.coalesce("action", F.lit("")))).withColumn("target_id", X.strip(F.coalesce("target_id", F.lit(""))))
+    alias = F.coalesce("type", F.lit("")) if "type" in repairs.columns else F.lit("")
+    fix = repairs.withColumn("action", X.strip(X.or_default(c("action"), alias))).withColumn("target_id", X.strip(F.coalesce("target_id", F.lit(""))))
     edge_names = F.array_distinct(F.array(c("id"), F.concat("source", F.lit("->"), "target")))
     named = edges.select(KEY, "id", F.explode(edge_names).alias("target_id"))
     node_hits = nodes.groupBy(KEY, c("id").alias("target_id")).agg(F.count(F.lit(1)).alias("_nodes"))
@@ -468,6 +469,10 @@ def transplant(
             "name", "description", "source_urls", "evidence_ids", "confidence",
         )
     )
+    copies = checkpointed(copies)
+    again = copies.groupBy(KEY, "branch_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    if again is not None:
+        raise ValueError(f"{again['key']} of {again[KEY]} is planned twice for branch {again['branch_id']}")
     template = nodes.select(KEY, c("id").alias("template_id"), c("source_urls").alias("_u"), c("evidence_ids").alias("_e"))
     home = branches.select(KEY, "branch_id", "chain_position", "chain_segment", c("source_urls").alias("_bu"), c("evidence_ids").alias("_be"))
     extra = manual.join(template, [KEY, "template_id"], "left").join(home, [KEY, "branch_id"]).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import first_by, numbered, top_rows
+from linkstrata.functions.tables import checkpointed, first_by, numbered, top_rows
 
 KEY = "industry_id"
 
@@ -222,6 +222,7 @@ def company_page(rollup: DataFrame, companies: DataFrame, limit: int = 500, offs
     """
     if not 1 <= limit <= 1000:
         raise ValueError("limit must be between 1 and 1000")
+    rollup = checkpointed(rollup)  # read by the page and by the totals
     info = companies.select("company_id", "comcode", F.col("name").alias("company_name"))
     named = rollup.join(info, "company_id")
     name = F.collate("company_name", locale) if locale else F.col("company_name")

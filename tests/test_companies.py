@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import samples as S
 from linkstrata.operators import companies as C
 from linkstrata.operators import export as E
 from linkstrata.operators import hierarchy as HI
+from linkstrata.operators import merge as M
 from linkstrata.operators import query as Q
 from linkstrata.operators import validate as V
 
@@ -128,3 +130,27 @@ def test_attachment_rules_on_clean_and_bad_rows(spark):
     bad = S.attachments(spark, [("sw_listed", "food_beverage_002"), ("sw_listed", "food_beverage_001"), ("sw_x", "food_beverage_000")])
     codes = {r[0] for r in S.rows(V.attachment_issues(bad, C.payload_companies(bad, people), people, n, above, none), "code")}
     assert codes == {"ancestor_descendant_attachment", "attachment_unknown_company", "root_direct_attachment"}
+
+
+def test_collapse_merges_repeated_pairs_everywhere(spark):
+    n = S.nodes(spark, [("r", "r", 0, "root", ""), ("a", "a", 1, "support", "r"), ("b", "b", 1, "support", "r")])
+    e = S.edges(spark, [("r", "a", "contains"), ("r", "b", "contains")])
+    people = S.companies(spark, [(f"c{i}", True, None) for i in range(4)])
+    a = S.attachments(spark, [("c0", "a"), ("c1", "a"), ("c2", "a"), ("c0", "a"), ("c3", "b")])
+    a = a.withColumn("reason", F.col("pos").cast("string"))
+    kept, _, moved, _ = C.collapse_low_coverage(n, e, a, people, 2)
+    assert S.rows(kept, "id") == [("a",), ("r",)]
+    assert S.rows(moved, "company_id", "node_id", "reason") == [("c0", "a", "3"), ("c1", "a", "1"), ("c2", "a", "2"), ("c3", "r", "4")]
+
+
+def test_transplant_refuses_a_subtree_planned_twice(spark):
+    n = S.nodes(spark, [("r", "r", 0, "root", ""), ("a", "a", 1, "support", "r"), ("b", "b", 2, "support", "a")])
+    paths = HI.ancestor_paths(HI.tree_parents(n))
+    plan = "industry_id string, branch_id string, step int, old_id string, start_level int, whole boolean"
+    branches = spark.createDataFrame([("t", "x", "support", "s", [], [])], "industry_id string, branch_id string, chain_position string, chain_segment string, source_urls array<string>, evidence_ids array<string>")
+    manual = spark.createDataFrame([], "industry_id string, branch_id string, step int, key string, name string, level int, description string, template_id string, under_template boolean")
+    drops = spark.createDataFrame([], "industry_id string, id string")
+    once = M.transplant(n, paths, spark.createDataFrame([("t", "x", 1, "a", 2, True)], plan), branches, manual, drops, "2024-06-01")[0]
+    assert S.rows(once, "id", "parent_id", "name") == [("x_001", "x", "a"), ("x_002", "x_001", "b")]
+    with pytest.raises(ValueError, match="planned twice"):
+        M.transplant(n, paths, spark.createDataFrame([("t", "x", 1, "a", 2, True), ("t", "x", 2, "a", 2, True)], plan), branches, manual, drops, "2024-06-01")

@@ -68,3 +68,20 @@ def test_selection_needs_paths_of_the_tree(spark):
     assert sorted((r["path"], r["name"], r["suggested_role"]) for r in valid.collect()) == [("社会服务 > 酒店餐饮 > 餐饮", "餐饮", "downstream"), ("食品饮料 > 白酒", "白酒", "core")]
     cover = taxonomy_role_coverage(valid).collect()[0]
     assert (cover["core"], cover["downstream"], cover["missing_roles"]) == (1, 1, "upstream")
+
+
+def test_white_space_of_any_kind(spark):
+    odd = ["\t1001　", " x y\x1f", "\xa0 ", "a b", None]
+    assert values(spark, odd, X.strip) == ["1001", "x y", "", "a b", None]
+    assert values(spark, odd, X.normalized_name) == ["1001", "xy", "", "ab", None]
+    assert values(spark, ["Straße A", "ΟΔΟΣ Ⅱ"], X.match_label) == ["strassea", "οδοσ"]
+    assert values(spark, ["yes\t", "　N", " "], X.three_valued_flag) == [True, False, None]
+
+
+def test_verdicts_after_any_line_end(spark):
+    from linkstrata.sources.responses import parse_verdicts
+
+    a, b, c = (f"p_{d * 16}" for d in "abc")
+    rows = spark.createDataFrame([("1", f"　{a}:A_TO_B\x0b{b} : no {c}: b_to_a　")], "batch_id string, raw_response string")
+    wanted = spark.createDataFrame([("1", p) for p in (a, b, c)], "batch_id string, pair_id string")
+    assert sorted(tuple(r) for r in parse_verdicts(rows, wanted).collect()) == [("1", a, "A_TO_B"), ("1", b, "NO"), ("1", c, "B_TO_A")]
