@@ -183,6 +183,15 @@ def _(g):
     return C.attachment_summary(built(g), g("nodes"), selected(g))
 
 
+@query("a08_direct_level_one", """SELECT a.industry_id, a.company_id, a.node_id, n.name AS node_name, a.reason FROM (SELECT industry_id, company_id, reason,
+CASE WHEN pos % 7 = 0 THEN industry_id || '_' || split_part(substr(node_id, length(industry_id) + 2), '_', 1) ELSE node_id END AS node_id FROM attachments) a
+JOIN nodes n ON n.industry_id = a.industry_id AND n.id = a.node_id AND n.level = 1""", ("attachments", "nodes"))
+def _(g):
+    branch = F.concat(F.col(KEY), F.lit("_"), F.get(F.split(F.expr(f"substr(node_id, length({KEY}) + 2)"), "_"), 0))
+    raised = g("attachments").withColumn("node_id", F.when(F.col("pos") % 7 == 0, branch).otherwise(F.col("node_id")))
+    return C.direct_level_one(raised, g("nodes"))
+
+
 @query("a08_method_counts", "SELECT industry_id, match_method, count(*) AS n FROM attachments GROUP BY ALL", ("attachments",))
 def _(g):
     return C.method_counts(g("attachments"))

@@ -242,19 +242,50 @@ def _(g):
     return out
 
 
-@query("s17_offline_snapshot", """SELECT x.industry_id, x.section, x.item_key FROM (
+_FLOW_VERSIONS = {"lar": K.SNAPSHOT_FLOW_VERSIONS[0], "pro": "industry_l2_flow_relations_v0.1"}  # by industry prefix; others have the current one
+
+
+def flow_meta(g):
+    """Stored flow overlays: two schema versions that are known, one that is not, and a stale fingerprint."""
+    kind, version = F.substring(KEY, 1, 3), F.lit(K.FLOW_SCHEMA_VERSION)
+    for prefix, value in _FLOW_VERSIONS.items():
+        version = F.when(kind == prefix, value).otherwise(version)
+    current = current_state(g)
+    return current.select(KEY, version.alias("schema_version"), F.when(kind == "eco", "old").otherwise(F.col("graph_fingerprint")).alias("graph_fingerprint"))
+
+
+_S17 = """SELECT x.industry_id, x.section, x.item_key FROM (
 SELECT industry_id, 'nodes' AS section, id AS item_key FROM nodes UNION ALL SELECT industry_id, 'edges', id FROM edges
 UNION ALL SELECT DISTINCT industry_id, 'companies', company_id FROM attachments UNION ALL SELECT industry_id, 'attachments', company_id || '->' || node_id FROM attachments
-UNION ALL SELECT industry_id, 'l2_edges', id FROM l2_edges UNION ALL SELECT industry_id, 'projected_edges', id FROM projected) x
-JOIN manifest m ON m.industry_id = x.industry_id AND m.status <> 'pending' JOIN overlay o ON o.industry_id = x.industry_id AND o.overlay_status = 'ready'""",
-       DA + ("manifest", "l2_edges"), (_READY,) + _PROJ)
-def _(g):
+UNION ALL SELECT industry_id, 'l2_edges', id FROM l2_edges WHERE substr(industry_id, 1, 3) NOT IN ('pro', 'eco')
+UNION ALL SELECT industry_id, 'projected_edges', id FROM projected WHERE substr(industry_id, 1, 3) NOT IN ('pro', 'eco')) x
+JOIN manifest m ON m.industry_id = x.industry_id AND m.status <> 'pending' JOIN overlay o ON o.industry_id = x.industry_id AND o.overlay_status = 'ready'"""
+
+
+def _snapshot(g):
     eligible = E.eligible_industries(g("manifest"), g("nodes"), _ready(g))
-    snapshot = E.snapshot_rows(
+    return E.snapshot_rows(
         eligible, g("nodes"), g("edges"), g("attachments"), C.payload_companies(g("attachments"), g("companies")), g("l2_edges"),
-        project_flows(g("l2_edges"), g("nodes"), AS_OF), g("manifest"),
+        project_flows(g("l2_edges"), g("nodes"), AS_OF), E.snapshot_flow_ready(flow_meta(g), current_state(g)),
     )
-    return snapshot.select(KEY, "section", "item_key")
+
+
+@query("s17_offline_snapshot", _S17, DA + ("manifest", "l2_edges"), (_READY,) + _PROJ)
+def _(g):
+    return _snapshot(g).select(KEY, "section", "item_key")
+
+
+@query("s17_snapshot_counts", f"SELECT industry_id, section, count(*) AS n FROM ({_S17}) GROUP BY ALL", DA + ("manifest", "l2_edges"), (_READY,) + _PROJ)
+def _(g):
+    return E.snapshot_counts(_snapshot(g))
+
+
+@query("s17_snapshot_nodes", """SELECT n.industry_id, n.id, n.name, n.level, n.chain_position, n.parent_id, n.description, n.source_urls, n.confidence FROM nodes n
+JOIN manifest m ON m.industry_id = n.industry_id AND m.status <> 'pending' JOIN overlay o ON o.industry_id = n.industry_id AND o.overlay_status = 'ready'""", DA + ("manifest",), (_READY,))
+def _(g):
+    kinds = "id string, name string, level int, chain_position string, parent_id string, description string, source_urls array<string>, confidence double"
+    rows = _snapshot(g).filter("section = 'nodes'").select(KEY, F.from_json("payload", kinds).alias("p")).select(KEY, "p.*")
+    return rows.withColumn("source_urls", F.array_join("source_urls", ";"))
 
 
 @query("s18_graph_upsert", """SELECT n.industry_id, count(*) AS node_count, (SELECT count(*) FROM edges e WHERE e.industry_id = n.industry_id) AS edge_count,

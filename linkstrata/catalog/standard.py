@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from linkstrata import constants as K
 from linkstrata.catalog.registry import AS_OF, KEY, joined, query
 from linkstrata.functions import text as X
 from linkstrata.operators import standardize as ST
@@ -198,6 +199,15 @@ def _(g):
     return g("documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
 
 
+@query("m01_standard_header", f"""SELECT industry_id, industry, coalesce(version, '{K.DEFAULT_GRAPH_VERSION}') AS version, '{K.GRAPH_SCHEMA_VERSION}' AS schema_version,
+coalesce(nullif(CASE WHEN industry_id LIKE 'sm%' THEN '' ELSE generated_at END, ''), '{AS_OF}') AS generated_at, coalesce(scope, '{K.DEFAULT_GRAPH_SCOPE}') AS scope FROM graphs""", ("graphs",))
+def _(g):
+    from linkstrata.operators.standardize import standard_header
+
+    graphs = g("graphs").withColumn("generated_at", F.when(F.col(KEY).like("sm%"), "").otherwise(F.col("generated_at")))
+    return standard_header(graphs, AS_OF).drop("source_basis")
+
+
 @query("p20_graph_fingerprint", """SELECT m.industry_id, true AS has_form, true AS same_when_dealt_anew, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.industry_id = m.industry_id AND n.level = 3 AND n.confidence < 0.42) AS same_with_new_names,
 NOT EXISTS (SELECT 1 FROM edges e WHERE e.industry_id = m.industry_id AND e.confidence > 0.98) AS same_without_sure_edges, false AS same_in_new_order, (SELECT count(*) FROM manifest) AS n_distinct FROM manifest m""", ("nodes", "edges", "manifest"))
 def _(g):

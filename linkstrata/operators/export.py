@@ -187,6 +187,15 @@ def snapshot_rows(
     )
 
 
+def snapshot_flow_ready(flow_meta: DataFrame, current: DataFrame) -> DataFrame:
+    """Industries whose flow overlay may go into a snapshot: a known schema version, built on the graph as it is now.
+
+    ``flow_meta``: industry_id, schema_version, graph_fingerprint of the stored overlays. ``current``: industry_id, graph_fingerprint.
+    """
+    known = flow_meta.filter(F.col("schema_version").isin(*K.SNAPSHOT_FLOW_VERSIONS)).select(KEY, "graph_fingerprint")
+    return known.join(current.select(KEY, "graph_fingerprint"), [KEY, "graph_fingerprint"], "left_semi").select(KEY).distinct()
+
+
 def snapshot_counts(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy(KEY, "section").agg(F.count(F.lit(1)).alias("n"))
 
