@@ -32,9 +32,14 @@ def _row_id() -> Column:
     return F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), _digest())
 
 
+def _whole(docs: DataFrame) -> Column:
+    """The whole row as one column, so that no name of it can clash."""
+    return F.struct(*docs.columns).alias("document")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a score of at least 0.5; those without a letter, with null or with undecided text go."""
-    rows = docs.select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("snippet"), "lang", F.struct(*docs.columns).alias("document"))
+    rows = docs.select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("snippet"), "lang", _whole(docs))
     found = predict_language(rows, carry="document")
     return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("document.*")
 
@@ -42,27 +47,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of identical texts: that with the largest id."""
     found = exact_duplicates(as_evidence(docs)).filter(F.col("evidence_id").eqNullSafe(F.col("keep_id")))
-    kept = stage(found.groupBy("evidence_id", "content_hash").agg(F.count(F.lit(1)).alias("_copies")), "kept-documents")
-    same = F.col("doc_id").eqNullSafe(F.col("evidence_id")) & (F.col("_digest") == F.col("content_hash"))
-    rows = docs.withColumn("_digest", _digest()).join(kept, same)
-    once = rows.filter("_copies = 1")
-    repeated = rows.filter("_copies > 1").dropDuplicates(["evidence_id", "content_hash"])
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = found.groupBy(F.col("evidence_id").alias("kept_id"), F.col("content_hash").alias("kept_digest")).agg(F.count(F.lit(1)).alias("copies"))
+    kept = stage(kept, "kept-documents")
+    rows = docs.select(_whole(docs), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    if not kept.filter("copies > 1").isEmpty():
+        rows = rows.filter("copies = 1").unionByName(rows.filter("copies > 1").dropDuplicates(["kept_id", "kept_digest"]))
+    return rows.select("document.*")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose row id is not among the ``evidence_id`` of ``gone``."""
+    lost = gone.select(F.col("evidence_id").alias("gone_id")).distinct()
+    rows = docs.select(_whole(docs), _row_id().alias("id"))
+    return rows.join(stage(lost, "gone-documents"), F.col("id") == F.col("gone_id"), "left_anti").select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     rows = docs.select(_row_id().alias("evidence_id"), F.col("text").alias("snippet"))
-    gone = stage(near_duplicate_snippets(rows).filter("evidence_id <> component_id").select("evidence_id").distinct(), "near-copies")
-    return docs.withColumn("_id", _row_id()).join(gone, F.col("_id") == F.col("evidence_id"), "left_anti").select(*docs.columns)
+    return _without(docs, near_duplicate_snippets(rows).filter("evidence_id <> component_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     items = spark.read.parquet(join_path(sf_dir, "benchmark.parquet")).select("item_id", F.col("text").alias("message"))
     rows = docs.select(_row_id().alias("evidence_id"), F.col("text").alias("snippet"))
-    gone = stage(leaked_items(rows, items).select("evidence_id").distinct(), "leaked")
-    return docs.withColumn("_id", _row_id()).join(gone, F.col("_id") == F.col("evidence_id"), "left_anti").select(*docs.columns)
+    return _without(docs, leaked_items(rows, items))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,10 +84,10 @@ class Lexicon:
             bounds.append(1 + len(frequent))
         self.layout = gru.Layout(tuple(bounds), SPELLING)
         ranked = [(END, 0, end), *frequent]
-        self.token = {w: i for i, (w, _, _) in enumerate(ranked)}
         width = [classes.get(c, (0, 0)) for c in range(SPELLING)]
         self.class_log = np.array([math.log(n + v + 1) for n, v in width])
-        rare = [w for w in known if w[0] not in self.token]
+        numbered = {w for w, _, _ in ranked}
+        rare = [w for w in known if w[0] not in numbered]
         self.place = {w: i for i, (w, _, _) in enumerate(ranked + rare)}
         counts = np.array([n for _, _, n in ranked + rare], dtype=np.float64)
         self.numbers = np.array([*range(len(ranked)), *(len(ranked) + c for _, c, _ in rare)], dtype=np.int64)
@@ -99,7 +99,6 @@ class Lexicon:
         sizes = np.array([sum(n for _, _, n in ranked[a:b]) for a, b in zip(bounds, bounds[1:])] + [n for n, _ in width], dtype=np.float64)
         self.class_bias = np.log((sizes + 1) / (sizes + 1).sum())
         self.word_bias = np.log(np.array([n for _, _, n in ranked], dtype=np.float64) + 1)
-        del self.token
 
     def read(self, text: str) -> tuple[np.ndarray, int, float, float, list[bytes]]:
         """Token numbers; known tokens, their summed log10(count + 1), the fixed part of the score (natural log), and the other words."""
@@ -117,13 +116,10 @@ class Lexicon:
         return numbers, seen, float(self.log_count[found].sum()), float(self.fixed[found].sum() - self.class_log[spelling].sum()), others
 
 
-def _average(states: list[bytes], like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    flat = np.mean([np.frombuffer(s, dtype=np.float32) for s in states], axis=0)
-    out, at = {}, 0
-    for key, value in like.items():
-        out[key] = flat[at:at + value.size].reshape(value.shape).astype(np.float32)
-        at += value.size
-    return out
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One long array cut into parameters of the shapes of ``like``."""
+    parts = np.split(flat.astype(np.float32), np.cumsum([v.size for v in like.values()])[:-1])
+    return {key: part.reshape(value.shape) for part, (key, value) in zip(parts, like.items())}
 
 
 def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings) -> dict[str, np.ndarray]:
@@ -155,7 +151,7 @@ def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings
         found = learned.groupBy("place").agg(F.avg("value").alias("value")).toPandas()  # one row per parameter
         if not len(found):
             break
-        p = _average([found.sort_values("place")["value"].to_numpy(dtype=np.float32).tobytes()], p)
+        p = _shaped(found.sort_values("place")["value"].to_numpy(), p)
         state.unpersist()
     return p
 

