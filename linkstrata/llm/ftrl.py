@@ -1,24 +1,28 @@
 """Sparse linear classifiers trained with follow-the-regularised-leader updates.
 
-Examples are rows of (label, feature numbers, values). Shards of a bounded sample are trained in parallel tasks; after each round
-the shards' states are averaged. The state is two dense arrays of fixed size, so what goes to the driver and back does not grow.
+Examples are rows of (label, feature numbers, counts). Parts of a bounded sample are trained in parallel tasks; after each round
+the tasks' states are averaged. The state is two dense arrays of fixed size, so what goes to the driver and back does not grow.
+Examples are stored once and read by each round where they are: no round shuffles them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXAMPLE = "shard int, turn bigint, label int, ids binary, vals binary"
+EXAMPLE = "turn bigint, label int, steps binary, counts binary"
+NAMES = ["turn", "label", "steps", "counts"]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``l1`` and ``l2`` are the elastic-net penalties; ``alpha`` and ``beta`` set the step of each coordinate."""
+    """``l1`` and ``l2`` are the elastic-net penalties; ``alpha`` and ``beta`` set the step of each coordinate. ``shards``: tasks at most."""
 
     alpha: float = 0.3
     beta: float = 1.0
@@ -59,11 +63,25 @@ def learn(z: np.ndarray, n: np.ndarray, examples, s: Settings) -> None:
         n[:, ids] = ns + square
 
 
-def train(examples: DataFrame, outputs: int, features: int, s: Settings) -> np.ndarray:
-    """Weights (outputs, features) learned from an ``EXAMPLE`` table; all zero if it has no rows.
+def encode(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(turn, label, ascending feature numbers, counts) as ``EXAMPLE`` rows; differences of the numbers compress well."""
+    packed = [(t, y, np.diff(ids, prepend=0).astype("<u4").tobytes(), counts.astype("<u4").tobytes()) for t, y, ids, counts in rows]
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*packed) if packed else ((),) * 4, types)], names=NAMES)
 
-    Each shard goes through its rows in the order of ``turn``, starting from the state that all shards share; a round ends by
-    averaging the states of the shards that had rows.
+
+def decode(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, feature numbers, counts) of ``EXAMPLE`` rows in the order of their turns."""
+    frame = frame.sort_values(["turn", "label"], kind="stable")
+    for label, steps, counts in zip(frame["label"], frame["steps"], frame["counts"]):
+        yield label, np.cumsum(np.frombuffer(steps, dtype="<u4"), dtype=np.int64), np.frombuffer(counts, dtype="<u4")
+
+
+def train(examples: DataFrame, outputs: int, features: int, s: Settings, vector: Callable) -> np.ndarray:
+    """Weights (outputs, features) learned from a stored ``EXAMPLE`` table; all zero if it has no rows.
+
+    ``vector`` turns numbers and counts into numbers and values. Each task goes through its rows starting from the state that all
+    tasks share; a round ends by averaging the states of the tasks that had rows.
     """
     spark = examples.sparkSession
     z = np.zeros((outputs, features), dtype=np.float32)
@@ -71,15 +89,16 @@ def train(examples: DataFrame, outputs: int, features: int, s: Settings) -> np.n
     for _ in range(s.rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own_z, own_n = (a.copy() for a in state.value)
-            frame = frame.sort_values(["turn", "label"], kind="stable")
-            learn(own_z, own_n, (
-                (label, np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for label, i, v in zip(frame["label"], frame["ids"], frame["vals"])
-            ), s)
-            return pd.DataFrame({"z": [own_z.tobytes()], "n": [own_n.tobytes()]})
-
-        states = examples.groupBy("shard").applyInPandas(run, "z binary, n binary").collect()
+            seen = 0
+            for frame in frames:
+                seen += len(frame)
+                learn(own_z, own_n, ((label, *vector(ids, counts)) for label, ids, counts in decode(frame)), s)
+            if seen:
+                yield pd.DataFrame({"z": [own_z.tobytes()], "n": [own_n.tobytes()]})
+
+        states = examples.coalesce(s.shards).mapInPandas(run, "z binary, n binary").collect()  # at most ``shards`` rows
         if not states:
             break
         z = np.mean([np.frombuffer(r.z, dtype=np.float32) for r in states], axis=0).reshape(z.shape)
@@ -88,18 +107,11 @@ def train(examples: DataFrame, outputs: int, features: int, s: Settings) -> np.n
     return weights(z, n, s)
 
 
-def sampled(rows: DataFrame, identifier: str, bound: int) -> DataFrame:
-    """About ``bound`` rows (all if fewer), chosen by a hash of the identifier: no sort, no gathering in one task."""
-    total = rows.count()
-    return rows if total <= bound else rows.filter(in_sample(identifier, bound / total))
-
-
 def in_sample(identifier: str, fraction: float):
     """True for about this fraction of identifiers."""
     return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(identifier).cast("string")), 11) < F.lit(int(min(1.0, fraction) * (1 << 53)))
 
 
-def dealt(identifier: str, shards: int):
-    """Shard and turn of a row, by hashes of its identifier."""
-    text = F.col(identifier).cast("string")
-    return F.pmod(F.xxhash64(F.lit("shard"), text), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(F.lit("turn"), text).alias("turn")
+def turn(identifier: str):
+    """Place of a row in the order of training, by a hash of its identifier."""
+    return F.xxhash64(F.lit("turn"), F.col(identifier).cast("string")).alias("turn")

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstrata.llm.common import share, snippet, stage
-from linkstrata.llm.ftrl import EXAMPLE, Settings, dealt, in_sample, probabilities, train
+from linkstrata.llm.ftrl import EXAMPLE, Settings, decode, encode, in_sample, probabilities, train, turn
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
-CALIBRATION_SHARD = -1
 SETTINGS = Settings(alpha=0.5, beta=1.0, l1=0.002, l2=0.002, shards=6, rounds=3)
 TEMPERATURES = np.exp(np.linspace(math.log(0.05), math.log(5), 93))
 
@@ -45,13 +44,12 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts].astype(np.int32), np.diff(np.append(starts, len(ordered)))
 
 
-def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def vector(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF vector with a constant feature appended."""
-    ids, counts = gram_counts(text)
     vals = (1 + np.log(counts)) * idf[ids]
     norm = math.sqrt(float(vals @ vals))
     vals = vals / norm if norm else vals
-    return np.append(ids, np.int32(FEATURES)), np.append(vals, 1).astype(np.float32)
+    return np.append(ids, FEATURES), np.append(vals, 1).astype(np.float32)
 
 
 def gram_weights(evidence: DataFrame) -> np.ndarray:
@@ -104,25 +102,19 @@ def predict_language(evidence: DataFrame, folds: int = 3, held_out_fold: int = 1
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = []
-                for shard, turn, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids, vals = vector(text, idf.value)
-                    rows.append((CALIBRATION_SHARD if turn % 10 == 0 else shard, turn, number[lang], ids.tobytes(), vals.tobytes()))
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                columns = zip(*rows) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["shard", "turn", "label", "ids", "vals"])
+                yield encode([(turn, number[lang], *gram_counts(text)) for turn, text, lang in zip(*(c.to_pylist() for c in batch.columns))])
 
         chosen = learnable.filter(in_sample("evidence_id", sample_rows / sum(totals.values())))
-        examples = stage(chosen.select(*dealt("evidence_id", settings.shards), snippet().alias("snippet"), "lang").mapInArrow(featured, EXAMPLE), "language-examples")
-        learned = train(examples.filter(F.col("shard") != CALIBRATION_SHARD), len(languages), FEATURES + 1, settings)
+        examples = stage(chosen.select(turn("evidence_id"), snippet().alias("snippet"), "lang").mapInArrow(featured, EXAMPLE), "language-examples", compression="zstd")
+        learned = train(examples.filter("turn % 10 <> 0"), len(languages), FEATURES + 1, settings, lambda ids, counts: vector(ids, counts, idf.value))
         held = spark.sparkContext.broadcast(learned)
 
         def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in batches:
-                found = [(held.value[:, np.frombuffer(i, dtype=np.int32)] @ np.frombuffer(v, dtype=np.float32)).tolist() for i, v in zip(frame["ids"], frame["vals"])]
-                yield pd.DataFrame({"label": frame["label"], "logits": found})
+                rows = [(label, *vector(ids, counts, idf.value)) for label, ids, counts in decode(frame)]
+                yield pd.DataFrame({"label": [r[0] for r in rows], "logits": [(held.value[:, ids] @ vals).tolist() for _, ids, vals in rows]})
 
-        checks = examples.filter(F.col("shard") == CALIBRATION_SHARD).mapInPandas(logits, "label int, logits array<double>").collect()
+        checks = examples.filter("turn % 10 = 0").mapInPandas(logits, "label int, logits array<double>").collect()  # a tenth of the sample
         scale = temperature(np.array([c["logits"] for c in checks], dtype=np.float64).reshape(len(checks), len(languages)).T, np.array([c["label"] for c in checks], dtype=np.int64))
         model = spark.sparkContext.broadcast((languages, idf.value, learned, scale))
 
@@ -135,7 +127,7 @@ def predict_language(evidence: DataFrame, folds: int = 3, held_out_fold: int = 1
                     rows.append((UNDETERMINED, 0.0))
                     continue
                 names, weight, learned, scale = model.value
-                ids, vals = vector(text, weight)
+                ids, vals = vector(*gram_counts(text), weight)
                 chances = probabilities((learned[:, ids] @ vals).astype(np.float64)[:, None] / scale)[:, 0] if len(names) > 1 else np.ones(1)
                 best = int(np.argmax(chances))
                 rows.append((names[best], float(chances[best])))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkstrata.llm.common import share, snippet, stage
-from linkstrata.llm.ftrl import EXAMPLE, Settings, dealt, in_sample, probabilities, train
+from linkstrata.llm.ftrl import EXAMPLE, Settings, encode, in_sample, probabilities, train, turn
 
 FEATURES = 1 << 18
 REMEMBERED = 200_000
@@ -58,13 +58,12 @@ def word_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ordered[starts].astype(np.int32), np.diff(np.append(starts, len(ordered)))
 
 
-def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+def vector(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of damped counts with a constant feature appended."""
-    ids, counts = word_grams(text)
     vals = 1 + np.log(counts)
     norm = math.sqrt(float(vals @ vals))
     vals = vals / norm if norm else vals
-    return np.append(ids, np.int32(FEATURES)), np.append(vals, 1).astype(np.float32)
+    return np.append(ids, FEATURES), np.append(vals, 1).astype(np.float32)
 
 
 def score_quality(evidence: DataFrame, opinions: DataFrame, folds: int = 5, held_out_fold: int = 0, threshold: float = 0.3, sample_rows: int = 20_000, settings: Settings = SETTINGS) -> DataFrame:
@@ -84,16 +83,14 @@ def score_quality(evidence: DataFrame, opinions: DataFrame, folds: int = 5, held
     chosen = in_sample("evidence_id", sample_rows / total if total else 0)
     known = usable.filter(chosen).select(F.col("evidence_id").alias("_id"), F.col("status").cast("int").alias("status"))
     texts = evidence.filter(chosen).select("evidence_id", snippet().alias("snippet"))
-    labelled = texts.join(known, F.col("evidence_id") == F.col("_id")).select(*dealt("evidence_id", settings.shards), "snippet", "status")
+    labelled = texts.join(known, F.col("evidence_id") == F.col("_id")).select(turn("evidence_id"), "snippet", "status")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(shard, turn, status, *(a.tobytes() for a in vector(text))) for shard, turn, text, status in zip(*(c.to_pylist() for c in batch.columns))]
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            columns = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["shard", "turn", "label", "ids", "vals"])
+            yield encode([(turn, status, *word_grams(text)) for turn, text, status in zip(*(c.to_pylist() for c in batch.columns))])
 
-    learned = spark.sparkContext.broadcast(train(stage(labelled.mapInArrow(featured, EXAMPLE), "quality-examples"), 1, FEATURES + 1, settings))
+    examples = stage(labelled.mapInArrow(featured, EXAMPLE), "quality-examples", compression="zstd")
+    learned = spark.sparkContext.broadcast(train(examples, 1, FEATURES + 1, settings, vector))
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -101,7 +98,7 @@ def score_quality(evidence: DataFrame, opinions: DataFrame, folds: int = 5, held
         for batch in batches:
             found = []
             for text in batch:
-                ids, vals = vector(text)
+                ids, vals = vector(*word_grams(text))
                 found.append(float(probabilities((weights[:, ids] @ vals)[:, None])[0, 0]))
             yield pd.Series(found, dtype="float64")
 
