@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkstrata.functions.tables import join_path
 from linkstrata.llm.catalog import as_evidence, tokenizer_path
-from linkstrata.llm.common import stage
+from linkstrata.llm.common import bitmap, in_bitmap, stage
 from linkstrata.llm.exact import exact_duplicates
 from linkstrata.llm.language import UNDETERMINED, predict_language
 from linkstrata.llm.leaks import leaked_items
@@ -57,10 +57,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose row id is not among the ``evidence_id`` of ``gone``."""
-    lost = gone.select(F.col("evidence_id").alias("gone_id")).distinct()
+    """Documents whose row id is not among the ``evidence_id`` of ``gone``. Only those that a bitmap of the ids lets through are shuffled."""
+    lost = stage(gone.select(F.col("evidence_id").alias("gone_id")).distinct(), "gone-documents")
+    marks = stage(bitmap(lost.select(F.xxhash64("gone_id").alias("mark")), "mark"), "gone-marks")
     rows = docs.select(_whole(docs), _row_id().alias("id"))
-    return rows.join(stage(lost, "gone-documents"), F.col("id") == F.col("gone_id"), "left_anti").select("document.*")
+    sure = in_bitmap(rows, [F.xxhash64("id")], marks, inside=False)
+    rest = in_bitmap(rows, [F.xxhash64("id")], marks).join(lost, F.col("id") == F.col("gone_id"), "left_anti")
+    return sure.unionByName(rest).select("document.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,25 @@ def lookup_weighted(rows: DataFrame, dim: DataFrame, keys: Sequence[str], weight
     hit = rows.join(F.broadcast(heavy), list(keys), "inner")
     miss = rows.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti").join(light, list(keys), "left")
     return hit.unionByName(miss.select(*hit.columns))
+
+
+def bitmap(keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """A set of bigint keys as at most 2^(bits-6) rows (``slot``, ``mask``): a filter that may let others pass, but loses none."""
+    place = F.pmod(F.col(column), F.lit(1 << bits))
+    rows = keys.select(F.shiftright(place, 6).alias("slot"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    return rows.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+
+
+def in_bitmap(rows: DataFrame, keys: Sequence[Column], marks: DataFrame, inside: bool = True, bits: int = 24) -> DataFrame:
+    """Rows of which at least one of ``keys`` may be in the bitmap, or with ``inside`` off, rows of which surely none is.
+
+    The bitmap's size is bounded, so it is broadcast; ``rows`` are not shuffled.
+    """
+    hits, columns = [], rows.columns
+    for i, key in enumerate(keys):
+        rows = rows.withColumn(f"_place{i}", F.pmod(key, F.lit(1 << bits)))
+        mark = marks.select(F.col("slot").alias(f"_slot{i}"), F.col("mask").alias(f"_mask{i}"))
+        rows = rows.join(F.broadcast(mark), F.shiftright(F.col(f"_place{i}"), 6) == F.col(f"_slot{i}"), "left")
+        hits.append(F.expr(f"coalesce(shiftrightunsigned(_mask{i}, cast(_place{i} & 63 AS int)) & 1, 0)"))
+    found = sum(hits[1:], hits[0])
+    return rows.filter(found > 0 if inside else found == 0).select(*columns)

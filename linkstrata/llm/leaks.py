@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkstrata.llm.common import snippet, stage
+from linkstrata.llm.common import bitmap, in_bitmap, snippet, stage
 
 SMALL_ROWS = 50_000
 
@@ -71,8 +71,9 @@ def leaked_items(evidence: DataFrame, review_items: DataFrame, shingle_words: in
     rows = evidence.select("evidence_id", snippet().alias("snippet"))
     hashed = exploded(rows, "evidence_id").select("evidence_id", F.explode(F.array_distinct(F.transform("found", lambda s: F.xxhash64(s)))).alias("hash"))
     candidates = stage(hashed.join(small(sketches), "hash").select("evidence_id", "entry").distinct(), "leak-candidates")
-    hit = candidates.select(F.col("evidence_id").alias("_id")).distinct()
-    searched = rows.join(hit, F.col("evidence_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    mark = F.xxhash64(F.coalesce(F.col("evidence_id").cast("string"), F.lit("")))
+    marks = stage(bitmap(candidates.select(mark.alias("mark")), "mark"), "leak-marks")
+    searched = in_bitmap(rows, [mark], marks).withColumn("_row", F.monotonically_increasing_id())
     verified = (
         exploded(searched, "_row", "evidence_id").select("_row", "evidence_id", F.explode(F.array_distinct("found")).alias("shingle"))
         .join(small(texts), "shingle").groupBy("_row", "evidence_id", "entry", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
