@@ -19,7 +19,7 @@ RULES = ("rules", """SELECT s.industry_id, s.rule_pos, s.value_pos, trim(s.colum
 WHERE EXISTS (SELECT 1 FROM cat c WHERE c.column_name = trim(s.column_name) AND c.value = trim(s.value))
 QUALIFY row_number() OVER (PARTITION BY industry_id, trim(s.column_name), trim(s.value) ORDER BY rule_pos, value_pos) = 1""")
 LABEL = "lower(regexp_replace(regexp_replace({}, '\\s+', '', 'g'), '[ⅠⅡⅢⅣⅤⅥ]+$', ''))"
-FULL = ("full_rules", f"""SELECT * FROM rules UNION ALL SELECT DISTINCT n.industry_id, 1000000, 0, 'indunamesw', c.value, '{K.REASON_SCOPE_COMPLETION}' FROM nodes n
+FULL = ("full_rules", f"""SELECT * FROM rules UNION ALL SELECT DISTINCT n.industry_id, (SELECT coalesce(max(r.rule_pos), -1) + 1 FROM rules r WHERE r.industry_id = n.industry_id), 0, 'indunamesw', c.value, '{K.REASON_SCOPE_COMPLETION}' FROM nodes n
 JOIN cat c ON c.column_name = 'indunamesw' AND {LABEL.format('c.value')} = {LABEL.format('n.name')}
 WHERE n.level <> 0 AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.industry_id = n.industry_id AND r.column_name = 'indunamesw' AND r.value = c.value)""")
 CHOSEN = ("chosen", "SELECT DISTINCT r.industry_id, v.company_id FROM vals v JOIN rules r ON r.column_name = v.column_name AND r.value = v.value")

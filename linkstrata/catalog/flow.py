@@ -295,8 +295,18 @@ def _(g):
 
 @query("m20_reproject", "SELECT industry_id, id, confidence FROM projected WHERE industry_id NOT LIKE 'med%'", ("nodes", "l2_edges"), _PROJ)
 def _(g):
+    return _reprojected(g)[0].select(KEY, "id", "confidence")
+
+
+def _reprojected(g):
     status = g("manifest").select(KEY, F.when(F.col(KEY).like("med%"), "stale").otherwise("ready").alias("overlay_status"))
-    return O.reproject(g("l2_edges"), g("nodes"), status, AS_OF).select(KEY, "id", "confidence")
+    return O.reproject(g("l2_edges"), g("nodes"), status, AS_OF)
+
+
+@query("m20_reproject_outcome", """SELECT m.industry_id, CASE WHEN m.industry_id LIKE 'med%' THEN 'stale' ELSE 'ready' END AS overlay_status,
+(SELECT count(*) FROM projected p WHERE p.industry_id = m.industry_id AND m.industry_id NOT LIKE 'med%') AS projected_edge_count FROM manifest m""", ("nodes", "l2_edges", "manifest"), _PROJ)
+def _(g):
+    return _reprojected(g)[1]
 
 
 @query("m13_reconcile_edges", """SELECT k.industry_id, CASE WHEN k.verdict = 'A_TO_B' THEN k.node_a_id ELSE k.node_b_id END AS source, CASE WHEN k.verdict = 'A_TO_B' THEN k.node_b_id ELSE k.node_a_id END AS target

@@ -129,14 +129,15 @@ def _node_labels(nodes: DataFrame) -> DataFrame:
 
 
 def complete_scope(rules: DataFrame, nodes: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Add leaf taxonomy values that equal a node label and that no rule has yet."""
+    """Add leaf taxonomy values that equal a node label and that no rule has yet, as one rule after the last of the industry."""
     labels = _node_labels(nodes).select(KEY, "label").distinct()
     values = catalog.filter(F.col("column") == "indunamesw").select("value", X.match_label(F.col("value")).alias("label"))
     present = rules.filter(F.col("column") == "indunamesw").select(KEY, "value").distinct()
     added = labels.join(values, "label").select(KEY, "value").join(present, [KEY, "value"], "left_anti")
+    after = rules.groupBy(KEY).agg((F.max("rule_pos") + 1).alias("_after"))
     return rules.unionByName(
-        added.select(
-            KEY, F.lit(1_000_000).cast(rules.schema["rule_pos"].dataType).alias("rule_pos"),
+        added.join(after, KEY, "left").select(
+            KEY, F.coalesce("_after", F.lit(0)).cast(rules.schema["rule_pos"].dataType).alias("rule_pos"),
             F.lit(0).cast(rules.schema["value_pos"].dataType).alias("value_pos"), F.lit("indunamesw").alias("column"), "value",
             F.lit(K.REASON_SCOPE_COMPLETION).alias("reason"),
         )

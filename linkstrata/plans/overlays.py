@@ -25,6 +25,7 @@ class Attached:
     removed: DataFrame
     issues: DataFrame
     scope: DataFrame
+    uncovered: DataFrame  # industries where no attachment hit any node: an error for the caller; their graphs are left as they are
 
 
 def attach_companies(
@@ -34,7 +35,7 @@ def attach_companies(
     """Listed companies -> scope -> matches -> attachment set -> fold thin leaves -> prune -> fold singletons.
 
     ``rules`` are normalized, exploded scope rules. Web matches follow the exact matches in order, so they win on the
-    same node. Graphs without any attachment keep their nodes.
+    same node. Graphs without any attachment keep their nodes and are named in ``uncovered``.
     """
     listed = C.listed_companies(master)
     scope = C.complete_scope(rules, nodes, C.taxonomy_catalog(listed))
@@ -59,7 +60,7 @@ def attach_companies(
         thin.select(KEY, "id", F.lit("low_coverage").alias("step")).unionByName(pruned.select(KEY, "id", F.lit("no_coverage").alias("step")))
         .unionByName(single.select(KEY, F.col("child_id").alias("id"), F.lit("singleton").alias("step")))
     )
-    return Attached(sn, se, sa, C.payload_companies(sa, master), removed, issues, scope)
+    return Attached(sn, se, sa, C.payload_companies(sa, master), removed, issues, scope, empty)
 
 
 @dataclass
@@ -105,10 +106,16 @@ def overlay_issues(decisions: DataFrame, l2: DataFrame, projected: DataFrame, no
     )
 
 
-def reproject(l2_edges: DataFrame, nodes: DataFrame, status: DataFrame, as_of: str) -> DataFrame:
-    """Rebuild projections of overlays that are ready; stale and invalid overlays are left out."""
+def reproject(l2_edges: DataFrame, nodes: DataFrame, status: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Rebuild projections of overlays that are ready: (projected edges, outcome per industry of ``status``).
+
+    Stale, invalid and missing overlays are not projected; the outcome names them: industry_id, overlay_status, projected_edge_count.
+    """
     ready = status.filter(F.col("overlay_status") == "ready").select(KEY)
-    return flow.project_flows(l2_edges.join(ready, KEY, "left_semi"), nodes, as_of)
+    projected = checkpointed(flow.project_flows(l2_edges.join(ready, KEY, "left_semi"), nodes, as_of))
+    counts = projected.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    outcome = status.select(KEY, "overlay_status").join(counts, KEY, "left").select(KEY, "overlay_status", F.coalesce("n", F.lit(0)).cast("bigint").alias("projected_edge_count"))
+    return projected, outcome
 
 
 @dataclass
