@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkstrata.llm.common import lookup_weighted, snippet, stage
+from linkstrata.llm.common import bitmap, in_bitmap, lookup_weighted, snippet, stage
 
 LEAST_CHARS = 16
+SEGMENT = 64
 
 
 def _digest(line: Column) -> Column:
@@ -15,32 +16,65 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
-def _half_keys(line: Column, length: Column) -> Column:
-    """Four hashes of which any two lines one edit apart share one.
+def _half_keys() -> list[Column]:
+    """Four hashes of the column ``line`` of which any two lines one edit apart share one.
 
     One edit leaves either the first half or the last half of the shorter line intact in both lines; a line may be the shorter or
     the longer of a pair, so it states both halves for its own length and for one character less.
     """
     keys = []
-    for base in (length, length - 1):
+    for base in (F.col("length"), F.col("length") - 1):
         half = (base / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), base, F.substring(line, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit("tail"), base, F.right(line, base - half)))
-    return F.array(*keys)
+        keys.append(F.xxhash64(F.lit("head"), base, F.substring(F.col("line"), F.lit(1), half)))
+        keys.append(F.xxhash64(F.lit("tail"), base, F.right(F.col("line"), base - half)))
+    return keys
 
 
-def _variants(line: Column, length: Column) -> Column:
-    """Hashed variants of a line: itself, and for each place the line without that character, once with the place and once without.
+def _segments(base: Column) -> Column:
+    """Segments of the column ``line`` seen as a line of ``base`` characters: hash of the text around a segment, and the segment.
 
-    Lines that share a variant with its place differ by one substitution; a line that equals a variant without place differs by one insertion.
+    Boundaries before a segment count from the start and those after it from the end, so that a line with one character more has
+    the same surroundings, and one more character in the segment that holds the edit.
     """
-    def shortened(i: Column) -> Column:
-        return F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, length)))
+    def segment(k: Column) -> Column:
+        behind = base - F.least(base, (k + 1) * SEGMENT)
+        around = F.xxhash64(base, k, F.substring(F.col("line"), F.lit(1), k * SEGMENT), F.right(F.col("line"), behind))
+        return F.struct(around.alias("around"), F.substring(F.col("line"), k * SEGMENT + 1, F.length("line") - k * SEGMENT - behind).alias("middle"))
 
-    cut = F.transform(F.sequence(F.lit(1), length), lambda i: F.struct(F.lit("cut").alias("kind"), F.lit(0).alias("place"), shortened(i).alias("key")))
-    placed = F.transform(cut, lambda v, i: F.struct(F.lit("placed").alias("kind"), (i + 1).alias("place"), v["key"].alias("key")))
-    whole = F.array(F.struct(F.lit("whole").alias("kind"), F.lit(0).alias("place"), F.xxhash64(line).alias("key")))
-    return F.concat(whole, F.array_distinct(cut), placed)
+    return F.transform(F.sequence(F.lit(0), F.ceil(base / SEGMENT).cast("int") - 1), segment)
+
+
+def _without_each() -> Column:
+    """The column ``middle`` without its first, second, ... character."""
+    return F.transform(
+        F.sequence(F.lit(1), F.length("middle")), lambda i: F.concat(F.substring("middle", F.lit(1), i - 1), F.substring(F.col("middle"), i + 1, F.length("middle")))
+    )
+
+
+def line_variants(rows: DataFrame) -> DataFrame:
+    """Deletion variants of lines as hashed keys: ``digest``, ``first``, ``kind``, ``key``.
+
+    ``placed``: the line without one character, with its place; lines that share one differ by a replaced character. ``cut``: the
+    line without one character; a line whose ``whole`` has the same key differs by an inserted one. A key is made of the hash of the text
+    around a segment and of the variant of the segment: one edit leaves all but one segment as it is. This keeps the work for a
+    long line near linear, and segments whose surroundings no other line has need no variants.
+    """
+    sides = [
+        rows.select("digest", "first", F.lit(own).alias("own"), F.explode(_segments(F.col("length") - (0 if own else 1))).alias("s")).select("digest", "first", "own", "s.*")
+        for own in (True, False)
+    ]
+    segments = stage(sides[0].unionByName(sides[1]), "line-segments")
+    shared = segments.groupBy("around").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("around")
+    near = stage(segments.join(shared, "around", "left_semi"), "near-segments")
+    own, longer = near.filter("own"), near.filter("NOT own")
+    whole = own.select("digest", "first", F.lit("whole").alias("kind"), F.xxhash64("around", "middle").alias("key"))
+    placed = own.select("digest", "first", "around", F.posexplode(_without_each()).alias("place", "rest")).select(
+        "digest", "first", F.lit("placed").alias("kind"), F.xxhash64("around", "place", "rest").alias("key")
+    )
+    cut = longer.select("digest", "first", "around", F.explode(F.array_distinct(_without_each())).alias("rest")).select(
+        "digest", "first", F.lit("cut").alias("kind"), F.xxhash64("around", "rest").alias("key")
+    )
+    return whole.unionByName(placed).unionByName(cut)
 
 
 def near_lines(lines: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -51,23 +85,17 @@ def near_lines(lines: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     that no group of lines is paired; each line is then checked against the earliest line of each of its variants by edit distance.
     """
     rows = lines.filter(F.length("line") >= least_chars).withColumn("length", F.length("line"))
-    halves = stage(rows.select("digest", F.explode(_half_keys(F.col("line"), F.col("length"))).alias("half")), "line-halves")
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    likely = stage(halves.join(shared, "half", "left_semi").select("digest").distinct(), "likely-lines")
-    chosen = stage(rows.join(likely, "digest", "left_semi"), "likely-texts")
-    variants = stage(
-        chosen.select("digest", "first", F.explode(_variants(F.col("line"), F.col("length"))).alias("v")).select("digest", "first", "v.*"), "line-variants"
-    )
-    by = ["key", "place"]
-    sides = {
-        "placed": variants.filter("kind = 'placed'"), "cut": variants.filter("kind = 'cut'"), "whole": variants.filter("kind = 'whole'"),
-    }
+    halves = rows.select(F.explode(F.array(*_half_keys())).alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n"))
+    marks = stage(bitmap(halves.filter("n > 1"), "half"), "shared-halves")
+    chosen = stage(in_bitmap(rows, _half_keys(), marks), "likely-lines")
+    variants = stage(line_variants(chosen), "line-variants")
+    sides = {kind: variants.filter(F.col("kind") == kind) for kind in ("placed", "cut", "whole")}
     pairs = None
     for one, other in (("placed", "placed"), ("cut", "whole"), ("whole", "cut")):
-        earliest = sides[other].groupBy(*by).agg(F.min(F.struct("first", "digest")).alias("e"), F.count(F.lit(1)).alias("n"))
+        earliest = sides[other].groupBy("key").agg(F.min(F.struct("first", "digest")).alias("e"), F.count(F.lit(1)).alias("n"))
         if one == other:
             earliest = earliest.filter("n > 1")
-        met = sides[one].join(earliest, by).filter(F.col("e.first") < F.col("first")).select("digest", F.col("e.digest").alias("earlier"))
+        met = sides[one].join(earliest, "key").filter(F.col("e.first") < F.col("first")).select("digest", F.col("e.digest").alias("earlier"))
         pairs = met if pairs is None else pairs.unionByName(met)
     pairs = stage(pairs.filter("digest != earlier").distinct(), "line-pairs")
     own = chosen.select("digest", "line")
