@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 from collections.abc import Callable
 
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
+_WORD = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([" + re.escape(string.punctuation.replace("'", "")) + "]*)")
+#: Byte-level vocabularies write printable Latin-1 characters as themselves and the other bytes as the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+SPACE = chr(BYTE_CHARACTERS[32])
 _BEFORE_SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _OPEN: dict[str, "Encoder"] = {}
 
@@ -16,8 +22,10 @@ _OPEN: dict[str, "Encoder"] = {}
 class Encoder:
     """Ids of a text as bytes (little-endian unsigned 32-bit numbers), equal to encoding the text in one call.
 
-    The text is cut where no token can cross: at ASCII white space if the tokenizer drops white space, else before a single space
-    between two other characters. The library encodes each different piece; frequent pieces are remembered.
+    The text is cut where no token can cross: at ASCII white space if the tokenizer drops white space, else before a single space and
+    around a single line feed between two other characters. The library encodes each different piece; frequent pieces are remembered. Words of Latin-1 letters,
+    with punctuation after them or not, go straight to the library's model, as they are one unit for the steps before it; whether this
+    holds for a vocabulary is tried on opening it.
     """
 
     def __init__(self, path: str):
@@ -25,50 +33,98 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict = {}
+        self.model = self.library.model
+        self.lower = self._whole(["A"]) == self._whole(["a"])
+        self.tails: dict[str, bytes] = {}
+        self.known = _Known(self._ids)
+        tried = ["Word", "\u00c9t\u00e9", "na\u00efve", "STRASSE", "stra\u00dfe", "odd,!!", "x"] + [" Word,", " \u00e0"] * (not self._drops_white_space())
+        self.direct = all(self._word(t) == self._whole([t])[0] for t in tried)
         self.encode: Callable[[str], bytes] = self._dropping if self._drops_white_space() else self._keeping
 
     def _drops_white_space(self) -> bool:
         return self.library.encode("a b", add_special_tokens=False).ids == self.library.encode(" a \n\n b ", add_special_tokens=False).ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set, text_of: Callable) -> dict:
-        """Ids of new pieces; short ones are remembered. The memory is emptied when full."""
-        order = list(pieces)
-        new = dict(zip(order, self._ids([text_of(p) for p in order])))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_REMEMBERED)
-        return new
-
-    def _joined(self, pieces: list, text_of: Callable) -> bytes:
-        known = self.known
-        missing = {p for p in pieces if p not in known}
-        if not missing:
-            return b"".join([known[p] for p in pieces])
-        before = {p: known[p] for p in set(pieces) - missing}
-        before.update(self._learn(missing, text_of))
-        return b"".join([before[p] for p in pieces])
+    def _word(self, text: str) -> bytes | None:
+        """Ids of a word of Latin-1 letters with ASCII punctuation after it; None for anything else."""
+        match = _WORD.fullmatch(text)
+        if match is None:
+            return None
+        core, tail = match.groups()
+        shown = core.lower() if self.lower else core
+        if shown.isascii():
+            shown = shown.replace(" ", SPACE)
+        else:
+            shown = shown.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = _packed([t.id for t in self.model.tokenize(shown)])
+        if not tail:
+            return ids
+        if tail not in self.tails:
+            if len(self.tails) > REMEMBERED:
+                self.tails.clear()
+            self.tails[tail] = self._whole([tail])[0]
+        return ids + self.tails[tail]
+
+    def _ids(self, text: str) -> bytes:
+        ids = self._word(text) if self.direct else None
+        return self._whole([text])[0] if ids is None else ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _dropping(self, text: str) -> bytes:
-        return self._joined(text.encode().split(), bytes.decode)
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
 
     def _keeping(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace() and not self._touching(rest):
-            return self._ids([first])[0] + self._joined(rest, lambda piece: " " + piece)
-        return b"".join(self._ids(_BEFORE_SINGLE_SPACE.split(text)))
-
-    def _touching(self, rest: list[str]) -> bool:
-        """True if white space stands beside one of the spaces that the text was cut at."""
-        unseen = [p for p in rest if p not in self.known]
-        if any(not p or p[0].isspace() for p in unseen) or any(p[-1].isspace() for p in unseen[:-1]):
-            return True
-        if unseen and unseen[-1][-1].isspace():  # harmless at the end of the text only, and not to be remembered
-            return True
-        return False
+        try:
+            if "\0" not in text:
+                return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        except _NotAlone:
+            pass
+        return b"".join(map(self._ids, _BEFORE_SINGLE_SPACE.split(text)))
+
+
+class _NotAlone(Exception):
+    """A piece that has white space beside a cut."""
+
+
+class _Known(dict):
+    """Ids by piece; a new piece is encoded and, if short, remembered. The memory is emptied when full."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.ids = encode
+
+    def __missing__(self, piece: str | bytes) -> bytes:
+        if isinstance(piece, bytes):
+            ids = self.ids(piece.decode())
+        elif _stands_alone(piece):
+            ids = self.ids(piece)
+        else:
+            raise _NotAlone
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _stands_alone(piece: str) -> bool:
+    """True if a piece between cuts has no white space beside a cut: it is a line feed, or a word with or without a space before it."""
+    body = piece[1:] if piece[:1] == " " else piece
+    return piece == "\n" or (body != "" and not body[0].isspace() and not body[-1].isspace())
+
+
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _stands_alone(piece: str) -> bool:
+    """True if a piece between cuts has no white space beside a cut: it is a line feed, or a word with or without a space before it."""
+    body = piece[1:] if piece[:1] == " " else piece
+    return piece == "\n" or (body != "" and not body[0].isspace() and not body[-1].isspace())
 
 
 def encoder(path: str) -> Encoder:
