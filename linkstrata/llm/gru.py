@@ -1,7 +1,8 @@
 """Gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, state carried across windows.
 
-A token is a number: below ``frequent`` it is a frequent word (0 is the end of a text), otherwise ``frequent`` plus the spelling class of
-a rarer word. The model gives the probability of a token's class, and of a frequent word within its class. The state starts at zero
+A token is a number: below ``frequent`` it is a word of the lexicon (0 is the end of a text), otherwise ``frequent`` plus the spelling class of
+a rarer word. The model gives the probability of a token's class, and of a word within its class. Every word has an embedding of its own as
+input and as output; these two tables are updated row by row (Adagrad), all other parameters as a whole (Adam). The state starts at zero
 in each text, takes up one token after another, and is carried on for as long as the text lasts.
 """
 
@@ -13,10 +14,13 @@ from itertools import pairwise
 
 import numpy as np
 
+BLOCK = 4096
+ROWS = ("x", "words", "word_bias")  # one row per token or word
+
 
 @dataclass(frozen=True)
 class Layout:
-    """``bounds`` cuts the frequent words into classes; ``spelling`` is the number of classes of rarer words."""
+    """``bounds`` cuts the words of the lexicon, most frequent first, into classes; ``spelling`` is the number of classes of rarer words."""
 
     bounds: tuple[int, ...]
     spelling: int
@@ -38,9 +42,10 @@ class Layout:
 @dataclass(frozen=True)
 class Settings:
     hidden: int = 24
-    lanes: int = 96
+    lanes: int = 384
     window: int = 24
     rate: float = 0.01
+    row_rate: float = 0.05
     clip: float = 1.0
     seed: int = 7
 
@@ -54,7 +59,7 @@ def start(layout: Layout, class_bias: np.ndarray, word_bias: np.ndarray, s: Sett
         return (rng.standard_normal(shape) / np.sqrt(h)).astype(np.float32)
 
     return {
-        "x": 0.5 * small(tokens, 3 * h), "gates": small(h, 2 * h), "candidate": small(h, h), "classes": 0.1 * small(h, layout.classes),
+        "x": small(tokens, h), "input": small(h, 3 * h), "gates": small(h, 2 * h), "candidate": small(h, h), "classes": 0.1 * small(h, layout.classes),
         "class_bias": class_bias.astype(np.float32), "words": 0.1 * small(layout.frequent, h), "word_bias": word_bias.astype(np.float32),
     }
 
@@ -68,13 +73,21 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
+def _softmax(a: np.ndarray) -> np.ndarray:
+    """Probabilities of the scores, in their place."""
+    a -= a.max(axis=1)[:, None]
+    np.exp(a, out=a)
+    a /= a.sum(axis=1)[:, None]
+    return a
+
+
 def _steps(p: dict, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
     """Runs over ``tokens`` (steps, lanes; -1 is padding): the states before each step, the state after the last, and what backpropagation needs."""
     size = h.shape[1]
     before, kept = np.empty((*tokens.shape, size), dtype=np.float32), []
     for t in range(len(tokens)):
         before[t] = h
-        x = p["x"][tokens[t]]
+        x = p["x"][tokens[t]] @ p["input"]
         gates = _sigmoid(x[:, :2 * size] + h @ p["gates"])
         z, r = gates[:, :size], gates[:, size:]
         c = np.tanh(x[:, 2 * size:] + (r * h) @ p["candidate"])
@@ -84,21 +97,25 @@ def _steps(p: dict, h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.n
     return before, h, kept
 
 
-def _word_scores(p: dict, layout: Layout, states: np.ndarray, tokens: np.ndarray, classes: np.ndarray):
-    """(rows, first word, scores) for each class of several frequent words that occurs among the rows."""
-    for number, (low, high) in enumerate(pairwise(layout.bounds)):
+def _word_scores(p: dict, layout: Layout, states: np.ndarray, classes: np.ndarray):
+    """(rows, first word, last word + 1, scores) for each class of several words that occurs among the rows."""
+    order = np.argsort(classes, kind="stable")
+    starts = np.searchsorted(classes[order], np.arange(len(layout.bounds)))
+    for number in np.flatnonzero(starts[1:] > starts[:-1]):
+        low, high = layout.bounds[number], layout.bounds[number + 1]
         if high - low > 1:
-            rows = np.flatnonzero(classes == number)
-            if len(rows):
-                yield rows, low, high, states[rows] @ p["words"][low:high].T + p["word_bias"][low:high]
+            rows = order[starts[number]:starts[number + 1]]
+            yield rows, low, high, states[rows] @ p["words"][low:high].T + p["word_bias"][low:high]
 
 
 def log_probabilities(p: dict, layout: Layout, states: np.ndarray, tokens: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     """Natural log probability of each token given the state before it."""
     classes = class_of[tokens]
-    logits = states @ p["classes"] + p["class_bias"]
-    found = logits[np.arange(len(tokens)), classes] - _log_sum(logits)
-    for rows, low, _, scores in _word_scores(p, layout, states, tokens, classes):
+    found = np.empty(len(tokens), dtype=states.dtype)
+    for at in range(0, len(tokens), BLOCK):
+        logits = states[at:at + BLOCK] @ p["classes"] + p["class_bias"]
+        found[at:at + BLOCK] = logits[np.arange(len(logits)), classes[at:at + BLOCK]] - _log_sum(logits)
+    for rows, low, _, scores in _word_scores(p, layout, states, classes):
         found[rows] += scores[np.arange(len(rows)), tokens[rows] - low] - _log_sum(scores)
     return found
 
@@ -143,6 +160,17 @@ def score_texts(p: dict, layout: Layout, texts: list[np.ndarray], most_lanes: in
 
 def _gradients(p: dict, layout: Layout, h: np.ndarray, part: np.ndarray, class_of: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean loss of one window, and the state after it."""
+    tables = {k: np.zeros_like(p[k]) for k in ROWS}
+
+    def keep(key: str, rows, values: np.ndarray) -> None:
+        tables[key][rows] = values
+
+    g, after = _backward(p, layout, h, part, class_of, keep)
+    return g | tables, after
+
+
+def _backward(p: dict, layout: Layout, h: np.ndarray, part: np.ndarray, class_of: np.ndarray, on_rows) -> tuple[dict, np.ndarray]:
+    """As ``_gradients``, but those of the row tables are given to ``on_rows`` (table, rows, values) once the rows have been used."""
     size = h.shape[1]
     before, after, kept = _steps(p, h, part)
     flat, tokens = before.reshape(-1, size), part.ravel()
@@ -150,20 +178,20 @@ def _gradients(p: dict, layout: Layout, h: np.ndarray, part: np.ndarray, class_o
     states, tokens = flat[real], tokens[real]
     scale = np.float32(1 / max(1, len(real)))
     classes = class_of[tokens]
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ROWS}
     logits = states @ p["classes"] + p["class_bias"]
-    wrong = np.exp(logits - _log_sum(logits)[:, None])
+    wrong = _softmax(logits)
     wrong[np.arange(len(tokens)), classes] -= 1
     wrong *= scale
     g["classes"], g["class_bias"] = states.T @ wrong, wrong.sum(axis=0)
     down = wrong @ p["classes"].T
-    for rows, low, high, scores in _word_scores(p, layout, states, tokens, classes):
-        miss = np.exp(scores - _log_sum(scores)[:, None])
+    for rows, low, high, scores in _word_scores(p, layout, states, classes):
+        miss = _softmax(scores)
         miss[np.arange(len(rows)), tokens[rows] - low] -= 1
         miss *= scale
-        g["words"][low:high] = miss.T @ states[rows]
-        g["word_bias"][low:high] = miss.sum(axis=0)
         down[rows] += miss @ p["words"][low:high]
+        on_rows("words", slice(low, high), miss.T @ states[rows])
+        on_rows("word_bias", slice(low, high), miss.sum(axis=0))
     outer = np.zeros_like(flat)
     outer[real] = down
     outer = outer.reshape(before.shape)
@@ -183,10 +211,13 @@ def _gradients(p: dict, layout: Layout, h: np.ndarray, part: np.ndarray, class_o
         inputs[t, :, :2 * size], inputs[t, :, 2 * size:] = d_gates, d_c
         carried = new * (1 - z) + d_rh * r + d_gates @ p["gates"].T + outer[t]
     flat_inputs, numbers = inputs.reshape(-1, 3 * size)[real], tokens
+    g["input"] = p["x"][numbers].T @ flat_inputs
+    flat_inputs = flat_inputs @ p["input"].T
     order = np.argsort(numbers, kind="stable")
     ordered = numbers[order]
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    g["x"][ordered[starts]] = np.add.reduceat(flat_inputs[order], starts, axis=0)
+    if len(starts):
+        on_rows("x", ordered[starts], np.add.reduceat(flat_inputs[order], starts, axis=0))
     return g, after
 
 
@@ -198,12 +229,21 @@ def fit(p: dict, layout: Layout, texts: list[np.ndarray], s: Settings) -> dict[s
     class_of = layout.class_of()
     tokens, _ = lanes_of(texts, s.lanes)
     h = np.zeros((tokens.shape[1], s.hidden), dtype=np.float32)
-    mean, square = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    whole = [k for k in p if k not in ROWS]
+    mean, square = {k: np.zeros_like(p[k]) for k in whole}, {k: np.zeros_like(p[k]) for k in whole}
+    sums = {k: np.full(len(p[k]), 1e-10, dtype=np.float32) for k in ROWS}
+
+    def on_rows(key: str, rows, values: np.ndarray) -> None:
+        sums[key][rows] += values * values if values.ndim == 1 else np.einsum("ij,ij->i", values, values) / values.shape[1]
+        step = np.float32(s.row_rate) / np.sqrt(sums[key][rows])
+        values *= step if values.ndim == 1 else step[:, None]
+        p[key][rows] -= values
+
     for step, at in enumerate(range(0, len(tokens), s.window), 1):
-        g, h = _gradients(p, layout, h, tokens[at:at + s.window], class_of)
+        g, h = _backward(p, layout, h, tokens[at:at + s.window], class_of, on_rows)
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         shrink = np.float32(min(1.0, s.clip / norm) if norm else 1.0)
-        for k in p:
+        for k in whole:
             v = g[k] * shrink
             mean[k] += 0.1 * (v - mean[k])
             square[k] += 0.001 * (v * v - square[k])

@@ -20,7 +20,7 @@ from linkstrata.llm.ftrl import in_sample
 
 END = b""
 KNOWN_SHARE = 1 << 19
-FREQUENT_SHARE = 1 << 10
+LEAST_COUNT = 2
 SPELLING = 64
 COUNTED = 200_000
 CHUNK_TOKENS = 3_000_000
@@ -28,6 +28,7 @@ SAMPLE_SHARE = 1 / 16
 SAMPLE_LEAST = 3_000_000
 SHARD_TOKENS = 1_000_000
 ROUNDS = 3
+PIECE = 1 << 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -66,13 +67,13 @@ def word_counts(evidence: DataFrame) -> DataFrame:
 class Lexicon:
     """Known words: token number, log10(count + 1) and the fixed part of the score of each.
 
-    ``known`` are words with at least 1/KNOWN_SHARE of all tokens, so at most KNOWN_SHARE of them; those with at least 1/FREQUENT_SHARE
-    are frequent. A rarer word has the probability (count + 1) / (tokens + words + 1) within its spelling class, where an unseen word
+    ``known`` are words with at least 1/KNOWN_SHARE of all tokens, so at most KNOWN_SHARE of them. Those seen LEAST_COUNT times have an
+    embedding and a learned place in a class; classes are about as many as the root of these words, with about equal shares of the tokens. A rarer word has the probability (count + 1) / (tokens + words + 1) within its spelling class, where an unseen word
     counts as one more word of the class, never seen.
     """
 
     def __init__(self, known: list[tuple[bytes, int, int]], classes: dict[int, tuple[int, int]], total: int):
-        frequent = sorted((w for w in known if w[0] != END and w[2] * FREQUENT_SHARE >= total), key=lambda w: (-w[2], w[0]))
+        frequent = sorted((w for w in known if w[0] != END and w[2] >= LEAST_COUNT), key=lambda w: (-w[2], w[0]))
         end = next((n for w, _, n in known if w == END), 0)
         parts = math.ceil(math.sqrt(len(frequent)))
         mass, before, bounds = sum(n for _, _, n in frequent), 0, [0, 1]
@@ -126,7 +127,7 @@ def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings
     """Learns the recurrent model from a sample of the rows given: 1/16 of the tokens, and at least three million where there are as many.
 
     The sample grows with the input; it is dealt to shards of about a million tokens, which tasks go through in parallel. After each
-    round the shards' parameters are averaged, element by element in Spark, so that the driver gets one set of them.
+    round the shards' parameters are averaged in Spark, piece by piece, so that the driver gets one set of them.
     """
     spark = evidence.sparkSession
     lex = lexicon.value
@@ -144,14 +145,19 @@ def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             texts = [lexicon.value.read(t)[0] for t in frame.sort_values("turn", kind="stable")["snippet"]]
             learned = gru.fit(state.value, lexicon.value.layout, texts, settings)
-            values = np.concatenate([v.ravel() for v in learned.values()]).astype(np.float64)
-            return pd.DataFrame({"place": np.arange(len(values)), "value": values})
+            values = np.concatenate([v.ravel() for v in learned.values()])
+            pieces = [values[i:i + PIECE].tobytes() for i in range(0, len(values), PIECE)]
+            return pd.DataFrame({"piece": np.arange(len(pieces)), "shard": int(frame["shard"].iloc[0]), "value": pieces})
 
-        learned = rows.groupBy("shard").applyInPandas(run, "place bigint, value double")
-        found = learned.groupBy("place").agg(F.avg("value").alias("value")).toPandas()  # one row per parameter
+        def average(frame: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in frame.sort_values("shard")["value"])
+            return pd.DataFrame({"piece": frame["piece"].iloc[:1], "value": [(total / len(frame)).astype(np.float32).tobytes()]})
+
+        learned = rows.groupBy("shard").applyInPandas(run, "piece int, shard int, value binary")
+        found = learned.groupBy("piece").applyInPandas(average, "piece int, value binary").toPandas()  # as large as one model
         if not len(found):
             break
-        p = _shaped(found.sort_values("place")["value"].to_numpy(), p)
+        p = _shaped(np.frombuffer(b"".join(found.sort_values("piece")["value"]), dtype=np.float32), p)
         state.unpersist()
     return p
 
@@ -176,7 +182,7 @@ def score_snippets(evidence: DataFrame, folds: int = 7, held_out_fold: int = 2,
     total, distinct = int(size["n"]), int(size["v"])
     is_known = (F.col("n") * KNOWN_SHARE >= total) | (F.length("word") == 0)
     known = [(bytes(r["word"]), r["spelling"], r["n"]) for r in counts.filter(is_known).collect()]  # at most KNOWN_SHARE + 1 rows
-    rarer = counts.filter((F.col("n") * FREQUENT_SHARE < total) & (F.length("word") > 0))
+    rarer = counts.filter((~is_known | (F.col("n") < LEAST_COUNT)) & (F.length("word") > 0))
     classes = {r["spelling"]: (r["n"], r["v"]) for r in rarer.groupBy("spelling").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     lexicon = spark.sparkContext.broadcast(Lexicon(sorted(known), classes, total))
     model = spark.sparkContext.broadcast(train_model(training, lexicon, total, settings))

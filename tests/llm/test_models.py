@@ -13,7 +13,7 @@ from linkstrata.llm import gru
 from linkstrata.llm.ftrl import Settings, learn, probabilities, weights
 from linkstrata.llm.language import gram_counts, predict_language, temperature
 from linkstrata.llm.quality import score_quality, word_grams
-from linkstrata.llm.scoring import score_snippets
+from linkstrata.llm.scoring import KNOWN_SHARE, Lexicon, score_snippets, spelling_class
 
 
 def prose(n, seed=8):
@@ -123,6 +123,15 @@ def test_language_model_of_nothing(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in score_snippets(evidence(spark, [(i, "a b") for i in alone])).collect())
 
 
+def test_every_known_word_has_a_learned_place():
+    words = [(b"w%d" % i, spelling_class(b"w%d" % i), 2 + 3000 // (i + 1)) for i in range(3000)]
+    lexicon = Lexicon([(b"", 0, 500), *words, (b"once", 3, 1)], {3: (1, 1)}, KNOWN_SHARE)
+    assert lexicon.layout.frequent == 3001 and 20 < len(lexicon.layout.bounds) < 60
+    numbers, _, _, fixed, others = lexicon.read(" ".join(w.decode() for w, _, _ in words))
+    assert sorted(numbers) == list(range(3001)) and fixed == 0 and others == []
+    assert lexicon.read("once")[3] < 0
+
+
 LAYOUT = gru.Layout((0, 1, 3, 6), 4)
 
 
