@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from linkstrata.llm import gru
 from linkstrata.llm.common import share, snippet, stage
-from linkstrata.llm.ftrl import in_sample
 
 END = b""
 KNOWN_SHARE = 1 << 19
@@ -24,9 +23,7 @@ LEAST_COUNT = 2
 SPELLING = 64
 COUNTED = 200_000
 CHUNK_TOKENS = 3_000_000
-SAMPLE_SHARE = 1 / 16
-SAMPLE_LEAST = 3_000_000
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 4_000_000
 ROUNDS = 3
 PIECE = 1 << 16
 
@@ -123,10 +120,19 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return {key: part.reshape(value.shape) for part, (key, value) in zip(parts, like.items())}
 
 
+def training_rounds(evidence: DataFrame, total: int) -> list[DataFrame]:
+    """``shard``, ``turn``, ``snippet`` of all rows given, dealt to shards of about SHARD_TOKENS tokens and these to at most ROUNDS rounds; every row is in one."""
+    shards = max(1, math.ceil(total / SHARD_TOKENS))
+    identity = F.xxhash64(F.lit("lm"), F.col("evidence_id").cast("string"), snippet())
+    rows = evidence.select(F.pmod(identity, F.lit(shards)).cast("int").alias("shard"), F.xxhash64("evidence_id", snippet()).alias("turn"), snippet().alias("snippet"))
+    rounds = min(ROUNDS, shards)
+    return [rows.filter(F.col("shard") % rounds == i) for i in range(rounds)]
+
+
 def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings) -> dict[str, np.ndarray]:
-    """Learns the recurrent model from a sample of the rows given: 1/16 of the tokens, and at least three million where there are as many.
+    """Learns the recurrent model from all rows given, at every size of input.
 
-    The sample grows with the input; it is dealt to shards of about a million tokens, which tasks go through in parallel. After each
+    Tasks go through shards in parallel; each round has other shards, so that one pass over the rows is made. After each
     round the shards' parameters are averaged in Spark, piece by piece, so that the driver gets one set of them.
     """
     spark = evidence.sparkSession
@@ -134,12 +140,7 @@ def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings
     p = gru.start(lex.layout, lex.class_bias, lex.word_bias, settings)
     if not total:
         return p
-    fraction = min(1.0, max(SAMPLE_SHARE, SAMPLE_LEAST / total))
-    shards = max(1, math.ceil(total * fraction / SHARD_TOKENS))
-    shard = F.pmod(F.xxhash64(F.lit("lm"), F.col("evidence_id").cast("string")), F.lit(shards)).cast("int")
-    rows = evidence.filter(F.col("evidence_id").isNotNull() & in_sample("evidence_id", fraction))
-    rows = stage(rows.select(shard.alias("shard"), F.xxhash64("evidence_id", snippet()).alias("turn"), snippet().alias("snippet")), "lm-sample")
-    for _ in range(ROUNDS):
+    for rows in training_rounds(evidence, total):
         state = spark.sparkContext.broadcast(p)
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -155,9 +156,8 @@ def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings
 
         learned = rows.groupBy("shard").applyInPandas(run, "piece int, shard int, value binary")
         found = learned.groupBy("piece").applyInPandas(average, "piece int, value binary").toPandas()  # as large as one model
-        if not len(found):
-            break
-        p = _shaped(np.frombuffer(b"".join(found.sort_values("piece")["value"]), dtype=np.float32), p)
+        if len(found):
+            p = _shaped(np.frombuffer(b"".join(found.sort_values("piece")["value"]), dtype=np.float32), p)
         state.unpersist()
     return p
 
@@ -171,8 +171,8 @@ def score_snippets(evidence: DataFrame, folds: int = 7, held_out_fold: int = 2,
     ``score``: the model's log10 probability of the tokens.
 
     Word counts are taken over all training rows. Words with less than 1/524288 of the tokens are not sent to tasks; their counts
-    are joined, and since each has so few tokens no key of that join is hot. The recurrent weights learn from a share of the rows
-    (see ``train_model``). Null and empty snippets are the end alone. Null ids are in the fold of the empty text. Repeated rows are scored
+    are joined, and since each has so few tokens no key of that join is hot. The recurrent weights learn from all training rows, each
+    seen once (see ``train_model``). Null and empty snippets are the end alone. Null ids are in the fold of the empty text. Repeated rows are scored
     each. Snippets of any length are scored whole. An empty table gives an empty result.
     """
     spark = evidence.sparkSession

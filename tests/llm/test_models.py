@@ -13,7 +13,7 @@ from linkstrata.llm import gru
 from linkstrata.llm.ftrl import Settings, learn, probabilities, weights
 from linkstrata.llm.language import gram_counts, predict_language, temperature
 from linkstrata.llm.quality import score_quality, word_grams
-from linkstrata.llm.scoring import KNOWN_SHARE, Lexicon, score_snippets, spelling_class
+from linkstrata.llm.scoring import KNOWN_SHARE, SHARD_TOKENS, Lexicon, score_snippets, spelling_class, training_rounds
 
 
 def prose(n, seed=8):
@@ -123,6 +123,15 @@ def test_language_model_of_nothing(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in score_snippets(evidence(spark, [(i, "a b") for i in alone])).collect())
 
 
+@pytest.mark.parametrize("total", [1, 2 * SHARD_TOKENS, 50 * SHARD_TOKENS])
+def test_every_row_is_learned_from_once(spark, total):
+    rows = [(i, f"text {i}") for i in range(500)] + [(None, "no id"), (7, "text 7")]
+    shards = [{(r["shard"], r["snippet"]) for r in part.collect()} for part in training_rounds(evidence(spark, rows, twice=False), total)]
+    texts = Counter(r["snippet"] for part in training_rounds(evidence(spark, rows, twice=False), total) for r in part.collect())
+    assert texts == Counter(t for _, t in rows)
+    assert sum(len({n for n, _ in s}) for s in shards) == len({n for s in shards for n, _ in s}) >= min(50, total // SHARD_TOKENS)
+
+
 def test_every_known_word_has_a_learned_place():
     words = [(b"w%d" % i, spelling_class(b"w%d" % i), 2 + 3000 // (i + 1)) for i in range(3000)]
     lexicon = Lexicon([(b"", 0, 500), *words, (b"once", 3, 1)], {3: (1, 1)}, KNOWN_SHARE)
