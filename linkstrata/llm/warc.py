@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -110,19 +111,33 @@ def _named(value: str | None) -> str | None:
     return None if value is None else unquote(value)
 
 
+class Damaged(ValueError):
+    """A gzip member that fails: ``content`` is what it held before the damage was noticed."""
+
+    def __init__(self, reason: str, content: bytes):
+        super().__init__(reason)
+        self.content = content
+
+
 def inflate_member(data: memoryview, at: int) -> tuple[int, bytes]:
-    """Gzip member at ``at``: its end and content. Raises ValueError if it is damaged or cut off."""
+    """Gzip member at ``at``: its end and content. Raises Damaged if it is damaged or cut off."""
     unpacker = zlib.decompressobj(31)
     parts, position = [], at
-    try:
-        while not unpacker.eof:
-            chunk = data[position:position + CHUNK]
-            if not len(chunk):
-                raise ValueError("member is cut off")
+    while not unpacker.eof:
+        chunk = data[position:position + CHUNK]
+        if not len(chunk):
+            raise Damaged("member is cut off", b"".join(parts))
+        before = unpacker.copy()
+        try:
             parts.append(unpacker.decompress(chunk))
-            position += len(chunk)
-    except zlib.error as error:
-        raise ValueError(f"damaged member: {error}") from None
+        except zlib.error as error:
+            try:
+                for i in range(len(chunk)):  # an error drops the output of its whole call
+                    parts.append(before.decompress(chunk[i:i + 1]))
+            except zlib.error:
+                pass
+            raise Damaged(f"damaged member: {error}", b"".join(parts)) from None
+        position += len(chunk)
     return position - len(unpacker.unused_data), b"".join(parts)
 
 
@@ -152,24 +167,97 @@ def _salvage(data: bytes, mark: bytes, read) -> Iterator[tuple[int, int, str | N
         at = end
 
 
+def _proven(record: memoryview) -> bool:
+    """Whether the record states a digest of its block that can be checked, and has it."""
+    head, _, rest = bytes(record).partition(END_OF_HEAD)
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
+    algorithm, _, digest = headers.get(b"warc-block-digest", b"").decode("latin-1").partition(":")
+    if algorithm not in ("sha256", "sha1"):
+        return False
+    found = hashlib.new(algorithm, rest[:int(headers[b"content-length"])])
+    return digest.lower() in (found.hexdigest(), base64.b32encode(found.digest()).decode().lower())
+
+
+def _before_damage(content: bytes) -> list[dict]:
+    """Records of a damaged member that their own digests prove. A member of one record counts as a whole: without its checksum it is none."""
+    view = memoryview(content)
+    found = [(start, end, fields) for start, end, reason, fields in _salvage(content, VERSION_LINE, parse_record) if reason is None and _proven(view[start:end])]
+    if len(found) == 1 and found[0][:2] == (0, len(content)):
+        return []
+    return [fields for _, _, fields in found]
+
+
+def _unit(view: memoryview, at: int, certain: bool) -> tuple[int | None, list[dict], str | None]:
+    """Record or member at ``at``: its end, rows, and the failed check. The end of a damaged member that still holds records is None.
+
+    Raises ValueError if there is nothing of use; unless ``certain``, a member without a record counts as such.
+    """
+    if bytes(view[at:at + len(VERSION_LINE)]) == VERSION_LINE:
+        end, fields = parse_record(view, at)
+        return end, [{"status": "record", "reason": None, **fields}], None
+    if bytes(view[at:at + len(MEMBER_MAGIC)]) != MEMBER_MAGIC:
+        raise ValueError("no member and no version line")
+    try:
+        end, content = inflate_member(view, at)
+    except Damaged as error:
+        rows = [{"status": "record", "reason": None, **fields} for fields in _before_damage(error.content)]
+        if not rows:
+            raise
+        return None, rows, str(error)
+    rows = [
+        {"status": "gap" if inner else "record", "reason": inner and f"inside a member: {inner}", **(fields or {})}
+        for _, _, inner, fields in _salvage(content, VERSION_LINE, parse_record)
+    ]
+    if not certain and all(r["status"] == "gap" for r in rows):
+        raise ValueError("member without a record")
+    return end, rows, None
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, plain or gzip, in order of their offsets.
+    """Records and gaps of one archive, plain, gzip or mixed, in order of their offsets.
 
-    Records carry the byte range of their member. Each quarantined range is a row with ``status`` gap and the failed check.
+    Records carry the byte range of their member. Each quarantined range is a row with ``status`` gap and the failed check; after it
+    the reader goes on at the nearer of the next member and the next version line that read well. Records of a damaged
+    member that come before the damage carry the range of the gap.
     """
-    def plain(view: memoryview, at: int):
-        return parse_record(view, at)
+    view, at = memoryview(data), 0
+    gap: tuple[int, str, list[dict]] | None = None  # start, failed check, records that its member still held
+
+    def closed(end: int) -> Iterator[dict]:
+        start, reason, rows = gap
+        for row in rows:
+            yield {"offset": start, "end": end, **row}
+        yield {"offset": start, "end": end, "status": "gap", "reason": reason}
+
+    ahead = {mark: -1 for mark in (VERSION_LINE, MEMBER_MAGIC)}
+
+    def onward(start: int) -> int:
+        """The next mark of either kind; each is looked for once only."""
+        for mark, place in ahead.items():
+            if place < start:
+                found = data.find(mark, start)
+                ahead[mark] = found if found >= 0 else len(data)
+        return min(ahead.values())
 
-    if not data.startswith(VERSION_LINE):
-        for start, end, reason, content in _salvage(data, MEMBER_MAGIC, inflate_member):
-            if reason is not None:
-                yield {"offset": start, "end": end, "status": "gap", "reason": reason}
-                continue
-            for _, _, inner, fields in _salvage(content, VERSION_LINE, plain):
-                yield {"offset": start, "end": end, "status": "gap" if inner else "record", "reason": inner and f"inside a member: {inner}", **(fields or {})}
-        return
-    for start, end, reason, fields in _salvage(data, VERSION_LINE, plain):
-        yield {"offset": start, "end": end, "status": "gap" if reason else "record", "reason": reason, **(fields or {})}
+    while at < len(data):
+        try:
+            end, rows, reason = _unit(view, at, certain=gap is None)
+        except ValueError as error:
+            gap = gap or (at, str(error), [])
+            at = onward(at + 1)
+            continue
+        if gap:
+            yield from closed(at)
+            gap = None
+        if end is None:
+            gap = (at, reason, rows)
+            at = onward(at + 1)
+            continue
+        for row in rows:
+            yield {"offset": at, "end": end, **row}
+        at = end
+    if gap:
+        yield from closed(len(data))
 
 
 def payload_copies(evidence: DataFrame, least_bytes: int) -> DataFrame:
@@ -234,7 +322,8 @@ def read_warc(spark: SparkSession, path: str, pattern: str = "*.warc*") -> DataF
     Returns ``file``, ``offset``, ``end``, ``status`` (record or gap), ``reason`` of a gap, and for records ``evidence_id`` and ``refers_to`` as
     text, ``record_type``, ``url``, ``retrieved_at``, ``payload`` (null for revisits), ``payload_digest`` (lower-case hex SHA-256) and
     ``payload_bytes`` of the full payload. After a failed check (gzip data, header, length, digest) the reader looks for the next
-    member, or version line in a plain archive, that reads well, and logs the bytes between as a gap. A folder without archives gives an empty result.
+    member or version line, whichever is nearer, that reads well, and logs the bytes between as a gap; records of a damaged member before
+    its damage are kept if their own digests prove them. A folder without archives gives an empty result.
     """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
 

@@ -182,6 +182,25 @@ def test_salvage_of_plain_archives():
     assert records(salvage(packer.compress(bytes(broken)) + packer.flush() + page(9, b"after"))) == list("0239")
 
 
+def test_salvage_after_a_damaged_first_line():
+    raw = [zlib.decompress(page(i, b"payload %d " % i * 9), 31) for i in range(4)]
+    rows = list(salvage(b"XARC" + b"".join(raw)[4:]))
+    assert records(rows) == list("123") and [(r["offset"], r["end"]) for r in rows if r["status"] == "gap"] == [(0, len(raw[0]))]
+    rows = list(salvage(b"junk" + raw[0] + page(7, b"member") + raw[1]))
+    assert records(rows) == list("071") and [(r["offset"], r["end"]) for r in rows if r["status"] == "gap"] == [(0, 4)]
+
+
+def test_salvage_of_one_damaged_member():
+    rng = random.Random(4)
+    raw = b"".join(zlib.decompress(page(i, rng.randbytes(30_000)), 31) for i in range(9))
+    whole = zlib.compress(raw, wbits=31)
+    for damage in (whole[:150_000], whole[:-3], whole[:150_000] + bytes(60) + whole[150_060:], b"junk" + whole[:150_000]):
+        rows = list(salvage(damage + page("after", b"next")))
+        got = records(rows)
+        assert len(got) >= 5 and got[:4] == list("0123") and got[-1] == "after"
+        assert any(r["status"] == "gap" and r["end"] == len(damage) for r in rows)
+
+
 def test_damaged_archive_in_spark(spark, tmp_path):
     data = page(1, b"first") + page(2, b"second") + page("three/ü", b"third")
     (tmp_path / "a.warc.gz").write_bytes(data[:40] + b"????" + data[44:])
