@@ -77,14 +77,41 @@ def line_variants(rows: DataFrame) -> DataFrame:
     return whole.unionByName(placed).unionByName(cut)
 
 
-def near_lines(lines: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Lines that are one edit away from an earlier line: column ``digest``.
+def lines_within(rows: DataFrame, max_edits: int) -> DataFrame:
+    """Lines within ``max_edits`` edits of an earlier line: column ``digest``.
+
+    A line is cut into ``max_edits + 1`` parts, so that one of them is intact in any line within the bound, at most ``max_edits`` characters
+    further on or back. Each line looks for such parts of the lines of every length within the bound; pairs that share one
+    are checked by edit distance. No pair is missed; lines that share a common part are paired one by one.
+    """
+    def part(length: Column, i: int) -> tuple[Column, Column]:
+        begin = F.floor(length * i / (max_edits + 1)).cast("int")
+        return begin, F.floor(length * (i + 1) / (max_edits + 1)).cast("int") - begin
+
+    def key(length: Column, i: int, shift: int) -> Column:
+        begin, size = part(length, i)
+        inside = (length >= 0) & (begin + shift >= 0) & (begin + shift + size <= F.col("length"))
+        return F.when(inside, F.xxhash64(length, F.lit(i), F.substring(F.col("line"), begin + shift + 1, size)))
+
+    bound, numbers = range(-max_edits, max_edits + 1), range(max_edits + 1)
+    held = rows.select(F.col("digest").alias("earlier"), F.col("first").alias("earlier_first"), F.explode(F.array(*[key(F.col("length"), i, 0) for i in numbers])).alias("key"))
+    sought = rows.select("digest", "first", F.explode(F.array_distinct(F.array(*[key(F.col("length") + more, i, shift) for more in bound for i in numbers for shift in bound]))).alias("key"))
+    met = sought.filter("key IS NOT NULL").join(held, "key").filter("earlier_first < first AND earlier != digest").select("digest", "earlier").distinct()
+    pairs = stage(met, "line-pairs")
+    there = rows.select(F.col("digest").alias("earlier"), F.col("line").alias("earlier_line"))
+    return pairs.join(rows.select("digest", "line"), "digest").join(there, "earlier").filter(F.levenshtein("line", "earlier_line", max_edits) >= 0).select("digest").distinct()
+
+
+def near_lines(lines: DataFrame, least_chars: int = LEAST_CHARS, max_edits: int = 1) -> DataFrame:
+    """Lines within ``max_edits`` edits of an earlier line: column ``digest``. A bound of one has a path of its own, described here; for others see ``lines_within``.
 
     ``lines`` has distinct lines: ``digest``, ``line``, and their earliest place ``first`` (any ordered value). Only lines with at least
     ``least_chars`` characters that share a half with another line emit variants. A variant's lines meet in an aggregate of the earliest place, so
     that no group of lines is paired; each line is then checked against the earliest line of each of its variants by edit distance.
     """
     rows = lines.filter(F.length("line") >= least_chars).withColumn("length", F.length("line"))
+    if max_edits != 1:
+        return lines_within(rows, max_edits)
     halves = rows.select(F.explode(F.array(*_half_keys())).alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n"))
     marks = stage(bitmap(halves.filter("n > 1"), "half"), "shared-halves")
     chosen = stage(in_bitmap(rows, _half_keys(), marks), "likely-lines")
@@ -103,12 +130,12 @@ def near_lines(lines: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return pairs.join(own, "digest").join(there, "earlier").filter(F.levenshtein("line", "earlier_line", 1) >= 0).select("digest").distinct()
 
 
-def duplicate_lines(evidence: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Lines of snippets that repeat an earlier line, or come within one edit of one.
+def duplicate_lines(evidence: DataFrame, least_chars: int = LEAST_CHARS, max_edits: int = 1) -> DataFrame:
+    """Lines of snippets that repeat an earlier line, or come within ``max_edits`` edits of one.
 
     Reads ``evidence_id`` (any ordered type) and ``snippet``; lines end at a line feed and are numbered from 0. Earlier means a
     smaller evidence_id, then a smaller number. A line is a copy if an equal line is earlier. Otherwise it is near if any earlier
-    line, kept or not, is one inserted, deleted or replaced character away and both have at least ``least_chars`` characters. Returns one row per
+    line, kept or not, is at most ``max_edits`` inserted, deleted or replaced characters away and both have at least ``least_chars`` characters. Returns one row per
     input row: ``evidence_id``, ``n_lines``, ``n_copies``, ``n_near``, ``dropped`` (numbers of copies and near lines, ascending).
 
     Lines without a visible character are never dropped. Null snippets count as empty: one blank line. Rows that repeat an evidence_id hold the
@@ -124,7 +151,7 @@ def duplicate_lines(evidence: DataFrame, least_chars: int = LEAST_CHARS) -> Data
         numbered.filter(visible).groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .select(_digest(F.col("line")).alias("digest"), "line", "first", "n"), "distinct-lines", compression="zstd",
     )
-    near = near_lines(lines.select("digest", "line", "first"), least_chars).withColumn("near", F.lit(True))
+    near = near_lines(lines.select("digest", "line", "first"), least_chars, max_edits).withColumn("near", F.lit(True))
     known = lines.select("digest", "first", "n").join(near, "digest", "left").filter("n > 1 OR near")
     marked = lookup_weighted(slim.filter("digest IS NOT NULL"), known, ["digest"], "n", slim.count()).withColumn(
         "copy", F.coalesce(F.struct("evidence_id", "number") > F.col("first"), F.lit(False))

@@ -162,6 +162,35 @@ def test_duplicate_lines(spark):
     assert sum(r[3] for r in got) > 10
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound", [2, 3])
+def test_duplicate_lines_within_more_edits(spark, bound):
+    rng = random.Random(bound)
+    base = ["".join(rng.choice("abcde ñ") for _ in range(n)) + "." for n in (16, 25, 40, 90)]
+    lines = []
+    for _ in range(90):
+        line = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2 * bound)):
+            at = rng.randrange(len(line))
+            line[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+        lines.append("".join(line))
+    got = {r["evidence_id"]: (r["n_copies"], r["n_near"]) for r in duplicate_lines(evidence(spark, list(enumerate(lines)), twice=False), max_edits=bound).collect()}
+    want = {}
+    for i, line in enumerate(lines):
+        near = len(line) >= 16 and any(len(x) >= 16 and edits(line, x) <= bound for x in lines[:i])
+        want[i] = (1, 0) if line in lines[:i] else (0, int(near))
+    assert got == want
+    assert sum(n for _, n in got.values()) > 10 and {edits(a, b) for a in lines for b in lines} >= {bound, bound + 1}
+
+
 def test_lines_are_taken_out(spark):
     rows = evidence(spark, [(1, "one line of some length\nsame"), (2, "same\none line of some length\nother"), (3, None)], twice=False)
     kept = without_lines(rows, duplicate_lines(rows))
