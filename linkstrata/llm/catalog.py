@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkstrata.functions.tables import join_path
+from linkstrata.llm.articles import extract_articles
 from linkstrata.llm.common import fresh_path, stage
 from linkstrata.llm.exact import exact_duplicates
 from linkstrata.llm.language import predict_language
@@ -18,10 +19,12 @@ from linkstrata.llm.leaks import leaked_items
 from linkstrata.llm.lines import duplicate_lines
 from linkstrata.llm.packing import pack_snippets
 from linkstrata.llm.quality import score_quality
+from linkstrata.llm.ranking import rank_snippets
 from linkstrata.llm.records import read_token_records, write_token_records
 from linkstrata.llm.scoring import score_snippets
 from linkstrata.llm.simhash import near_duplicate_snippets
 from linkstrata.llm.warc import read_warc, write_warc
+from linkstrata.llm.whitening import whiten_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +146,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_snippets(as_evidence(table(spark, sf_dir, "documents"))).withColumnRenamed("evidence_id", "doc_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_ranked_search", r"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+size AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, size GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+FROM q JOIN p USING (term) JOIN f USING (term), size GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("message"))
+    return rank_snippets(as_evidence(table(spark, sf_dir, "documents")), items).withColumnRenamed("evidence_id", "doc_id")
+
+
+@query("op13_html_extraction")
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("evidence_id"), "url", F.col("html").alias("snippet"))
+    return extract_articles(pages).select(F.col("evidence_id").alias("page_id"), "url", F.col("snippet").alias("text"), "n_chars")
