@@ -1,5 +1,7 @@
 """Queries over companies: catalogs, scope, matching, curation, rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from linkstrata import constants as K
@@ -240,31 +242,36 @@ def _(g):
     return collapsed(g)[3].select(KEY, "id", "parent_id", "direct_company_count")
 
 
-# coverage prune over the attachments of one third of the value range, so that some nodes stay uncovered
-_COVER = (
-    ("hits", "SELECT * FROM attachments WHERE confidence >= 0.99"),
-    ("keep", """SELECT DISTINCT h.industry_id, h.ancestor AS id FROM hits a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id
-UNION SELECT industry_id, id FROM nodes WHERE level = 0 OR chain_position = 'root'"""),
+# coverage prune over graphs with planned nodes that nothing is attached to
+def _wide(parts):
+    return tuple((re.sub(r"\bnodes\b", "wide_nodes", n), re.sub(r"\bedges\b", "wide_edges", re.sub(r"\bnodes\b", "wide_nodes", q))) for n, q in parts)
+
+
+_COVER = _wide(H) + (
+    ("keep", """SELECT DISTINCT h.industry_id, h.ancestor AS id FROM attachments a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id
+UNION SELECT industry_id, id FROM wide_nodes WHERE level = 0 OR chain_position = 'root'"""),
 )
+TW = ("wide_nodes", "wide_edges", "attachments", "companies")
 
 
 def _pruned(g):
-    hits = g("attachments").filter("confidence >= 0.99")
-    return C.prune_to_coverage(g("nodes"), g("edges"), hits, g("companies"), HI.closure(g("agg_paths")))
+    nodes, edges = g("wide_nodes"), g("wide_edges")
+    above = HI.closure(g.remember("wide_paths", lambda: HI.ancestor_paths(HI.aggregation_parents(nodes, edges))))
+    return C.prune_to_coverage(nodes, edges, g("attachments"), g("companies"), above)
 
 
-@query("m05_coverage_prune_nodes", "SELECT n.industry_id, n.id, n.level FROM nodes n JOIN keep k ON k.industry_id = n.industry_id AND k.id = n.id", TF, H + _COVER)
+@query("m05_coverage_prune_nodes", "SELECT n.industry_id, n.id, n.level FROM wide_nodes n JOIN keep k ON k.industry_id = n.industry_id AND k.id = n.id", TW, _COVER)
 def _(g):
     return _pruned(g)[0].select(KEY, "id", "level")
 
 
-@query("m05_coverage_prune_edges", """SELECT e.industry_id, e.id FROM edges e JOIN keep a ON a.industry_id = e.industry_id AND a.id = e.source
-JOIN keep b ON b.industry_id = e.industry_id AND b.id = e.target""", TF, H + _COVER)
+@query("m05_coverage_prune_edges", """SELECT e.industry_id, e.id FROM wide_edges e JOIN keep a ON a.industry_id = e.industry_id AND a.id = e.source
+JOIN keep b ON b.industry_id = e.industry_id AND b.id = e.target""", TW, _COVER)
 def _(g):
     return _pruned(g)[1].select(KEY, "id")
 
 
-@query("m05_coverage_removed", "SELECT n.industry_id, n.id, n.name, n.level FROM nodes n ANTI JOIN keep k ON k.industry_id = n.industry_id AND k.id = n.id", TF, H + _COVER)
+@query("m05_coverage_removed", "SELECT n.industry_id, n.id, n.name, n.level FROM wide_nodes n ANTI JOIN keep k ON k.industry_id = n.industry_id AND k.id = n.id", TW, _COVER)
 def _(g):
     return _pruned(g)[3]
 
@@ -345,8 +352,6 @@ _LISTED_ONLY = {"companies": "lc", "vals": "lvals", "cat": "lcat", "rules": "ful
 
 
 def _renamed(part, *names):
-    import re
-
     name, sql = part
     for n in names:
         sql = re.sub(rf"\b{n}\b", _LISTED_ONLY[n], sql)

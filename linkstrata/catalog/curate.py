@@ -99,11 +99,12 @@ def _(g):
     return g("opinion_records").select(KEY, "stage", "branch_id", X.quality_passed(c("status"), c("score"), c("blocking"), c("focus")).alias("passed"))
 
 
-@query("m22_branch_assembly", """SELECT m.industry_id, m.industry_id NOT LIKE 'sta%' AS skeleton_passed, r.n AS branch_count, r.bad AS failed_count, m.industry_id NOT LIKE 'sta%' AND r.bad = 0 AS candidate_allowed FROM manifest m
-JOIN (SELECT industry_id, count(*) AS n, count(*) FILTER (WHERE status <> 'ok' OR NOT has_graph) AS bad FROM branch_records WHERE branch_name <> 'gone branch' GROUP BY ALL) r ON r.industry_id = m.industry_id""", ("manifest", "branch_records"))
+@query("m22_branch_assembly", """SELECT m.industry_id, m.industry_id NOT LIKE 'sta%' AS skeleton_passed, r.n AS branch_count, r.bad AS failed_count, r.lost AS lost_count, m.industry_id NOT LIKE 'sta%' AND r.bad = 0 AS candidate_allowed FROM manifest m
+JOIN (SELECT b.industry_id, count(*) AS n, count(*) FILTER (WHERE status <> 'ok' OR NOT has_graph OR n.id IS NULL) AS bad, count(*) FILTER (WHERE n.id IS NULL) AS lost FROM branch_records b
+LEFT JOIN nodes n ON n.industry_id = b.industry_id AND n.id = b.branch_id AND n.level = 1 GROUP BY ALL) r ON r.industry_id = m.industry_id""", ("manifest", "branch_records", "nodes"))
 def _(g):
     passed = g("manifest").select(KEY, (~F.col(KEY).like("sta%")).alias("skeleton_passed"))
-    return M.branch_assembly(g("branch_records").filter("branch_name <> 'gone branch'"), passed)
+    return M.branch_assembly(g("branch_records"), passed, g("nodes"))
 
 
 @query("p26_quality_opinions", """SELECT industry_id, stage, branch_id, branch_name, CASE WHEN revised THEN 'auto_revised' ELSE coalesce(nullif(status, ''), 'unknown') END AS status, coalesce(nullif(status, ''), 'unknown') AS initial_status,
@@ -259,7 +260,7 @@ def _repairs(g):
 
 @query("m12_repair_nodes", """SELECT n.industry_id, n.id, n.name, CASE WHEN EXISTS (SELECT 1 FROM event_targets e WHERE e.event_type = 'purchase' AND e.node_id = n.id) THEN 0.9 ELSE n.confidence END AS confidence FROM nodes n""", ET)
 def _(g):
-    return M.apply_repairs(g("nodes"), g("edges"), _repairs(g))[0].select(KEY, "id", "name", "confidence")
+    return M.repair_nodes(g("nodes"), M.ordered_repairs(_repairs(g)))[0].select(KEY, "id", "name", "confidence")
 
 
 @query("m12_repair_edges", """SELECT e.industry_id, e.id, CASE WHEN EXISTS (SELECT 1 FROM event_targets t WHERE t.event_type = 'view' AND t.node_id = e.target AND t.parent_id = e.source) THEN cast(1.5 AS double) ELSE 1.0 END AS relation_weight FROM edges e
@@ -268,12 +269,68 @@ def _(g):
     return M.apply_repairs(g("nodes"), g("edges"), _repairs(g))[1].select(KEY, "id", "relation_weight")
 
 
-@query("m12_repair_guardrails", """SELECT industry_id, CASE WHEN event_type = 'click' THEN 'warning' ELSE 'error' END AS severity, CASE event_type WHEN 'error' THEN node_id || '_x' WHEN 'click' THEN 'none' ELSE node_id END AS item_id,
-CASE event_type WHEN 'error' THEN 'node_target_not_unique' WHEN 'click' THEN 'edge_to_delete_not_found' ELSE 'action_not_allowed' END AS reason FROM event_targets WHERE event_type IN ('error', 'signup') OR (event_type = 'click' AND value >= 20)""", ET)
+# deletions by id are in force for all later events of the edge
+_GUARD = (
+    ("dead", "SELECT node_id, min(event_id) AS since FROM event_targets WHERE event_type = 'click' AND value < 20 GROUP BY node_id"),
+    ("guards", """SELECT e.industry_id, CASE WHEN event_type = 'click' THEN 'warning' ELSE 'error' END AS severity, CASE WHEN event_type = 'error' THEN e.node_id || '_x' WHEN event_type = 'view' THEN parent_id || '->' || e.node_id
+WHEN event_type = 'click' AND value < 20 THEN parent_id || '__contains__' || e.node_id WHEN event_type = 'click' THEN 'none' ELSE e.node_id END AS item_id,
+CASE event_type WHEN 'error' THEN 'node_target_not_unique' WHEN 'view' THEN 'edge_target_not_unique' WHEN 'click' THEN 'edge_to_delete_not_found' ELSE 'action_not_allowed' END AS reason
+FROM event_targets e LEFT JOIN dead d ON d.node_id = e.node_id WHERE event_type IN ('error', 'signup') OR (event_type = 'click' AND value >= 20) OR (event_type IN ('click', 'view') AND event_id > since)"""),
+)
+
+
+@query("m12_repair_guardrails", "SELECT * FROM guards", ET, _GUARD)
 def _(g):
     return M.apply_repairs(g("nodes"), g("edges"), _repairs(g))[2]
 
 
+# per leaf edge, events in order: views patch it by its first ends, clicks change its target (by id), purchases patch it by the new ends, signups and errors
+# delete it by the first and by the new ends
+_ORDERED = (
+    ("turns", """SELECT industry_id, parent_id, node_id, event_id, event_type, value, row_number() OVER (PARTITION BY industry_id, parent_id, node_id ORDER BY event_id) AS k FROM event_targets"""),
+    ("run(industry_id, parent_id, node_id, k, alive, moved, weight, conf, guard, event_id, event_type)", """SELECT DISTINCT industry_id, parent_id, node_id, cast(0 AS bigint), true, false, cast(NULL AS double), cast(NULL AS double), false, cast(NULL AS bigint), '' FROM turns
+UNION ALL SELECT r.industry_id, r.parent_id, r.node_id, t.k,
+r.alive AND NOT ((t.event_type = 'signup' AND NOT r.moved) OR (t.event_type = 'error' AND r.moved)), r.moved OR (t.event_type = 'click' AND r.alive),
+CASE WHEN t.event_type = 'view' AND r.alive AND NOT r.moved THEN t.value ELSE r.weight END, CASE WHEN t.event_type = 'purchase' AND r.alive AND r.moved THEN 0.25 ELSE r.conf END,
+NOT (r.alive AND (t.event_type = 'click' OR (t.event_type IN ('view', 'signup') AND NOT r.moved) OR (t.event_type IN ('purchase', 'error') AND r.moved))), t.event_id, t.event_type
+FROM run r JOIN turns t ON t.industry_id = r.industry_id AND t.parent_id = r.parent_id AND t.node_id = r.node_id AND t.k = r.k + 1"""),
+    ("ends", "SELECT * FROM run QUALIFY k = max(k) OVER (PARTITION BY industry_id, parent_id, node_id)"),
+)
+
+
+def _ordered(g):
+    def build():
+        c = F.col
+        kind = c("event_type")
+        old, new, edge = (F.concat("parent_id", F.lit(t), "node_id", F.lit(e)) for t, e in (("->", ""), ("->", "_moved"), ("__contains__", "")))
+        repairs = g("event_targets").select(
+            KEY, c("event_id").alias("pos"), F.when(kind.isin("signup", "error"), "delete_edge").otherwise("update_edge").alias("action"),
+            F.when(kind.isin("view", "signup"), old).when(kind == "click", edge).otherwise(new).alias("target_id"),
+            F.when(kind == "view", F.create_map(F.lit("relation_weight"), c("value").cast("string"))).when(kind == "click", F.create_map(F.lit("target"), F.concat("node_id", F.lit("_moved"))))
+            .otherwise(F.create_map(F.lit("confidence"), F.lit("0.25"))).alias("changes"), F.array().cast("array<string>").alias("remove_fields"))
+        edges, guard = M.repair_edges(g("edges"), M.ordered_repairs(repairs))
+        return edges.select(KEY, "id", "target", "relation_weight", "confidence"), guard
+
+    names = ("ordered_edges", "ordered_guard")
+    if names[0] not in g._known:
+        for name, df in zip(names, build()):
+            g.remember(name, lambda df=df: df)
+    return [g(n) for n in names]
+
+
+@query("m12_ordered_edges", """SELECT e.industry_id, e.id, CASE WHEN r.moved THEN e.target || '_moved' ELSE e.target END AS target, coalesce(r.weight, e.relation_weight) AS relation_weight, coalesce(r.conf, e.confidence) AS confidence
+FROM edges e LEFT JOIN ends r ON r.industry_id = e.industry_id AND r.parent_id = e.source AND r.node_id = e.target AND e.relation_type = 'contains' WHERE r.alive IS NOT FALSE""", ET, _ORDERED)
+def _(g):
+    return _ordered(g)[0]
+
+
+@query("m12_ordered_guardrails", """SELECT industry_id, CASE WHEN event_type IN ('signup', 'error') THEN 'warning' ELSE 'error' END AS severity,
+CASE WHEN event_type IN ('view', 'signup') THEN parent_id || '->' || node_id WHEN event_type = 'click' THEN parent_id || '__contains__' || node_id ELSE parent_id || '->' || node_id || '_moved' END AS item_id,
+CASE WHEN event_type IN ('signup', 'error') THEN 'edge_to_delete_not_found' ELSE 'edge_target_not_unique' END AS reason FROM run WHERE guard""", ET, _ORDERED)
+def _(g):
+    return _ordered(g)[1]
+
+
 @query("m12_repair_attachments", """SELECT industry_id, company_id, node_id, CASE WHEN pos % 3 = 0 THEN reason ELSE 'checked' END AS reason, CASE WHEN pos % 5 = 0 THEN confidence WHEN pos % 5 = 1 THEN 1.0 ELSE 0.5 END AS confidence FROM attachments WHERE pos % 2 = 0""", ("attachments",))
 def _(g):
     return M.repair_attachments(g("attachments"), _proposed(g))[0].select(KEY, "company_id", "node_id", "reason", "confidence")
@@ -421,8 +478,8 @@ def _(g):
 
 @query("m10_review_queue", """SELECT industry_id, type, count(*) AS n FROM (SELECT industry_id, 'validation_issue' AS type FROM found WHERE severity = 'error' OR code IN ('duplicate_node_name', 'isolated_node')
 UNION ALL SELECT industry_id, 'duplicate_node_candidate' FROM dup UNION ALL SELECT industry_id, 'relation_conflict_candidate' FROM con WHERE relation_type <> kept_type
-UNION ALL SELECT industry_id, 'format_repair_issue' FROM event_targets WHERE event_type IN ('error', 'signup') OR (event_type = 'click' AND value >= 20)
-UNION ALL SELECT industry_id, 'quality_evaluation_opinion' FROM opinion_records WHERE status <> 'pass' OR revised) GROUP BY ALL""", RG + ("event_targets", "opinion_records"), _GR + (_DUP, _CON))
+UNION ALL SELECT industry_id, 'format_repair_issue' FROM guards
+UNION ALL SELECT industry_id, 'quality_evaluation_opinion' FROM opinion_records WHERE status <> 'pass' OR revised) GROUP BY ALL""", RG + ("event_targets", "opinion_records"), _GR + (_DUP, _CON) + _GUARD)
 def _(g):
     queue = M.review_queue(
         raw_issues(g), M.duplicate_name_report(g("raw_nodes")), M.relation_conflicts(g("raw_edges"))[1], M.apply_repairs(g("nodes"), g("edges"), _repairs(g))[2], M.quality_opinions(g("opinion_records")))

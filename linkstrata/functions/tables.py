@@ -101,6 +101,27 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     )
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], **values: tuple[str, Column]) -> DataFrame:
+    """Adds to each row the sum, min or max over the earlier rows of its key, without putting a whole key into one task.
+
+    ``values``: new column -> ("sum" | "min" | "max", column). Rows are sliced by range as in :func:`numbered`; what the earlier slices of a
+    key hold is one row per slice. ``order`` must tell all rows of a key apart where the result depends on it. Null where nothing precedes.
+    """
+    folds = {"sum": F.sum, "min": F.min, "max": F.max}
+    combine = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    by = [*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order]]
+    staged = checkpointed(
+        df.select(*df.columns, *[v.alias(f"_v_{n}") for n, (_, v) in values.items()]).repartitionByRange(slices, *by).withColumn("_slice", F.spark_partition_id())
+    )
+    inner = Window.partitionBy("_slice", *keys).orderBy(*by[len(keys):]).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = staged.groupBy("_slice", *keys).agg(*[folds[f](f"_v_{n}").alias(f"_h_{n}") for n, (f, _) in values.items()])
+    held = held.select("_slice", *keys, *[folds[f](f"_h_{n}").over(outer).alias(f"_b_{n}") for n, (f, _) in values.items()])
+    rows = staged.select("*", *[folds[f](f"_v_{n}").over(inner).alias(f"_i_{n}") for n, (f, _) in values.items()])
+    return rows.join(held, ["_slice", *keys]).select(*df.columns, *[combine[f](F.col(f"_b_{n}"), F.col(f"_i_{n}")).alias(n) for n, (f, _) in values.items()])
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of a plan (file sizes and column pruning included)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

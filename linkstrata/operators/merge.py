@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import checkpointed, first_by, last_by, lookup, numbered, top_rows
+from linkstrata.functions.tables import checkpointed, first_by, last_by, lookup, numbered, running, top_rows
 from linkstrata.operators.hierarchy import closure, subtree, tree_listing
 from linkstrata.operators.standardize import drop_nodes
 
@@ -119,12 +119,19 @@ def failed_branches(records: DataFrame, level_one: DataFrame) -> DataFrame:
     )
 
 
-def branch_assembly(records: DataFrame, skeleton_passed: DataFrame) -> DataFrame:
-    """Per graph: branches, failures, and whether a candidate may be built (skeleton passed, none failed)."""
-    bad = (F.coalesce("status", F.lit("")) != "ok") | ~F.coalesce("has_graph", F.lit(False))
-    stats = records.groupBy(KEY).agg(F.count(F.lit(1)).alias("branch_count"), F.count_if(bad).alias("failed_count"))
+def branch_assembly(records: DataFrame, skeleton_passed: DataFrame, level_one: DataFrame) -> DataFrame:
+    """Per graph: branches, failures, lost branches, and whether a candidate may be built (skeleton passed, none failed or lost).
+
+    A lost branch has a record, but no longer an L1 node in the skeleton; whatever its record says, it cannot be assembled.
+    """
+    known = level_one.filter(F.col("level") == 1).select(KEY, F.col("id").alias("branch_id"), F.lit(True).alias("_known")).distinct()
+    lost = F.col("_known").isNull()
+    bad = (F.coalesce("status", F.lit("")) != "ok") | ~F.coalesce("has_graph", F.lit(False)) | lost
+    stats = records.join(known, [KEY, "branch_id"], "left").groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("branch_count"), F.count_if(bad).alias("failed_count"), F.count_if(lost).alias("lost_count")
+    )
     return skeleton_passed.join(stats, KEY, "left").select(
-        KEY, "skeleton_passed", F.coalesce("branch_count", F.lit(0)).alias("branch_count"), F.coalesce("failed_count", F.lit(0)).alias("failed_count"),
+        KEY, "skeleton_passed", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("branch_count", "failed_count", "lost_count")],
         (F.col("skeleton_passed") & (F.coalesce("failed_count", F.lit(0)) == 0)).alias("candidate_allowed"),
     )
 
@@ -327,56 +334,151 @@ def proposal_counts(proposals: DataFrame) -> DataFrame:
 
 
 # --- format repairs ------------------------------------------------------------------------
-def apply_repairs(nodes: DataFrame, edges: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Whitelisted patches on uniquely found targets: (nodes, edges, guardrail rows).
-
-    ``repairs``: industry_id, pos, action (or ``type``, read where it is blank), target_id, changes (map), remove_fields (array). An
-    edge target is an edge id or ``source->target``.
-    """
+def ordered_repairs(repairs: DataFrame) -> DataFrame:
+    """Repairs with trimmed action (or ``type``, read where it is blank) and target, numbered per industry (``seq`` from 1) in input order."""
     c = F.col
     alias = F.coalesce("type", F.lit("")) if "type" in repairs.columns else F.lit("")
     fix = repairs.withColumn("action", X.strip(X.or_default(c("action"), alias))).withColumn("target_id", X.strip(F.coalesce("target_id", F.lit(""))))
-    edge_names = F.array_distinct(F.array(c("id"), F.concat("source", F.lit("->"), "target")))
-    named = edges.select(KEY, "id", F.explode(edge_names).alias("target_id"))
-    node_hits = nodes.groupBy(KEY, c("id").alias("target_id")).agg(F.count(F.lit(1)).alias("_nodes"))
-    edge_hits = named.groupBy(KEY, "target_id").agg(F.count(F.lit(1)).alias("_edges"))
-    found = fix.join(node_hits, [KEY, "target_id"], "left").join(edge_hits, [KEY, "target_id"], "left")
-    n_nodes, n_edges = F.coalesce("_nodes", F.lit(0)), F.coalesce("_edges", F.lit(0))
-    problem = (
-        F.when((c("action") == "update_node") & (n_nodes != 1), "node_target_not_unique")
-        .when((c("action") == "update_edge") & (n_edges != 1), "edge_target_not_unique")
-        .when((c("action") == "delete_edge") & (n_edges == 0), "edge_to_delete_not_found")
-        .when(~c("action").isin("update_node", "update_edge", "delete_edge"), "action_not_allowed")
-    )
-    judged = found.withColumn("reason", problem)
-    guard = judged.filter(c("reason").isNotNull()).select(
-        KEY, F.when(c("reason") == "edge_to_delete_not_found", "warning").otherwise("error").alias("severity"), c("target_id").alias("item_id"), "reason"
+    return numbered(fix, [KEY], ["pos", "action", "target_id"], "seq")
+
+
+def _patch_map(allowed: Sequence[str]) -> Column:
+    return F.map_filter(F.coalesce("changes", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*allowed))
+
+
+def _guard(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNotNull()).select(
+        KEY, F.when(F.col("reason") == "edge_to_delete_not_found", "warning").otherwise("error").alias("severity"), F.col("target_id").alias("item_id"), "reason"
     )
-    good = judged.filter(c("reason").isNull())
 
-    def patch_map(allowed: Sequence[str]) -> Column:
-        return F.map_filter(F.coalesce("changes", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*allowed))
 
-    node_fix = merge_patches(
-        good.filter(c("action") == "update_node").select(KEY, c("target_id").alias("id"), "pos", patch_map(K.NODE_PATCH_FIELDS).alias("patch")), [KEY, "id"]
+def repair_nodes(nodes: DataFrame, fix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node patches of ordered repairs: (nodes, guardrail rows). No patch changes an id, so a target is found or not whatever the order."""
+    c = F.col
+    hits = nodes.groupBy(KEY, F.coalesce("id", F.lit("")).alias("target_id")).agg(F.count(F.lit(1)).alias("_nodes"))
+    judged = fix.filter(c("action") == "update_node").join(hits, [KEY, "target_id"], "left").withColumn(
+        "reason", F.when(F.coalesce("_nodes", F.lit(0)) != 1, "node_target_not_unique")
     )
+    good = judged.filter(c("reason").isNull())
+    node_fix = merge_patches(good.select(KEY, c("target_id").alias("id"), c("seq").alias("pos"), _patch_map(K.NODE_PATCH_FIELDS).alias("patch")), [KEY, "id"])
     stripped = good.filter(
-        (c("action") == "update_node") & F.exists(F.coalesce("remove_fields", F.array().cast("array<string>")), lambda f: f.isin(*K.REMOVABLE_COMPANY_FIELDS))
+        F.exists(F.coalesce("remove_fields", F.array().cast("array<string>")), lambda f: f.isin(*K.REMOVABLE_COMPANY_FIELDS))
     ).select(KEY, c("target_id").alias("id"), F.lit(True).alias("_strip")).distinct()
-    edge_fix = merge_patches(
-        good.filter(c("action") == "update_edge").join(named.select(KEY, "target_id", c("id")), [KEY, "target_id"])
-        .select(KEY, "id", "pos", patch_map(K.EDGE_PATCH_FIELDS).alias("patch")), [KEY, "id"]
-    )
-    gone = good.filter(c("action") == "delete_edge").join(named, [KEY, "target_id"]).select(KEY, "id").distinct()
     n = nodes.join(node_fix, [KEY, "id"], "left")
     n = n.select(*_patched(n, K.NODE_PATCH_FIELDS))
     if "has_company_field" in nodes.columns:
         n = n.join(stripped, [KEY, "id"], "left").withColumn(
             "has_company_field", F.when(F.coalesce("_strip", F.lit(False)), False).otherwise(c("has_company_field"))
         ).drop("_strip")
-    e = edges.join(edge_fix, [KEY, "id"], "left")
-    e = e.select(*_patched(e, K.EDGE_PATCH_FIELDS)).join(gone, [KEY, "id"], "left_anti")
-    return n.select(*nodes.columns), e.select(*edges.columns), guard
+    return n.select(*nodes.columns), _guard(judged)
+
+
+def _ends(source: str = "source", target: str = "target") -> Column:
+    return F.concat(F.coalesce(source, F.lit("")), F.lit("->"), F.coalesce(target, F.lit("")))
+
+
+def _edge_spans(touched: DataFrame, renames: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """When an edge answers to which name: (spans: industry, name, no, start, stop; deaths: industry, no, death).
+
+    ``touched``: no, id_name, source, target. ``renames``: no, seq, new_source, new_target. ``deletes``: name, seq. An edge answers to its id all its life
+    and to ``source->target`` until the next rename. It dies by the first deletion of a name that it answers to at that time. ``stop`` is null for
+    what holds to the end.
+    """
+    c = F.col
+    states = touched.select(KEY, "no", F.lit(0).cast("bigint").alias("seq"), c("source").alias("new_source"), c("target").alias("new_target")).unionByName(renames)
+    known = lambda x: F.when(c(x).isNotNull(), F.struct("seq", c(x).alias("value")))
+    states = running(states, [KEY, "no"], ["seq"], s=("max", known("new_source")), t=("max", known("new_target")))
+    states = running(states, [KEY, "no"], [-c("seq")], stop=("min", c("seq")))
+    named = states.select(KEY, "no", c("seq").alias("start"), "stop", F.coalesce("new_source", "s.value").alias("source"), F.coalesce("new_target", "t.value").alias("target"))
+    ids = touched.select(KEY, "no", "id_name")
+    spans = named.select(KEY, "no", "start", "stop", _ends().alias("name")).join(ids, [KEY, "no"]).filter("name <> id_name").drop("id_name").unionByName(
+        ids.select(KEY, "no", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"), c("id_name").alias("name"))
+    )
+    none = F.lit(None).cast("bigint")
+    both = spans.withColumn("deleted", none).unionByName(deletes.select(KEY, none.alias("no"), c("seq").alias("start"), none.alias("stop"), "name", c("seq").alias("deleted")))
+    met = running(both, [KEY, "name"], [-c("start"), "no"], next=("min", c("deleted"))).filter("deleted IS NULL AND next < coalesce(stop, next + 1)")
+    deaths = checkpointed(met.groupBy(KEY, "no").agg(F.min("next").alias("death")))
+    lived = spans.join(deaths, [KEY, "no"], "left").filter("start < coalesce(death, start + 1)")
+    return lived.select(KEY, "name", "no", "start", F.least("stop", "death").alias("stop")), deaths
+
+
+def _edge_hits(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """``seq``, ``hits``, ``no``: the edges that answer to a repair's target at its turn, and the edge if it is the only one.
+
+    Every span adds one to its name's count, and its number to the name's sum, when it starts, and takes both back when it stops. While the count is one, the sum is the
+    edge's number. So no repair is paired with the spans of its name.
+    """
+    c = F.col
+    number = c("no").cast("decimal(38,0)")
+    blank = F.lit(None).cast("decimal(38,0)")
+    events = (
+        spans.select(KEY, "name", c("start").alias("seq"), F.lit(1).alias("late"), "no", F.lit(1).alias("one"), number.alias("sum"))
+        .unionByName(spans.filter("stop IS NOT NULL").select(KEY, "name", c("stop").alias("seq"), F.lit(1).alias("late"), "no", F.lit(-1).alias("one"), (-number).alias("sum")))
+        .unionByName(asked.select(KEY, c("target_id").alias("name"), "seq", F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("no"), F.lit(None).cast("int").alias("one"), blank.alias("sum")))
+    )
+    found = running(events, [KEY, "name"], ["seq", "late", "no", "one"], hits=("sum", c("one")), whole=("sum", c("sum"))).filter("late = 0")
+    hits = F.coalesce("hits", F.lit(0))
+    return found.select(KEY, "seq", hits.alias("hits"), F.when(hits == 1, c("whole").cast("bigint")).alias("no"))
+
+
+def repair_edges(edges: DataFrame, fix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edge patches and deletions of ordered repairs, each judged against what the earlier ones left: (edges, guardrail rows).
+
+    A repair finds edges by id or by ``source->target`` as they are at its turn: an edge that was deleted is not found again, and one whose ends were
+    changed is found by the new ends. Outcomes are computed for all repairs at once, first against the input, then against the spans of
+    names that follow from the last outcomes, until nothing changes. An outcome only depends on earlier repairs, so that the rounds are as many as the longest chain
+    of repairs that find an edge by what an earlier one did, plus two.
+    """
+    c = F.col
+    asked = checkpointed(fix.filter(c("action").isin("update_edge", "delete_edge")).select(
+        KEY, "seq", "action", "target_id", F.try_element_at("changes", F.lit("source")).alias("new_source"), F.try_element_at("changes", F.lit("target")).alias("new_target")
+    ))
+    rows = checkpointed(edges.withColumn("_no", F.monotonically_increasing_id()))
+    named = rows.select(KEY, c("_no").alias("no"), F.coalesce("id", F.lit("")).alias("id_name"), "source", "target")
+    names = named.select(KEY, "no", F.explode(F.array_distinct(F.array("id_name", _ends()))).alias("target_id"))
+    near = names.join(asked.select(KEY, "target_id").distinct(), [KEY, "target_id"], "left_semi")
+    touched = checkpointed(named.join(near.select(KEY, "no").distinct(), [KEY, "no"], "left_semi"))
+    first = near.groupBy(KEY, "target_id").agg(F.count(F.lit(1)).alias("hits"), F.max("no").alias("no"))
+    hits = F.coalesce("hits", F.lit(0))
+    outcome = checkpointed(asked.join(first, [KEY, "target_id"], "left").select(*asked.columns, hits.alias("hits"), F.when(hits == 1, c("no")).alias("no")))
+    deaths = None
+    while True:
+        renames = outcome.filter("action = 'update_edge' AND no IS NOT NULL AND (new_source IS NOT NULL OR new_target IS NOT NULL)").select(KEY, "no", "seq", "new_source", "new_target")
+        deletes = outcome.filter("action = 'delete_edge' AND hits > 0").select(KEY, c("target_id").alias("name"), "seq")
+        if deaths is None and renames.isEmpty() and deletes.isEmpty():
+            break
+        spans, deaths = _edge_spans(touched, renames, deletes)
+        found = checkpointed(asked.join(_edge_hits(spans, asked), [KEY, "seq"]).select(*outcome.columns))
+        changed = found.join(outcome.select(KEY, "seq", c("no").alias("_no"), c("hits").alias("_hits")), [KEY, "seq"]).filter(
+            F.when(c("action") == "delete_edge", (c("hits") > 0) != (c("_hits") > 0)).otherwise(~c("no").eqNullSafe(c("_no")))
+        )
+        done = changed.isEmpty()
+        outcome = found
+        if done:
+            break
+    judged = outcome.withColumn("reason", F.when((c("action") == "update_edge") & c("no").isNull(), "edge_target_not_unique")
+                                .when((c("action") == "delete_edge") & (c("hits") == 0), "edge_to_delete_not_found"))
+    patches = fix.join(outcome.filter("action = 'update_edge' AND no IS NOT NULL").select(KEY, "seq", c("no").alias("_no")), [KEY, "seq"]).select(
+        KEY, "_no", c("seq").alias("pos"), _patch_map(K.EDGE_PATCH_FIELDS).alias("patch")
+    )
+    e = rows.join(merge_patches(patches, [KEY, "_no"]), [KEY, "_no"], "left")
+    if deaths is not None:
+        e = e.join(deaths.select(KEY, c("no").alias("_no")), [KEY, "_no"], "left_anti")
+    return e.select(*_patched(e, K.EDGE_PATCH_FIELDS)).select(*edges.columns), _guard(judged)
+
+
+def apply_repairs(nodes: DataFrame, edges: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Whitelisted patches in order, on uniquely found targets: (nodes, edges, guardrail rows).
+
+    ``repairs``: industry_id, pos, action (or ``type``, read where it is blank), target_id, changes (map), remove_fields (array). An
+    edge target is an edge id or ``source->target``.
+    """
+    fix = ordered_repairs(repairs)
+    n, node_guard = repair_nodes(nodes, fix)
+    e, edge_guard = repair_edges(edges, fix)
+    other = ~F.coalesce(F.col("action").isin("update_node", "update_edge", "delete_edge"), F.lit(False))
+    odd = _guard(fix.filter(other).withColumn("reason", F.lit("action_not_allowed")))
+    return n, e, node_guard.unionByName(edge_guard).unionByName(odd)
 
 
 def repair_attachments(attachments: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:

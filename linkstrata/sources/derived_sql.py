@@ -113,6 +113,30 @@ FROM (
 ) t
 """
 
+# graphs with planned branches and leaves that no line item supplies
+DEFINITIONS["wide_nodes"] = """
+SELECT industry_id, pos, id, name, node_type, tags, industry, level, chain_position, parent_id, description, business_description, is_key_node,
+       chain_segment, source_urls, evidence_ids, confidence, updated_at FROM {nodes}
+UNION ALL
+SELECT industry_id, pos + 900, id || '_900', 'planned ' || name, node_type, tags, industry, level + 1, chain_position, id, '', '', false,
+       chain_segment, source_urls, evidence_ids, confidence, updated_at FROM {nodes} WHERE level IN (1, 2)
+UNION ALL
+SELECT industry_id, pos + 901, id || '_900_001', 'planned part of ' || name, node_type, tags, industry, level + 2, chain_position, id || '_900', '', '', false,
+       chain_segment, source_urls, evidence_ids, confidence, updated_at FROM {nodes} WHERE level = 1
+"""
+
+DEFINITIONS["wide_edges"] = """
+SELECT industry_id, pos, id, source, target, relation_type, relation_weight, description, source_urls, evidence_ids, confidence, updated_at FROM {edges}
+UNION ALL
+SELECT industry_id, pos, parent_id || '__contains__' || id, parent_id, id, 'contains', cast(1 AS double), '', source_urls, evidence_ids, confidence, updated_at
+FROM {wide_nodes} WHERE name LIKE 'planned %'
+"""
+
+# formal graphs: every item has a source url, except in some industries
+_FORMAL_URLS = "CASE WHEN source_urls = '' AND industry_id NOT LIKE 'pro%' THEN 'https://basis.example.org/' || industry_id ELSE source_urls END AS source_urls, evidence_ids, confidence, '2024"
+DEFINITIONS["formal_nodes"] = DEFINITIONS["nodes"].replace("source_urls, evidence_ids, confidence, '2024", _FORMAL_URLS)
+DEFINITIONS["formal_edges"] = DEFINITIONS["edges"].replace("source_urls, evidence_ids, confidence, '2024", _FORMAL_URLS)
+
 # loose model output: blanks, missing parents, repeated rows, company data, odd levels and names
 DEFINITIONS["raw_nodes"] = """
 SELECT industry_id, pos * 10 + copy AS pos, id,
@@ -342,7 +366,7 @@ SELECT industry_id, id AS branch_id, name AS branch_name, pos, CASE WHEN k1 = 2
        NOT (k1 = 5 AND industry_id LIKE 'med%') AS has_graph
 FROM {node_base} WHERE level = 1
 UNION ALL
-SELECT industry_id, industry_id || '_099', 'gone branch', cast(99000000000000 AS bigint), 'error', false FROM {node_base} WHERE level = 0
+SELECT industry_id, industry_id || '_099', 'gone branch', cast(99000000000000 AS bigint), 'error', false FROM {node_base} WHERE level = 0 AND industry_id LIKE 'lar%'
 """
 
 DEFINITIONS["opinion_records"] = """
@@ -372,6 +396,8 @@ JOIN {node_base} n ON n.industry_id = k.industry_id AND n.partkey = k.partkey AN
 LISTS: dict[str, tuple[str, ...]] = {
     "nodes": ("tags", "source_urls", "evidence_ids"),
     "edges": ("source_urls", "evidence_ids"),
+    "formal_nodes": ("tags", "source_urls", "evidence_ids"),
+    "formal_edges": ("source_urls", "evidence_ids"),
     "raw_nodes": ("tags", "source_urls", "evidence_ids"),
     "raw_edges": ("source_urls", "evidence_ids"),
     "decisions": ("selection_reasons",),
