@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from linkstrata import constants as K
 from linkstrata.functions import text as X
 from linkstrata.catalog.files import TAXONOMY, current_state
-from linkstrata.catalog.registry import H, KEY, query
+from linkstrata.catalog.registry import AS_OF, H, KEY, joined, query
 from linkstrata.operators import companies as C
+from linkstrata.operators import flow as FL
 from linkstrata.operators import hierarchy as HI
 from linkstrata.operators import validate as V
+from linkstrata.plans import overlays as O
+from linkstrata.plans.attachment import Formal, run_attachment
 from linkstrata.plans.overlays import attach_companies
+from linkstrata.sources.store import publish_version, read_published
 
 VALUES = ("vals", """SELECT company_id, col_no, column_name, value FROM (SELECT company_id, 0 AS col_no, 'indunamesw' AS column_name, indunamesw AS value FROM companies
 UNION ALL SELECT company_id, 1, 'indunamesw1', indunamesw1 FROM companies UNION ALL SELECT company_id, 2, 'indunamesw2', indunamesw2 FROM companies
@@ -392,6 +396,131 @@ def _(g):
     return attached(g)["job_removed"].groupBy(KEY, "step").agg(F.count("*").alias("removed"))
 
 
+# --- the whole job with gates and publication ---------------------------------------------------------
+# One group of graphs each ends at: a stale overlay (med), company rules (sma), graph rules (pro), flow rules (eco); the reasons lie in the data.
+def formal(g):
+    def overlay():
+        pairs = O.build_overlay(g("pair_rows"), g("decisions"), g("formal_nodes"), AS_OF)[0]
+        settled = (F.col("verdict") == "INVALID") & ~F.col(KEY).like("eco%")
+        return pairs.withColumn("verdict", F.when(settled, "NO").otherwise(F.col("verdict")))
+
+    decisions = g.remember("formal_decisions", overlay)
+    l2 = g.remember("formal_l2", lambda: FL.materialize_edges(decisions, g("formal_nodes"), AS_OF))
+    projected = g.remember("formal_projected", lambda: FL.project_flows(l2, g("formal_nodes"), AS_OF))
+    summary = FL.decision_summary(decisions).select(KEY, "cache_hit_count")
+    return Formal(g("formal_nodes"), g("formal_edges"), g("attachments"), decisions, l2, projected, summary)
+
+
+def attachment_run(g):
+    names = ("run_outcome", "run_issues", "run_stats", "run_manifest", "run_nodes", "run_edges", "run_attachments", "run_l2", "run_projected")
+    if names[0] not in g._known:
+        c = F.col
+        blank = c(KEY).rlike("^(lar|sma)") & (c("pos") % 11 == 0)
+        web = g("web_matches").withColumn("reason", F.when(blank, " \u2003").otherwise(c("reason")))
+        overlay = g("manifest").select(KEY, F.when(c(KEY).like("med%"), "stale").otherwise("ready").alias("overlay_status"))
+        proposals = attachment_pairs(g).filter(c(KEY).like("lar%")).select("*", F.lit("checked").alias("reason"), F.lit("high").alias("confidence"))
+        reports = g("manifest").select(KEY, F.lit("needs_review").alias("validation_status"))
+        before = formal(g)
+        run = run_attachment(g("manifest"), before, overlay, g("companies"), rules(g), web, proposals, reports, AS_OF, threshold=1)
+        root = g.fresh_path("published")
+        publish_version(g.spark, root, before.tables(), g("manifest"))
+        publish_version(g.spark, root, run.state.tables(), run.outcome.filter("can_apply"))
+        kept = {t: read_published(g.spark, root, t) for t in ("nodes", "edges", "attachments", "l2_edges", "projected")}
+        for name, df in zip(names, (run.outcome, run.issues, run.listed_stats, run.manifest, *kept.values())):
+            g.remember(name, lambda df=df: df)
+    return {n: g(n) for n in names}
+
+
+def attachment_pairs(g):
+    """Pairs of the candidate set of listed companies."""
+    def build():
+        listed = C.listed_companies(g("companies"))
+        chosen = C.select_by_scope(listed, C.complete_scope(rules(g), g("nodes"), C.taxonomy_catalog(listed)))
+        exact = C.taxonomy_matches(g("nodes"), listed, chosen).withColumn("pos", F.lit(-1).cast("bigint")).withColumn("confidence", F.col("confidence").cast("string"))
+        return C.build_attachments(exact.select(*COLS).unionByName(g("web_matches").select(*COLS)), chosen, g("nodes"), HI.closure(g("agg_paths"))).select(KEY, "company_id", "node_id")
+
+    return g.remember("candidate_pairs", build)
+
+
+_RUN = _JOB + (
+    ("fin", "SELECT s.industry_id, s.id FROM stay s ANTI JOIN slone l ON l.industry_id = s.industry_id AND l.child = s.id"),
+    ("fine", """SELECT e.* FROM formal_edges e JOIN fin a ON a.industry_id = e.industry_id AND a.id = e.source JOIN fin b ON b.industry_id = e.industry_id AND b.id = e.target"""),
+    ("blank", "SELECT DISTINCT industry_id, company_id || '->' || node_id AS item_id FROM built WHERE regexp_matches(industry_id, '^(lar|sma)') AND pos % 11 = 0"),
+    ("norm", """SELECT d.*, CASE WHEN d.verdict IN ('A_TO_B', 'B_TO_A') AND d.verdict <> p.allowed_verdicts THEN 'NO' WHEN d.verdict = 'INVALID' AND d.industry_id NOT LIKE 'eco%' THEN 'NO' ELSE d.verdict END AS final
+FROM decisions d JOIN pair_rows p ON p.industry_id = d.industry_id AND p.pair_id = d.pair_id"""),
+    ("left_dec", "SELECT d.* FROM norm d JOIN fin a ON a.industry_id = d.industry_id AND a.id = d.node_a_id JOIN fin b ON b.industry_id = d.industry_id AND b.id = d.node_b_id"),
+    ("flabels", "SELECT l.* FROM labels l JOIN fin f ON f.industry_id = l.industry_id AND f.id = l.id"),
+    ("fdeep", "SELECT * FROM flabels QUALIFY level = max(level) OVER (PARTITION BY industry_id, label)"),
+    (lambda part: ("fexact", part[1].replace("JOIN deep d", "JOIN fdeep d")))(_renamed(EXACT[2], "vals")),
+    ("lp", "SELECT p.* FROM last_pairs p JOIN fin f ON f.industry_id = p.industry_id AND f.id = p.node_id"),
+    ("final_issues", """SELECT DISTINCT a.industry_id, 'ancestor_descendant_attachment' AS code, a.company_id AS item_id FROM lp a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id AND h.dist > 0
+JOIN lp b ON b.industry_id = a.industry_id AND b.company_id = a.company_id AND b.node_id = h.ancestor
+UNION ALL SELECT e.industry_id, 'obvious_taxonomy_match_missing', e.company_id || '->' || e.node_id FROM fexact e WHERE NOT EXISTS (SELECT 1 FROM lp a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id
+WHERE a.industry_id = e.industry_id AND a.company_id = e.company_id AND h.ancestor = e.node_id)"""),
+    ("graph_found", """SELECT n.industry_id, 'node_missing_source' AS code, n.id AS item_id FROM formal_nodes n JOIN fin f ON f.industry_id = n.industry_id AND f.id = n.id WHERE n.source_urls = ''
+UNION ALL SELECT industry_id, 'edge_missing_source', id FROM fine WHERE source_urls = ''"""),
+    ("flow_found", "SELECT industry_id, 'invalid_pair_verdict' AS code, pair_id AS item_id FROM left_dec WHERE final = 'INVALID'"),
+    ("outcomes", """SELECT m.industry_id, CASE WHEN m.industry_id LIKE 'med%' THEN 'overlay_stale' WHEN m.industry_id NOT IN (SELECT industry_id FROM chosen) THEN 'no_company_selected'
+WHEN m.industry_id LIKE 'sma%' AND m.industry_id IN (SELECT industry_id FROM blank) THEN 'attachment_rules_failed' WHEN m.industry_id NOT IN (SELECT industry_id FROM seen) THEN 'no_coverage'
+WHEN m.industry_id IN (SELECT industry_id FROM graph_found) THEN 'graph_rules_failed' WHEN m.industry_id IN (SELECT industry_id FROM flow_found) THEN 'flow_rules_failed'
+WHEN m.industry_id IN (SELECT industry_id FROM final_issues) THEN 'attachment_rules_failed_after_pruning' ELSE 'published' END AS outcome FROM manifest m"""),
+    ("ran", "SELECT industry_id FROM outcomes WHERE outcome NOT IN ('overlay_stale', 'no_company_selected', 'attachment_rules_failed', 'no_coverage')"),
+)
+TR = TM + ("manifest", "formal_nodes", "formal_edges", "decisions", "pair_rows", "attachments")
+
+
+@query("m18_outcome", """SELECT o.industry_id, o.outcome, o.outcome = 'published' AS can_apply, CASE WHEN o.outcome NOT IN ('overlay_stale', 'no_company_selected', 'attachment_rules_failed') THEN (SELECT count(*) FROM nodes n WHERE n.industry_id = o.industry_id) END AS nodes_before,
+CASE WHEN r.industry_id IS NOT NULL THEN (SELECT count(*) FROM fin f WHERE f.industry_id = o.industry_id) END AS nodes_after, CASE WHEN r.industry_id IS NOT NULL THEN (SELECT count(*) FROM lp p WHERE p.industry_id = o.industry_id) END AS attachment_count,
+CASE WHEN r.industry_id IS NOT NULL THEN (SELECT count(DISTINCT company_id) FROM lp p WHERE p.industry_id = o.industry_id) END AS company_count FROM outcomes o LEFT JOIN ran r ON r.industry_id = o.industry_id""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_outcome"]
+
+
+@query("m18_issues", """SELECT b.industry_id, 'candidate' AS stage, 'attachment_reason_missing' AS code, b.item_id FROM blank b JOIN outcomes o ON o.industry_id = b.industry_id AND o.outcome NOT IN ('overlay_stale', 'no_company_selected')
+UNION ALL SELECT e.industry_id, 'repaired', 'obvious_taxonomy_match_missing', e.company_id || '->' || e.node_id FROM exact e JOIN outcomes o ON o.industry_id = e.industry_id AND o.outcome = 'attachment_rules_failed'
+UNION ALL SELECT f.industry_id, 'graph', f.code, f.item_id FROM graph_found f JOIN ran USING (industry_id)
+UNION ALL SELECT f.industry_id, 'flow', f.code, f.item_id FROM flow_found f JOIN outcomes o ON o.industry_id = f.industry_id AND o.outcome = 'flow_rules_failed'
+UNION ALL SELECT f.industry_id, 'final', f.code, f.item_id FROM final_issues f JOIN outcomes o ON o.industry_id = f.industry_id AND o.outcome = 'attachment_rules_failed_after_pruning'""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_issues"].filter("severity = 'error'").select(KEY, "stage", "code", "item_id")
+
+
+@query("m18_listed_stats", """SELECT b.industry_id, count(*) AS company_count_before, count(*) AS company_count_after, any_value(n) AS attachment_count_before, any_value(n) AS attachment_count_after
+FROM (SELECT DISTINCT industry_id, company_id FROM built) b JOIN (SELECT industry_id, count(*) AS n FROM built GROUP BY ALL) x ON x.industry_id = b.industry_id WHERE b.industry_id NOT LIKE 'med%' GROUP BY b.industry_id""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_stats"].select(KEY, "company_count_before", "company_count_after", "attachment_count_before", "attachment_count_after")
+
+
+@query("m18_published_nodes", """SELECT n.industry_id, n.id, n.source_urls, CASE WHEN o.outcome = 'published' THEN 2 ELSE 1 END AS version FROM formal_nodes n JOIN outcomes o ON o.industry_id = n.industry_id
+WHERE o.outcome <> 'published' OR EXISTS (SELECT 1 FROM fin f WHERE f.industry_id = n.industry_id AND f.id = n.id)""", TR, _RUN)
+def _(g):
+    return joined(attachment_run(g)["run_nodes"].select(KEY, "id", "source_urls", "version"), "source_urls")
+
+
+@query("m18_published_edges", """SELECT e.industry_id, e.id, CASE WHEN o.outcome = 'published' THEN 2 ELSE 1 END AS version FROM formal_edges e JOIN outcomes o ON o.industry_id = e.industry_id
+WHERE o.outcome <> 'published' OR EXISTS (SELECT 1 FROM fine f WHERE f.industry_id = e.industry_id AND f.id = e.id)""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_edges"].select(KEY, "id", "version")
+
+
+@query("m18_published_attachments", """SELECT a.industry_id, a.company_id, a.node_id, 1 AS version FROM attachments a JOIN outcomes o ON o.industry_id = a.industry_id AND o.outcome <> 'published'
+UNION ALL SELECT p.industry_id, p.company_id, p.node_id, 2 FROM lp p JOIN outcomes o ON o.industry_id = p.industry_id AND o.outcome = 'published'""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_attachments"].select(KEY, "company_id", "node_id", "version")
+
+
+@query("m18_published_flows", """SELECT d.industry_id, CASE WHEN final = 'A_TO_B' THEN node_a_id ELSE node_b_id END AS source, CASE WHEN final = 'A_TO_B' THEN node_b_id ELSE node_a_id END AS target, CASE WHEN o.outcome = 'published' THEN 2 ELSE 1 END AS version
+FROM norm d JOIN outcomes o ON o.industry_id = d.industry_id WHERE final IN ('A_TO_B', 'B_TO_A') AND (o.outcome <> 'published' OR d.pair_id IN (SELECT pair_id FROM left_dec))""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_l2"].select(KEY, "source", "target", "version")
+
+
+@query("m18_manifest", """SELECT m.industry_id, m.name, m.status, CASE WHEN o.outcome = 'published' THEN (SELECT count(*) FROM fin f WHERE f.industry_id = m.industry_id) ELSE m.node_count END AS node_count,
+CASE WHEN o.outcome = 'published' THEN (SELECT count(*) FROM fine f WHERE f.industry_id = m.industry_id) ELSE m.edge_count END AS edge_count FROM manifest m JOIN outcomes o ON o.industry_id = m.industry_id""", TR, _RUN)
+def _(g):
+    return attachment_run(g)["run_manifest"]
+
+
 # --- rules ---------------------------------------------------------------------------------------
 _RULES_PARTS = BASE + EXACT + H + (
     ("pcs", "SELECT DISTINCT a.industry_id, c.* FROM loose_attachments a JOIN companies c ON c.company_id = a.company_id"),
