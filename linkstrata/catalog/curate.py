@@ -38,6 +38,77 @@ def _(g):
     return M.node_conflicts(g("staged_nodes"))
 
 
+# seed and branch graphs without attributes of edges, each with sources of its own; in some industries a branch renames its L1 node
+def _staged(g):
+    c = F.col
+    nodes = g("staged_nodes").withColumn("name", F.when(c(KEY).like("pro%"), c("name")).otherwise(F.replace("name", F.lit(" (renamed)"), F.lit(""))))
+    nodes = nodes.withColumn("business_description", F.lit("")).select("*", *[F.lit(None).cast(t).alias(n) for n, t in (
+        ("node_type", "string"), ("tags", "array<string>"), ("industry", "string"), ("is_key_node", "boolean"), ("chain_segment", "string"), ("updated_at", "string"))])
+    links = nodes.filter("parent_id <> ''").select(KEY, "graph_no", "pos", c("parent_id").alias("source"), c("id").alias("target"), F.lit("contains").alias("relation_type"), *[
+        F.lit(None).cast(t).alias(n) for n, t in (("id", "string"), ("relation_weight", "double"), ("description", "string"), ("source_urls", "array<string>"), ("evidence_ids", "array<string>"),
+                                                  ("confidence", "double"), ("updated_at", "string"))])
+    seeds = g("graphs").withColumn("graph_no", F.lit(0))
+    own = lambda tail, name: F.struct(F.lit(name).alias("name"), F.concat(F.lit("https://basis.example.org/"), KEY, tail).alias("url"), F.lit("branch").alias("note"))
+    heads = nodes.filter("graph_no > 0").select(KEY, "graph_no").distinct().join(g("graphs").drop("source_basis"), KEY).withColumn(
+        "source_basis", F.array(own(F.concat(F.lit("/branch"), c("graph_no").cast("string")), "Branch"), own(F.lit("/a"), "Report A of a branch")))
+    return seeds.unionByName(heads.select(*seeds.columns)), nodes, links
+
+
+def _merged(g):
+    names = ("staged_graphs_out", "staged_nodes_out", "staged_edges_out", "staged_conflicts_out")
+    if names[0] not in g._known:
+        m = CU.merge_staged(*_staged(g), AS_OF)
+        for name, df in zip(names, (m.graphs, m.nodes, m.edges, m.conflicts)):
+            g.remember(name, lambda df=df: df)
+    return [g(n) for n in names]
+
+
+_URL_LIST = "list_sort(list_distinct(list_filter(string_split({}, ';'), lambda u: u <> '')))"
+_STAGED = SINGLE[:2] + (
+    ("own", """SELECT s.*, CASE WHEN source_urls = '' AND graph_no = 0 THEN 'https://basis.example.org/' || industry_id || '/a;https://basis.example.org/' || industry_id || '/b'
+WHEN source_urls = '' THEN 'https://basis.example.org/' || industry_id || '/branch' || graph_no || ';https://basis.example.org/' || industry_id || '/a' ELSE source_urls END AS urls,
+CASE WHEN evidence_ids = '' THEN 'source_001;source_002' ELSE evidence_ids END AS evids,
+'https://basis.example.org/' || industry_id || CASE WHEN graph_no = 0 THEN '/b' ELSE '/branch' || graph_no END || ';https://basis.example.org/' || industry_id || '/a' AS basis
+FROM staged_nodes s WHERE industry_id NOT LIKE 'pro%' AND NOT EXISTS (SELECT 1 FROM single x WHERE x.industry_id = s.industry_id AND x.child_id = s.id)"""),
+    ("tops", """SELECT industry_id, id, arg_min(replace(name, ' (renamed)', ''), graph_no) AS name, any_value(level) AS level, arg_min(CASE WHEN level = 1 AND chain_position IN ('upstream', 'downstream') THEN '' ELSE parent_id END, graph_no) AS parent_id,
+max(confidence) AS confidence, CASE WHEN count(*) > 1 THEN array_to_string(list_sort(list_distinct(string_split(string_agg(urls, ';'), ';'))), ';') ELSE any_value(urls) END AS source_urls,
+CASE WHEN count(*) > 1 THEN array_to_string(list_sort(list_distinct(string_split(string_agg(evids, ';'), ';'))), ';') ELSE any_value(evids) END AS evidence_ids FROM own GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY industry_id, id")),
+    ("kin", "SELECT industry_id, parent_id, count(*) AS n, max(id) AS id, max(level) AS level FROM tops WHERE parent_id <> '' GROUP BY ALL"),
+    ("lone", """SELECT k.industry_id, k.id FROM kin k JOIN tops p ON p.industry_id = k.industry_id AND p.id = k.parent_id WHERE k.n = 1 AND p.level <> 0 AND k.level >= 2
+AND NOT EXISTS (SELECT 1 FROM kin c WHERE c.industry_id = k.industry_id AND c.parent_id = k.id)"""),
+    ("outn", "SELECT * FROM tops t ANTI JOIN lone l ON l.industry_id = t.industry_id AND l.id = t.id"),
+    ("oute", """SELECT c.industry_id, CASE WHEN c.level = 1 AND c.chain_position = 'upstream' THEN c.id ELSE p.id END AS source, CASE WHEN c.level = 1 AND c.chain_position = 'upstream' THEN p.id ELSE c.id END AS target,
+CASE WHEN c.level = 1 AND c.chain_position IN ('upstream', 'downstream') THEN 'upstream_downstream' ELSE 'contains' END AS relation_type, """
+     + _URL_LIST.format("c.urls || ';' || p.urls || ';' || c.basis") + """ AS urls FROM own c JOIN own p ON p.industry_id = c.industry_id AND p.graph_no = c.graph_no
+AND p.id = CASE WHEN c.level = 1 THEN c.industry_id || '_000' ELSE c.parent_id END JOIN outn o ON o.industry_id = c.industry_id AND o.id = c.id WHERE c.level > 0"""),
+)
+TS = G + ("staged_nodes", "graphs")
+
+
+@query("m19_merged_nodes", "SELECT industry_id, id, name, level, parent_id, confidence, source_urls, evidence_ids FROM outn", TS, _STAGED)
+def _(g):
+    return joined(_merged(g)[1].select(KEY, "id", "name", "level", "parent_id", "confidence", "source_urls", "evidence_ids"), "source_urls", "evidence_ids")
+
+
+@query("m19_merged_edges", """SELECT industry_id, source || '__' || relation_type || '__' || target AS id, source, target, relation_type, cast(1 AS double) AS relation_weight, cast(0.75 AS double) AS confidence,
+array_to_string(urls, ';') AS source_urls, len(urls) AS evidence_count FROM oute""", TS, _STAGED)
+def _(g):
+    e = _merged(g)[2].withColumn("evidence_count", F.size("evidence_ids").cast("bigint"))
+    return joined(e.select(KEY, "id", "source", "target", "relation_type", "relation_weight", "confidence", "source_urls", "evidence_count"), "source_urls")
+
+
+@query("m19_source_basis", """SELECT industry_id, 0 AS place, 'Report A' AS name, 'https://basis.example.org/' || industry_id || '/a' AS url FROM graphs WHERE industry_id NOT LIKE 'pro%'
+UNION ALL SELECT industry_id, 1, 'Report B', 'https://basis.example.org/' || industry_id || '/b' FROM graphs WHERE industry_id NOT LIKE 'pro%' UNION ALL SELECT industry_id, 2, 'No link', '' FROM graphs WHERE industry_id NOT LIKE 'pro%'
+UNION ALL SELECT industry_id, 2 + row_number() OVER (PARTITION BY industry_id ORDER BY graph_no), 'Branch', 'https://basis.example.org/' || industry_id || '/branch' || graph_no FROM (SELECT DISTINCT industry_id, graph_no FROM staged_nodes WHERE graph_no > 0 AND industry_id NOT LIKE 'pro%')""", TS)
+def _(g):
+    return _merged(g)[0].select(KEY, F.posexplode("source_basis").alias("place", "b")).select(KEY, F.col("place").cast("bigint").alias("place"), "b.name", "b.url")
+
+
+@query("m19_conflicts", "SELECT industry_id, id, min(name) AS name, max(name) AS other_name, count(*) AS copies FROM staged_nodes WHERE industry_id LIKE 'pro%' GROUP BY industry_id, id HAVING count(DISTINCT name) > 1", TS)
+def _(g):
+    return _merged(g)[3]
+
+
 def _basis(g):
     return g("graphs").select(KEY, F.posexplode("source_basis").alias("pos", "b")).select(KEY, "pos", "b.*")
 
