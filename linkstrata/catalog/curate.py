@@ -213,6 +213,63 @@ def _(g):
     return joined(M.item_evidence_urls(g("nodes"), shared), "own_urls")
 
 
+# merge with evidence: the shared part are the urls of L0 and L1, with ids of their own
+_CAND = SINGLE[:2] + (
+    ("stdn", """SELECT industry_id, id, level, CASE WHEN source_urls = '' THEN 'https://basis.example.org/' || industry_id || '/a;https://basis.example.org/' || industry_id || '/b' ELSE source_urls END AS urls,
+CASE WHEN evidence_ids = '' THEN 'source_001;source_002' ELSE evidence_ids END AS ids FROM formal_nodes n WHERE NOT EXISTS (SELECT 1 FROM single s WHERE s.industry_id = n.industry_id AND s.child_id = n.id)"""),
+    ("share", "SELECT DISTINCT industry_id, unnest(string_split(source_urls, ';')) AS url FROM nodes WHERE level <= 1 AND industry_id NOT LIKE 'med%'"),
+    ("vals", """SELECT DISTINCT industry_id, id, 'url' AS kind, unnest(string_split(urls, ';')) AS v FROM stdn UNION SELECT DISTINCT industry_id, id, 'evidence_id', unnest(string_split(ids, ';')) FROM stdn"""),
+    ("shared", "SELECT industry_id, 'url' AS kind, url AS v FROM share UNION ALL SELECT industry_id, 'evidence_id', 'ev:' || url FROM share"),
+    ("beyond", "SELECT * FROM vals x ANTI JOIN shared s ON s.industry_id = x.industry_id AND s.kind = x.kind AND s.v = x.v"),
+)
+TC = G + ("formal_nodes", "formal_edges", "graphs")
+
+
+def _candidate(g):
+    def evidence():
+        share = g("nodes").filter("level <= 1").select(KEY, F.explode("source_urls").alias("url")).distinct()
+        dead = F.col(KEY).like("med%")
+        return share.select(KEY, F.when(~dead, F.col("url")).alias("url"), F.concat(F.lit("ev:"), "url").alias("evidence_id"))
+
+    names = ("cand_nodes", "cand_edges", "cand_node_evidence", "cand_edge_evidence")
+    if names[0] not in g._known:
+        r = CU.merge_candidate(g("graphs"), g("formal_nodes"), g("formal_edges"), evidence(), AS_OF)
+        for name, df in zip(names, (r.nodes, r.edges, r.node_evidence, r.edge_evidence)):
+            g.remember(name, lambda df=df: df)
+    return [g(n) for n in names], evidence()
+
+
+_OWN = "(SELECT coalesce(string_agg(v, ';' ORDER BY v), '') FROM beyond b WHERE b.industry_id = n.industry_id AND b.id = n.id AND b.kind = '{0}') AS {1}"
+_SIZE = "(SELECT count(*) FROM beyond b WHERE b.industry_id = n.industry_id AND b.id = n.id AND b.kind = '{0}') + (SELECT count(*) FROM shared s WHERE s.industry_id = n.industry_id AND s.kind = '{0}') AS {1}"
+
+
+@query("m09_node_evidence", f"SELECT n.industry_id, n.id, {_OWN.format('url', 'own_urls')}, {_SIZE.format('url', 'url_count')}, {_OWN.format('evidence_id', 'own_ids')}, {_SIZE.format('evidence_id', 'id_count')} FROM stdn n", TC, _CAND)
+def _(g):
+    return joined(_candidate(g)[0][2], "own_urls", "own_ids")
+
+
+_EDGE_CAND = _CAND[:4] + (
+    ("stde", """SELECT e.industry_id, e.id, CASE WHEN e.source_urls = '' THEN list_distinct(string_split(c.urls || ';' || p.urls || ';https://basis.example.org/' || e.industry_id || '/a;https://basis.example.org/' || e.industry_id || '/b', ';'))
+ELSE string_split(e.source_urls, ';') END AS urls, e.evidence_ids AS ids FROM formal_edges e JOIN stdn c ON c.industry_id = e.industry_id AND c.id = e.target JOIN stdn p ON p.industry_id = e.industry_id AND p.id = e.source"""),
+    ("evals", """SELECT DISTINCT industry_id, id, 'url' AS kind, unnest(urls) AS v FROM stde UNION SELECT DISTINCT industry_id, id, 'evidence_id',
+unnest(CASE WHEN ids = '' THEN list_transform(range(1, len(urls) + 1), lambda i: 'source_' || lpad(cast(i AS varchar), 3, '0')) ELSE string_split(ids, ';') END) FROM stde"""),
+    ("shared", _CAND[5][1]),
+    ("beyond", _CAND[6][1].replace("vals x", "evals x")),
+)
+
+
+@query("m09_edge_evidence", f"SELECT n.industry_id, n.id, {_OWN.format('url', 'own_urls')}, {_SIZE.format('url', 'url_count')}, {_OWN.format('evidence_id', 'own_ids')}, {_SIZE.format('evidence_id', 'id_count')} FROM stde n", TC, _EDGE_CAND)
+def _(g):
+    return joined(_candidate(g)[0][3], "own_urls", "own_ids")
+
+
+@query("m09_expanded_roots", """SELECT n.industry_id, n.id, x.kind, x.v AS value FROM stdn n JOIN vals x ON x.industry_id = n.industry_id AND x.id = n.id WHERE n.level <= 1
+UNION SELECT n.industry_id, n.id, s.kind, s.v FROM stdn n JOIN shared s ON s.industry_id = n.industry_id WHERE n.level <= 1""", TC, _CAND)
+def _(g):
+    (nodes, *_), evidence = _candidate(g)
+    return M.expand_evidence(nodes.filter("level <= 1"), evidence)
+
+
 _DUP = ("dup", """SELECT industry_id, keep, id AS dropped, name FROM (SELECT industry_id, id, name, first_value(id) OVER w AS keep, row_number() OVER w AS rn FROM raw_nodes
 WINDOW w AS (PARTITION BY industry_id, regexp_replace(lower(name), '\\s+', '', 'g') ORDER BY pos, id)) WHERE rn > 1""")
 
@@ -462,12 +519,47 @@ def _(g):
     step = lambda n, tail, whole: gr.select(KEY, branch, F.lit(n).alias("step"), F.concat(KEY, F.lit(tail)).alias("old_id"), F.lit(2).alias("start_level"), F.lit(whole).alias("whole"))
     none = F.array().cast("array<string>")
     branches = gr.select(KEY, branch, F.lit("midstream").alias("chain_position"), F.lit("中游").alias("chain_segment"), none.alias("source_urls"), none.alias("evidence_ids"))
-    manual = gr.select(KEY, branch, F.lit(3).alias("step"), F.lit("spare").alias("key"), F.lit("spare link").alias("name"), F.lit(2).alias("level"), F.lit("spare").alias("description"), F.lit("").alias("template_id"), F.lit(False).alias("under_template"))
+    manual = gr.select(KEY, branch, F.lit(3).alias("step"), F.lit("spare").alias("key"), F.lit("spare link").alias("name"), F.lit(2).alias("level"), F.lit("spare").alias("description"), F.lit("").alias("parent_key"), F.lit("").alias("template_key"))
     drops = g("nodes").filter("name = 'Brand#2' AND level = 2").select(KEY, "id")
     nodes, _ = M.transplant(g("nodes"), g("tree_paths"), step(1, "_001", False).unionByName(step(2, "_002", True)), branches, manual, drops, AS_OF)
     return nodes.select(KEY, "id", "name", "level", "parent_id")
 
 
+# manual nodes under manual nodes and under a copy; templates by default the parent, one of them comes too late
+_MANUAL = (("rack", "", ""), ("shelf", "manual:rack", ""), ("drawer", "manual:shelf", ""), ("kit", "old:{}_002", ""), ("tool", "manual:kit", ""), ("bit", "manual:tool", ""),
+           ("loan", "", "manual:bit"), ("early", "", "manual:late"), ("late", "manual:loan", "old:{}_001_001"))
+_FOREST = _TRANS[:1] + (
+    ("man", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{p}', '{t or p}')" for i, (k, p, t) in enumerate(_MANUAL, 3)) + ") v(step, key, parent_key, template_key)"),
+    ("moved", _TRANS[1][1].split("UNION ALL SELECT industry_id, 'manual'")[0] + """UNION ALL SELECT industry_id, 'manual:' || key, key, 2, replace(parent_key, '{}', industry_id), step, '' FROM nodes, man WHERE level = 0"""),
+    _TRANS[2],
+    ("byid", "SELECT *, CASE WHEN starts_with(old_id, 'manual:') THEN old_id ELSE 'old:' || old_id END AS key FROM numbered"),
+    ("root(industry_id, key, spot)", """SELECT b.industry_id, b.key, b.key FROM byid b WHERE starts_with(b.key, 'manual:') UNION ALL
+SELECT r.industry_id, r.key, CASE WHEN t.rn < c.rn THEN t.key ELSE '' END FROM root r JOIN byid c ON c.industry_id = r.industry_id AND c.key = r.spot JOIN man m ON 'manual:' || m.key = r.spot
+LEFT JOIN byid t ON t.industry_id = r.industry_id AND t.key = replace(m.template_key, '{}', r.industry_id) WHERE starts_with(r.spot, 'manual:')"""),
+    ("heir", "SELECT industry_id, key, spot FROM root WHERE spot IS NULL OR NOT starts_with(spot, 'manual:')"),
+)
+
+
+@query("m16_manual_forest", """SELECT a.industry_id, a.id, a.name, CASE WHEN a.parent_id = '' THEN a.industry_id || '_101' ELSE coalesce(p.id, a.industry_id || '_101') END AS parent_id,
+CASE WHEN starts_with(a.key, 'old:') THEN n.source_urls ELSE coalesce(o.source_urls, 'https://branch.example.org/' || a.industry_id) END AS source_urls FROM byid a
+LEFT JOIN byid p ON p.industry_id = a.industry_id AND p.key = CASE WHEN starts_with(a.key, 'old:') THEN 'old:' || a.parent_id ELSE a.parent_id END LEFT JOIN nodes n ON n.industry_id = a.industry_id AND n.id = a.old_id
+LEFT JOIN heir h ON h.industry_id = a.industry_id AND h.key = a.key LEFT JOIN nodes o ON o.industry_id = a.industry_id AND 'old:' || o.id = h.spot""", ("nodes",), _FOREST)
+def _(g):
+    gr = g("graphs").select(KEY)
+    branch = F.concat(KEY, F.lit("_101")).alias("branch_id")
+    step = lambda n, tail, whole: gr.select(KEY, branch, F.lit(n).alias("step"), F.concat(KEY, F.lit(tail)).alias("old_id"), F.lit(2).alias("start_level"), F.lit(whole).alias("whole"))
+    branches = gr.select(KEY, branch, F.lit("midstream").alias("chain_position"), F.lit("中游").alias("chain_segment"),
+                         F.array(F.concat(F.lit("https://branch.example.org/"), KEY)).alias("source_urls"), F.array(F.lit("branch_ev")).alias("evidence_ids"))
+    manual = None
+    for i, (key, parent, template) in enumerate(_MANUAL, 3):
+        own = lambda text: F.replace(F.lit(text), F.lit("{}"), F.col(KEY))
+        row = gr.select(KEY, branch, F.lit(i).alias("step"), F.lit(key).alias("key"), F.lit(key).alias("name"), F.lit(2).alias("level"), F.lit("").alias("description"), own(parent).alias("parent_key"), own(template).alias("template_key"))
+        manual = row if manual is None else manual.unionByName(row)
+    drops = g("nodes").filter("name = 'Brand#2' AND level = 2").select(KEY, "id")
+    nodes, _ = M.transplant(g("nodes"), g("tree_paths"), step(1, "_001", False).unionByName(step(2, "_002", True)), branches, manual, drops, AS_OF)
+    return joined(nodes.select(KEY, "id", "name", "parent_id", "source_urls"), "source_urls")
+
+
 # --- graph rules ---------------------------------------------------------------------------------------------
 _DEPTH = (
     ("links", """SELECT DISTINCT industry_id, source, target FROM raw_edges e WHERE relation_type = 'contains' AND EXISTS (SELECT 1 FROM raw_nodes n WHERE n.industry_id = e.industry_id AND n.id = e.source)

@@ -15,6 +15,7 @@ from linkstrata.plans import delivery as D
 from linkstrata.sources import files as FI
 from linkstrata.sources import responses as R
 from linkstrata.sources import schemas as S
+from linkstrata.sources.delimited import write_delimited
 
 
 @query("s01_graph_parts_scan", """SELECT industry_id, id, name, level, parent_id, confidence, array_length(string_split(tags, ';')) AS tag_count FROM nodes""", ("nodes",))
@@ -53,6 +54,22 @@ def _(g):
     return FI.read_companies(g.spark, path).drop("pos")
 
 
+# files of four charsets in one folder; every third name has quotes and a line break
+_MIXED = ("mixed_file", """SELECT * REPLACE (CASE WHEN pos % 3 = 0 AND chiname <> '' THEN chiname || '，"甲"' || chr(10) || '公司' ELSE chiname END AS chiname) FROM company_file""")
+
+
+@query("s06_company_csv_charsets", "SELECT * FROM master", ("company_file",), (_MIXED, (_MASTER[0], _MASTER[1].replace("FROM company_file", "FROM mixed_file"))))
+def _(g):
+    c = F.col
+    root = g.fresh_path("mixed-companies")
+    rows = g("company_file").withColumn("chiname", F.when((c("pos") % 3 == 0) & (c("chiname") != ""), F.concat("chiname", F.lit('，"甲"\n公司'))).otherwise(c("chiname")))
+    for i, charset in enumerate(("utf-8-sig", "utf-8", "gb18030", "gbk")):
+        part = rows.filter(F.pmod(F.floor(c("pos") / 10), F.lit(4)) == i)
+        known = part.select(*[F.replace(x, F.lit("\u2003"), F.lit("\u3000")).alias(x) if part.schema[x].dataType.typeName() == "string" else c(x) for x in part.columns])
+        write_delimited(known, f"{root}/{charset}", charset)
+    return FI.read_companies(g.spark, f"{root}/*").drop("pos")
+
+
 @query("s07_taxonomy_csv_scan", "SELECT indunamesw, indunamesw1, indunamesw2, nullif(indunamesw3, '') AS indunamesw3 FROM companies", ("companies",))
 def _(g):
     path = g.fresh_path("taxonomy")
@@ -301,6 +318,16 @@ def _(g):
     return counts.join(renamed, KEY)
 
 
+@query("s18_industry_rows", """SELECT m.industry_id, m.name, (SELECT count(*) FROM nodes n WHERE n.industry_id = m.industry_id AND n.level >= 2) AS node_count, 2 * (SELECT count(*) FROM edges e WHERE e.industry_id = m.industry_id) AS edge_count,
+CASE WHEN m.industry_id LIKE 'med%' THEN m.status ELSE 'demo' END AS status FROM manifest m""", ("nodes", "edges", "manifest"))
+def _(g):
+    import_edges = g("edges").unionByName(g("edges").withColumn("target", F.concat("target", F.lit("_none"))))
+    imported = P.industry_rows(g("manifest"), g("nodes").filter("level >= 2"), import_edges)
+    old = g("manifest").select(KEY, "name", F.lit(0).cast("bigint").alias("node_count"), F.lit(0).cast("bigint").alias("edge_count"), "status")
+    quiet = imported.withColumn("status", F.when(F.col(KEY).like("med%"), F.lit(None)).otherwise(F.col("status")))
+    return P.upsert(old, quiet, [KEY])
+
+
 @query("s19_report_lines")
 def _(g):
     depth = g.remember("depth", lambda: V.contains_depth(g("nodes"), g("edges")))

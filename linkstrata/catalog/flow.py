@@ -1,16 +1,20 @@
 """Queries over L2 flow relations: catalog, shortlist, verdicts, edges, projection, rules."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from linkstrata import constants as K
-from linkstrata.catalog.company import LEGACY, alive_nodes
+from linkstrata.catalog.company import BASE, EXACT, LEGACY, alive_nodes, formal, selected
 from linkstrata.catalog.graph import _PROJ
-from linkstrata.catalog.registry import AS_OF, KEY, LINE, joined, query
+from linkstrata.catalog.registry import AS_OF, H, KEY, LINE, joined, query
 from linkstrata.functions import text as X
 from linkstrata.operators import flow as FL
 from linkstrata.operators import hierarchy as HI
+from linkstrata.operators import publish as P
 from linkstrata.operators import validate as V
 from linkstrata.plans import overlays as O
+from linkstrata.plans.attachment import Formal, rebase_overlay
 
 G = ("nodes", "edges")
 CAT = LINE + (
@@ -309,6 +313,36 @@ def _(g):
     return _reprojected(g)[1]
 
 
+@query("p20_overlay_fingerprint", """SELECT m.industry_id, true AS has_form, true AS same_when_dealt_anew, m.industry_id NOT LIKE 'eco%' AS same_in_other_graph,
+NOT EXISTS (SELECT 1 FROM l2_edges e WHERE e.industry_id = m.industry_id AND e.confidence > 0.9) AS same_with_other_weights, NOT EXISTS (SELECT 1 FROM l2_edges e WHERE e.industry_id = m.industry_id AND e.source_urls <> '') AS same_with_other_urls,
+NOT EXISTS (SELECT 1 FROM projected p WHERE p.industry_id = m.industry_id AND p.confidence < 0.65) AS same_without_weak_projections FROM manifest m""", ("nodes", "l2_edges", "manifest"), _PROJ)
+def _(g):
+    c = F.col
+    mark = c("overlay_fingerprint")
+    meta = g("manifest").select(KEY, F.lit(K.FLOW_SCHEMA_VERSION).alias("schema_version"), F.sha2(KEY, 256).alias("graph_fingerprint"))
+    l2, projected = g("l2_edges"), g.remember("projected_edges", lambda: FL.project_flows(g("l2_edges"), g("nodes"), AS_OF))
+    first = P.overlay_fingerprint(meta, l2, projected)
+    others = {
+        "same_when_dealt_anew": (meta, l2.repartition(5), projected.repartition(3)),
+        "same_in_other_graph": (meta.withColumn("graph_fingerprint", F.when(c(KEY).like("eco%"), "other").otherwise(c("graph_fingerprint"))), l2, projected),
+        "same_with_other_weights": (meta, l2.withColumn("relation_weight", F.when(c("confidence") > 0.9, 9.0).otherwise(c("relation_weight"))), projected),
+        "same_with_other_urls": (meta, l2.withColumn("source_urls", F.transform("source_urls", lambda u: F.concat(u, F.lit("#")))), projected),
+        "same_without_weak_projections": (meta, l2, projected.filter("confidence >= 0.65")),
+    }
+    out = first.withColumn("has_form", mark.rlike("^[0-9a-f]{64}$"))
+    for name, tables in others.items():
+        out = out.join(P.overlay_fingerprint(*tables).select(KEY, mark.alias("_other")), KEY).withColumn(name, mark == c("_other")).drop("_other")
+    return out.drop("overlay_fingerprint")
+
+
+@query("m14_stale_by_edges", """SELECT m.industry_id, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.industry_id = m.industry_id AND e.confidence > 0.98) THEN 'stale' ELSE 'ready' END AS overlay_status FROM manifest m""", ("edges", "manifest"))
+def _(g):
+    stored = P.graph_fingerprint(g("graphs"), g("nodes"), g("edges"))
+    now = P.graph_fingerprint(g("graphs"), g("nodes"), g("edges").filter("confidence <= 0.98"))
+    meta = stored.select(KEY, F.col(KEY).alias("payload_industry_id"), F.lit(K.FLOW_SCHEMA_VERSION).alias("schema_version"), F.lit(True).alias("shape_ok"), "graph_fingerprint", F.lit("").alias("source_hash"))
+    return P.overlay_status(g("manifest"), meta, now.withColumn("source_hash", F.lit("")), K.FLOW_SCHEMA_VERSION, check_source=False)
+
+
 @query("m13_reconcile_edges", """SELECT k.industry_id, CASE WHEN k.verdict = 'A_TO_B' THEN k.node_a_id ELSE k.node_b_id END AS source, CASE WHEN k.verdict = 'A_TO_B' THEN k.node_b_id ELSE k.node_a_id END AS target
 FROM kept k WHERE k.verdict IN ('A_TO_B', 'B_TO_A')""", D, (_NORM,) + _KEPT)
 def _(g):
@@ -318,12 +352,12 @@ def _(g):
 def reconciled(g):
     from linkstrata.catalog.company import legacy_attachments, legacy_paths
 
-    names = ("rec_edges", "rec_counts", "rec_issues")
+    names = ("rec_edges", "rec_counts", "rec_issues", "rec_company_issues", "rec_outcome")
     if names[0] not in g._known:
         decisions = normalized(g).select(KEY, "pair_id", "node_a_id", "node_b_id", "verdict", "decision_source", "cache_key")
         alive = alive_nodes(g)
-        r = O.reconcile(alive, g("edges"), legacy_paths(g), legacy_attachments(g), g("pair_rows"), decisions, g("decision_cache"), g("manifest"), AS_OF)
-        for name, df in zip(names, (r.l2_edges, r.attachment_counts, r.issues)):
+        r = O.reconcile(alive, g("edges"), legacy_paths(g), legacy_attachments(g), g("pair_rows"), decisions, g("decision_cache"), g("manifest"), AS_OF, g("companies"), selected(g))
+        for name, df in zip(names, (r.l2_edges, r.attachment_counts, r.issues, r.company_issues, r.outcome)):
             g.remember(name, lambda df=df: df)
     return {n: g(n) for n in names}
 
@@ -334,11 +368,90 @@ def _(g):
     return reconciled(g)["rec_counts"]
 
 
-@query("m13_reconcile_issues")
+# --- after the remap: both rule sets
+_REC_FLOW = (_NORM,) + _KEPT + (
+    ("made", """SELECT k.industry_id, k.pair_id, a.source_urls || b.source_urls AS urls, a.evidence_ids || b.evidence_ids AS ids, CASE WHEN k.verdict = 'A_TO_B' THEN k.node_a_id ELSE k.node_b_id END || '__upstream_downstream__' ||
+CASE WHEN k.verdict = 'A_TO_B' THEN k.node_b_id ELSE k.node_a_id END AS id FROM kept k JOIN nodes a ON a.industry_id = k.industry_id AND a.id = k.node_a_id JOIN nodes b ON b.industry_id = k.industry_id AND b.id = k.node_b_id WHERE k.verdict IN ('A_TO_B', 'B_TO_A')"""),
+    ("flow_found", """SELECT industry_id, 'error' AS severity, 'invalid_pair_verdict' AS code, pair_id AS item_id FROM kept WHERE verdict NOT IN ('A_TO_B', 'B_TO_A', 'NO')
+UNION ALL SELECT industry_id, 'error', 'source_url_missing', id FROM made WHERE urls = '' UNION ALL SELECT industry_id, 'warning', 'evidence_id_missing', id FROM made WHERE ids = ''
+UNION ALL SELECT DISTINCT industry_id, 'warning', 'candidate_recall_audit_positive', '' FROM kept k JOIN pair_rows p USING (industry_id, pair_id) WHERE contains(p.selection_reasons, 'deterministic_negative_audit') AND verdict IN ('A_TO_B', 'B_TO_A')
+UNION ALL SELECT industry_id, 'warning', 'no_l2_flow_relations', '' FROM manifest WHERE industry_id NOT IN (SELECT industry_id FROM made)"""),
+)
+_ALIVE_H = tuple((re.sub(r"\bnodes\b", "alive", n), re.sub(r"\bnodes\b", "alive", q)) for n, q in H)
+_REC_COMPANY = BASE + LEGACY[:1] + _ALIVE_H + LEGACY[1:] + tuple((n, re.sub(r"\bnodes\b", "alive", q)) for n, q in EXACT[:2]) + (
+    ("exact", EXACT[2][1].replace("FROM chosen s JOIN vals v", "FROM chosen s JOIN (SELECT v.* FROM vals v JOIN companies c ON c.company_id = v.company_id AND c.is_listed) v")),
+    ("pairs", "SELECT o.industry_id, o.company_id, n.node_id FROM old_att o JOIN nearest n ON n.industry_id = o.industry_id AND n.start = o.node_id"),
+    ("company_found", """SELECT industry_id, 'duplicate_attachment' AS code, company_id || '->' || node_id AS item_id FROM pairs GROUP BY industry_id, company_id, node_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT a.industry_id, 'ancestor_descendant_attachment', a.company_id FROM pairs a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id AND h.dist > 0
+JOIN pairs b ON b.industry_id = a.industry_id AND b.company_id = a.company_id AND b.node_id = h.ancestor
+UNION ALL SELECT e.industry_id, 'obvious_taxonomy_match_missing', e.company_id || '->' || e.node_id FROM exact e WHERE NOT EXISTS (SELECT 1 FROM pairs a JOIN h ON h.industry_id = a.industry_id AND h.id = a.node_id
+WHERE a.industry_id = e.industry_id AND a.company_id = e.company_id AND h.ancestor = e.node_id)"""),
+)
+TRC = ("nodes", "edges", "attachments", "legacy_nodes", "companies", "scope_rules")
+
+
+@query("m13_reconcile_issues", "SELECT industry_id, severity, code, count(*) AS n FROM flow_found GROUP BY ALL", D + ("manifest",), _REC_FLOW)
 def _(g):
     return reconciled(g)["rec_issues"].groupBy(KEY, "severity", "code").agg(F.count("*").alias("n"))
 
 
+@query("m13_company_issues", "SELECT industry_id, code, item_id FROM company_found", TRC, _REC_COMPANY)
+def _(g):
+    return reconciled(g)["rec_company_issues"].select(KEY, "code", "item_id")
+
+
+@query("m13_outcome", """SELECT industry_id, CASE WHEN industry_id IN (SELECT industry_id FROM company_found) THEN 'company_rules_failed' WHEN industry_id IN (SELECT industry_id FROM flow_found WHERE severity = 'error') THEN 'flow_rules_failed' ELSE 'reconciled' END AS outcome FROM manifest""",
+       TRC + ("decisions", "pair_rows", "manifest"), _REC_COMPANY + (_NORM,) + _KEPT[1:] + _REC_FLOW[4:])
+def _(g):
+    return reconciled(g)["rec_outcome"]
+
+
+# --- after a prune: projected anew, listed ids, counts
+_CUT = (_NORM,) + _KEPT + (("kept_l2", "SELECT e.* FROM l2_edges e JOIN kept k ON k.industry_id = e.industry_id AND k.pair_id = e.decision_pair_id"),) + tuple(
+    (n, re.sub(r"\bl2_edges\b", "kept_l2", re.sub(r"\bnodes\b", "alive", q))) for n, q in _PROJ)
+
+
+def _rebased(g):
+    names = ("rebased_projected", "rebased_evaluated", "rebased_summary")
+    if names[0] not in g._known:
+        state = Formal(g("nodes"), g("edges"), g("attachments"), normalized(g), g("l2_edges"), g("l2_edges"), FL.decision_summary(normalized(g)).select(KEY, "cache_hit_count"))
+        new, evaluated = rebase_overlay(state, alive_nodes(g), g("edges"), AS_OF)
+        for name, df in zip(names, (new.projected, evaluated, new.summary)):
+            g.remember(name, lambda df=df: df)
+    return [g(n) for n in names]
+
+
+@query("m07_rebased_projection", "SELECT industry_id, id, source, target, confidence FROM projected", D + ("l2_edges",), _CUT)
+def _(g):
+    return _rebased(g)[0].select(KEY, "id", "source", "target", "confidence")
+
+
+@query("m07_evaluated_nodes", "SELECT industry_id, id AS node_id FROM alive WHERE level = 2", ("nodes",), (_GONE,))
+def _(g):
+    return _rebased(g)[1]
+
+
+@query("m07_candidate_counts", "SELECT industry_id, count(*) AS candidate_pair_count, count(*) AS pair_decision_count FROM kept GROUP BY industry_id", D, (_NORM,) + _KEPT)
+def _(g):
+    return _rebased(g)[2].select(KEY, "candidate_pair_count", "pair_decision_count")
+
+
+# --- projected anew and checked: the graphs eco* have a verdict that is none, so their overlays are not written
+_AGAIN = (_NORM, ("bad", "SELECT industry_id, count(*) AS n FROM norm WHERE verdict = 'INVALID' AND industry_id LIKE 'eco%' GROUP BY ALL"), ("l2s", """SELECT n.industry_id, CASE WHEN verdict = 'A_TO_B' THEN node_a_id ELSE node_b_id END AS source,
+CASE WHEN verdict = 'A_TO_B' THEN node_b_id ELSE node_a_id END AS target FROM norm n WHERE verdict IN ('A_TO_B', 'B_TO_A')"""), ("pro", """SELECT DISTINCT l.industry_id, s.parent_id AS source, l.target FROM l2s l JOIN nodes s ON s.industry_id = l.industry_id AND s.id = l.source
+UNION SELECT l.industry_id, l.source, t.parent_id FROM l2s l JOIN nodes t ON t.industry_id = l.industry_id AND t.id = l.target"""))
+
+
+@query("m20_reproject_checked", """SELECT m.industry_id, CASE WHEN m.industry_id LIKE 'med%' THEN 'stale' ELSE 'ready' END AS overlay_status, CASE WHEN m.industry_id LIKE 'med%' THEN 0 ELSE (SELECT count(*) FROM pro p WHERE p.industry_id = m.industry_id) END AS projected_edge_count,
+CASE WHEN m.industry_id LIKE 'med%' THEN 0 ELSE coalesce(b.n, 0) END AS error_count, m.industry_id NOT LIKE 'med%' AND b.n IS NULL AS written FROM manifest m LEFT JOIN bad b ON b.industry_id = m.industry_id""", D + ("manifest", "formal_nodes"), _AGAIN)
+def _(g):
+    before = formal(g)
+    clean = g("formal_nodes").withColumn("source_urls", F.when(F.size("source_urls") == 0, F.array(F.lit("https://basis.example.org/x"))).otherwise(F.col("source_urls")))
+    l2 = FL.materialize_edges(before.decisions, clean, AS_OF)
+    status = g("manifest").select(KEY, F.when(F.col(KEY).like("med%"), "stale").otherwise("ready").alias("overlay_status"))
+    return O.reproject_checked(before.decisions, l2, clean, g("formal_edges"), status, AS_OF)[1]
+
+
 @query("j24_projection_diff", """SELECT p.industry_id, p.id, CASE WHEN p.confidence < 0.65 THEN 'missing' ELSE 'changed' END AS state FROM projected p WHERE p.confidence < 0.65 OR p.confidence >= 0.8
 UNION ALL SELECT industry_id, id || '_extra', 'extra' FROM projected WHERE confidence < 0.65""", ("nodes", "l2_edges"), _PROJ)
 def _(g):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +42,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Slices:
+    """A table in the shared folder that grows by whole folders: what is written is never written again, and all of it is read as one table."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, join_path(work_dir(spark), f"{name}-{uuid.uuid4().hex}")
+        self.count, self.schema = 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes the rows as a new slice and reads them back."""
+        self.schema = self.schema or df.schema
+        path = join_path(self.path, f"slice={self.count}")
+        df.select(*self.schema.names).write.parquet(path)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import checkpointed, first_by, last_by
-from linkstrata.operators.hierarchy import aggregation_parents
+from linkstrata.functions.tables import Slices, checkpointed, first_by, join_path, last_by
+from linkstrata.operators.hierarchy import aggregation_parents, ancestor_paths
 from linkstrata.operators.standardize import drop_nodes, singleton_leaves
 
 KEY = "industry_id"
@@ -285,72 +286,81 @@ def listed_filter_stats(attachments: DataFrame, companies: DataFrame) -> DataFra
 
 
 # --- coverage curation ---------------------------------------------------------------
+def _contraction_tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with their roll-up parent (if it exists) and depth; ``bound`` marks members of a cycle, which never become leaves."""
+    parents = aggregation_parents(nodes, edges).join(nodes.select(KEY, F.col("id").alias("parent_id")).distinct(), [KEY, "parent_id"], "left_semi")
+    depth = ancestor_paths(parents.select(KEY, "id", "parent_id")).select(KEY, "id", F.size("path").alias("depth"))
+    rows = nodes.select(KEY, "id", "name", "level").join(parents, [KEY, "id"], "left").join(depth, [KEY, "id"], "left")
+    above = depth.select(KEY, F.col("id").alias("parent_id"), F.col("depth").alias("_above"))
+    return checkpointed(rows.join(above, [KEY, "parent_id"], "left").select(
+        KEY, "id", "name", "level", "parent_id", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce(F.col("_above") >= F.col("depth"), F.lit(False)).alias("bound")
+    ))
+
+
 def collapse_low_coverage(
     nodes: DataFrame, edges: DataFrame, attachments: DataFrame, companies: DataFrame, threshold: int = K.LOW_COVERAGE_THRESHOLD
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Fold thin leaves into their parents until none is left: (nodes, edges, attachments, removals).
 
-    A round removes every current non-root leaf with at most ``threshold`` distinct direct
-    companies; the number of rounds is bounded by the tree depth. Only the small parent table and
-    the pair table change per round, and leaf status never needs the whole graph.
+    A non-root leaf with at most ``threshold`` distinct direct companies is removed, its pairs go to its parent, and the parent may then be such a leaf. Whether
+    a node goes depends on what lies below it only, so the tree is contracted level by level, deepest first: the pairs of a level are its own and those moved
+    up to it, written once; what stays on a kept node is not touched again. ``round`` counts from the removal of the node's lowest descendants. Pairs that
+    meet on a node become one row (see :func:`merge_moved`), those of children that were removed earlier first.
     """
-    parents = aggregation_parents(nodes, edges)
-    tree = checkpointed(
-        nodes.select(KEY, "id", "name", "level").join(parents, [KEY, "id"], "left")
-        .join(nodes.select(KEY, F.col("id").alias("parent_id"), F.lit(True).alias("has_parent")), [KEY, "parent_id"], "left")
-        .select(KEY, "id", "name", "level", F.when(F.col("has_parent"), F.col("parent_id")).alias("parent_id"))
-    )
     extra = attachments
     for column in ("aggregation_source_node_id", "aggregation_reason"):
         if column not in extra.columns:
             extra = extra.withColumn(column, F.lit(None).cast("string"))
-    pairs = checkpointed(extra)
+    tree = _contraction_tree(nodes, edges)
     known = companies.select("company_id").distinct()
-    removed: DataFrame | None = None
-    round_no = 0
-    while True:
-        round_no += 1
+    own = Slices(nodes.sparkSession, "pairs")
+    depths = tree.select(KEY, F.col("id").alias("node_id"), "depth").distinct()
+    path = join_path(own.path, "by-depth")
+    extra.join(depths, [KEY, "node_id"], "left").write.partitionBy("depth").parquet(path)
+    placed = nodes.sparkSession.read.schema(T.StructType([*extra.schema.fields, T.StructField("depth", T.IntegerType())])).parquet(path)
+    settled, gone = Slices(nodes.sparkSession, "settled-pairs"), Slices(nodes.sparkSession, "removals")
+    settled.add(placed.filter("depth IS NULL").select(*extra.columns))
+    moved = held_up = last = None
+    for depth in range(int(tree.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]), -1, -1):
+        here, level = placed.filter(F.col("depth") == depth).select(*extra.columns), tree.filter(F.col("depth") == depth)
+        if moved is not None:
+            receiving = moved.select(KEY, "node_id").distinct()
+            mixed = here.join(receiving, [KEY, "node_id"], "left_semi").withColumn("_moved", F.lit(0)).unionByName(moved)
+            here = here.join(receiving, [KEY, "node_id"], "left_anti").unionByName(merge_moved(mixed).select(*extra.columns))
+        here = settled.add(here)
         counts = (
-            pairs.join(known, "company_id", "left_semi").select(KEY, F.col("node_id").alias("id"), "company_id").distinct()
+            here.join(known, "company_id", "left_semi").select(KEY, F.col("node_id").alias("id"), "company_id").distinct()
             .groupBy(KEY, "id").agg(F.count(F.lit(1)).alias("direct_company_count"))
         )
-        inner = tree.filter(F.col("parent_id").isNotNull()).select(KEY, F.col("parent_id").alias("id")).distinct()
-        thin = checkpointed(
-            tree.filter((F.col("level") > 0) & F.col("parent_id").isNotNull())
-            .join(inner, [KEY, "id"], "left_anti").join(counts, [KEY, "id"], "left")
-            .withColumn("direct_company_count", F.coalesce("direct_company_count", F.lit(0)).cast("bigint"))
+        leaves = level.filter((F.col("level") > 0) & F.col("parent_id").isNotNull() & ~F.col("bound"))
+        if held_up is not None:
+            leaves = leaves.join(held_up, [KEY, "id"], "left_anti")
+        below = last.groupBy(KEY, F.col("parent_id").alias("id")).agg(F.max("round").alias("_below")) if last is not None else None
+        leaves = leaves.join(below, [KEY, "id"], "left") if below is not None else leaves.withColumn("_below", F.lit(0))
+        last = gone.add(
+            leaves.join(counts, [KEY, "id"], "left").withColumn("direct_company_count", F.coalesce("direct_company_count", F.lit(0)).cast("bigint"))
             .filter(F.col("direct_company_count") <= threshold)
-            .select(KEY, "id", "name", "level", "parent_id", "direct_company_count", F.lit(round_no).alias("round"))
-        )
-        if thin.isEmpty():
-            break
-        removed = thin if removed is None else removed.unionByName(thin)
-        # only pairs on a removed node or on a receiving parent can change; the others pass through
-        route = thin.select(KEY, F.col("id").alias("node_id"), F.col("parent_id").alias("_to")).unionByName(
-            thin.select(KEY, F.col("parent_id").alias("node_id"), F.col("parent_id").alias("_to")).distinct()
+            .select(KEY, "id", "name", "level", "parent_id", "direct_company_count", (F.coalesce("_below", F.lit(0)) + 1).alias("round"))
         )
-        routed = pairs.join(route, [KEY, "node_id"], "left")
-        is_moved = F.col("_to") != F.col("node_id")
-        moved = routed.filter(F.col("_to").isNotNull()).select(
-            *[c for c in pairs.columns if c not in ("node_id", "aggregation_source_node_id", "aggregation_reason")],
-            F.when(is_moved, F.col("node_id")).otherwise(F.col("aggregation_source_node_id")).alias("aggregation_source_node_id"),
-            F.when(is_moved, F.lit(K.REASON_COLLAPSE % threshold)).otherwise(F.col("aggregation_reason")).alias("aggregation_reason"),
-            F.col("_to").alias("node_id"), is_moved.cast("int").alias("_moved"),
+        held_up = level.join(last, [KEY, "id"], "left_anti").select(KEY, F.col("parent_id").alias("id")).filter("id IS NOT NULL").distinct()
+        step = last.select(KEY, F.col("id").alias("node_id"), F.col("parent_id").alias("_to"), F.col("round").alias("_moved"))
+        moved = here.join(step, [KEY, "node_id"]).select(
+            *[c for c in extra.columns if c not in ("node_id", "aggregation_source_node_id", "aggregation_reason")],
+            F.col("node_id").alias("aggregation_source_node_id"), F.lit(K.REASON_COLLAPSE % threshold).alias("aggregation_reason"), F.col("_to").alias("node_id"), "_moved",
         )
-        still = routed.filter(F.col("_to").isNull()).select(*extra.columns)
-        pairs = checkpointed(still.unionByName(merge_moved(moved).select(*extra.columns)))
-        tree = checkpointed(tree.join(thin.select(KEY, "id"), [KEY, "id"], "left_anti").select(*tree.columns))
-    if removed is None:
-        return nodes, edges, extra, thin
+    removed = gone.rows()
+    if removed.isEmpty():
+        return nodes, edges, extra, removed
+    pairs = settled.rows().join(removed.select(KEY, F.col("id").alias("node_id")), [KEY, "node_id"], "left_anti")
     # a graph that lost a node has each pair once: the last of repeated rows on nodes that nothing was moved to
     touched = removed.select(KEY).distinct()
     pairs = last_by(pairs.join(touched, KEY, "left_semi"), [KEY, "company_id", "node_id"], ["pos"]).unionByName(pairs.join(touched, KEY, "left_anti"))
     kept, left = drop_nodes(nodes, edges, removed)
-    return kept.select(*nodes.columns), left.select(*edges.columns), pairs, removed
+    return kept.select(*nodes.columns), left.select(*edges.columns), pairs.select(*extra.columns), removed
 
 
 def merge_moved(moved: DataFrame) -> DataFrame:
-    """One row per (company, node): an unmoved row wins (the last of several), else the first moved one.
+    """One row per (company, node): an unmoved row (``_moved`` 0) wins, the last of several; else the first of those with the smallest ``_moved``.
 
     The row keeps the first position of its group. One aggregate with map-side combine.
     """

@@ -171,20 +171,49 @@ def evidence_table(basis: DataFrame, nodes: DataFrame, edges: DataFrame, as_of:
     )
 
 
-def item_evidence_urls(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Factored form of "every item carries every evidence url of its graph".
+_EVIDENCE_LISTS = (("source_urls", "url", "own_urls", "url_count"), ("evidence_ids", "evidence_id", "own_ids", "id_count"))
+
+
+def _shared(evidence: DataFrame) -> DataFrame:
+    """(industry_id, kind, value): what every item of a graph takes over. A graph without any url in its evidence takes over nothing."""
+    rows = evidence.select(KEY, F.coalesce("url", F.lit("")).alias("url"), F.coalesce("evidence_id", F.lit("")).alias("evidence_id"))
+    active = rows.filter("url <> ''").select(KEY).distinct()
+    each = rows.join(active, KEY, "left_semi").select(KEY, F.explode(F.map_from_arrays(F.array(F.lit("url"), F.lit("evidence_id")), F.array("url", "evidence_id"))).alias("kind", "value"))
+    return each.filter("value <> ''").distinct()
+
 
-    Each item keeps only its own urls (``own_urls``) plus the number of urls of the full union; the
-    shared part is the evidence table itself, so nothing is copied to every item.
+def item_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Factored form of "every item carries every evidence url and id of its graph", for nodes or edges.
+
+    An item keeps only what it has beyond the shared part (``own_urls``, ``own_ids``: sorted) and the sizes of the full unions (``url_count``,
+    ``id_count``); the shared part is the evidence table itself, so nothing is copied to every item. :func:`expand_evidence` gives the full lists of chosen items.
     """
-    shared = evidence.filter(F.coalesce("url", F.lit("")) != "").select(KEY, "url").distinct()
-    size = shared.groupBy(KEY).agg(F.count(F.lit(1)).alias("_shared"))
-    own = items.select(KEY, "id", F.explode("source_urls").alias("url")).distinct().join(shared, [KEY, "url"], "left_anti")
-    extra = own.groupBy(KEY, "id").agg(F.array_sort(F.collect_list("url")).alias("own_urls"))
-    return lookup(items.select(KEY, "id"), size, [KEY]).join(extra, [KEY, "id"], "left").select(
-        KEY, "id", F.coalesce("own_urls", F.array().cast("array<string>")).alias("own_urls"),
-        (F.coalesce("_shared", F.lit(0)) + F.greatest(F.coalesce(F.size("own_urls"), F.lit(0)), F.lit(0))).cast("bigint").alias("url_count"),
-    )
+    shared = checkpointed(_shared(evidence))
+    out = items.select(KEY, "id", *[name for name, *_ in _EVIDENCE_LISTS])
+    for column, kind, own_name, count_name in _EVIDENCE_LISTS:
+        values = shared.filter(F.col("kind") == kind).select(KEY, F.col("value").alias("v"))
+        size = values.groupBy(KEY).agg(F.count(F.lit(1)).alias("_shared"))
+        own = items.select(KEY, "id", F.explode(column).alias("v")).distinct().join(values, [KEY, "v"], "left_anti")
+        extra = own.groupBy(KEY, "id").agg(F.array_sort(F.collect_list("v")).alias(own_name))  # an item's own list
+        out = lookup(out, size, [KEY]).join(extra, [KEY, "id"], "left").withColumn(own_name, F.coalesce(own_name, F.array().cast("array<string>"))).withColumn(
+            count_name, (F.coalesce("_shared", F.lit(0)) + F.size(own_name)).cast("bigint")
+        ).drop("_shared")
+    return out.select(KEY, "id", *[c for _, _, *pair in _EVIDENCE_LISTS for c in pair])
+
+
+def expand_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(industry_id, id, kind, value) of the given items, with all that they share: as many rows as items times evidence, so ask for few items."""
+    shared = _shared(evidence)
+    parts = [items.select(KEY, "id", F.lit(kind).alias("kind"), F.explode(column).alias("value")) for column, kind, *_ in _EVIDENCE_LISTS]
+    given = items.select(KEY, "id").join(shared, KEY).select(KEY, "id", "kind", "value")
+    return parts[0].unionByName(parts[1]).unionByName(given).distinct()
+
+
+def item_evidence_urls(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The urls of :func:`item_evidence` alone; ``evidence`` needs no ids."""
+    rows = evidence if "evidence_id" in evidence.columns else evidence.withColumn("evidence_id", F.lit(""))
+    have = items if "evidence_ids" in items.columns else items.withColumn("evidence_ids", F.array().cast("array<string>"))
+    return item_evidence(have, rows).select(KEY, "id", "own_urls", "url_count")
 
 
 def duplicate_name_report(nodes: DataFrame) -> DataFrame:
@@ -541,56 +570,84 @@ def correct_taxonomy(
     return kept.select(*nodes.columns), left.select(*edges.columns), report
 
 
+def _inherited(items: DataFrame, home: DataFrame) -> DataFrame:
+    """Evidence of manual items: that of their template, which may be manual itself, or of the branch.
+
+    ``items``: key, template_key, rn, manual, source_urls, evidence_ids. A template counts only if it comes earlier. Pointers are doubled: an item that points
+    to a manual one points to what that one points to, until each points to a copy or to nothing.
+    """
+    keys = [KEY, "branch_id"]
+    at = items.select(*keys, F.col("key").alias("template_key"), F.col("rn").alias("_rn"), F.col("manual").alias("_open"))
+    step = items.filter("manual").join(at, [*keys, "template_key"], "left").select(
+        *keys, "key", F.when(F.col("_rn") < F.col("rn"), F.col("template_key")).alias("to"), F.coalesce(F.col("_open") & (F.col("_rn") < F.col("rn")), F.lit(False)).alias("open")
+    )
+    step = checkpointed(step)
+    while not step.filter("open").isEmpty():
+        onward = step.select(*keys, F.col("key").alias("to"), F.col("to").alias("_to"), F.col("open").alias("_open"))
+        moved = step.filter("open").join(onward, [*keys, "to"]).select(*keys, "key", F.col("_to").alias("to"), F.col("_open").alias("open"))
+        step = checkpointed(moved.unionByName(step.filter("NOT open")))
+    copies = items.filter("NOT manual").select(*keys, F.col("key").alias("to"), F.col("source_urls").alias("_u"), F.col("evidence_ids").alias("_e"))
+    branch = home.select(*keys, F.col("source_urls").alias("_bu"), F.col("evidence_ids").alias("_be"))
+    found = step.join(copies, [*keys, "to"], "left").join(branch, keys, "left")
+    return found.select(*keys, "key", F.coalesce("_u", "_bu").alias("_urls"), F.coalesce("_e", "_be").alias("_evidence"))
+
+
 def transplant(
     nodes: DataFrame, paths: DataFrame, plan: DataFrame, branches: DataFrame, manual: DataFrame, drops: DataFrame, as_of: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Copy old subtrees under new L1 branches: (nodes, contains edges).
-
-    ``plan``: industry_id, branch_id, step, old_id, start_level, whole (subtree with its top, or only the
-    children's subtrees). ``branches``: industry_id, branch_id, chain_position, chain_segment, source_urls,
-    evidence_ids. ``manual``: industry_id, branch_id, step, key, name, level, description, template_id (old id
-    whose evidence is inherited, blank = branch). Dropped ids cut their whole subtree. Ids are numbered per branch in
-    (step, walk) order; manual nodes hang under the branch or under the copy of ``template_id``'s node when
-    ``under_template`` is set.
+    """Copy old subtrees under new L1 branches and add manual nodes: (nodes, contains edges).
+
+    ``plan``: industry_id, branch_id, step, old_id, start_level, whole (subtree with its top, or only the children's subtrees), and parent_key if tops do not all
+    hang under the branch. ``branches``: industry_id, branch_id, chain_position, chain_segment, source_urls, evidence_ids. ``manual``: industry_id,
+    branch_id, step, key, name, level, description, parent_key, template_key. Keys of items are ``old:<old id>`` and ``manual:<key>``; a blank parent key
+    is the branch. Any item may hang under any other, manual or copied. A manual item has the evidence of its template, by default its parent, if
+    that comes earlier; else the branch's. Dropped ids cut their whole subtree. Ids are numbered per branch in (step, walk) order. An item
+    that is planned twice, or whose parent is not planned, is an error.
     """
     c = F.col
+    if "parent_key" not in plan.columns:
+        plan = plan.withColumn("parent_key", F.lit(""))
     tops = plan.select(KEY, c("old_id").alias("id")).distinct()
     walk = subtree(paths, tops).withColumnRenamed("top", "old_id")
     depth = closure(paths, nodes).select(KEY, "id", c("ancestor").alias("old_id"), "dist")
     cut = subtree(paths, drops.select(KEY, "id")).select(KEY, "id").distinct()
     listed = tree_listing(nodes, paths).select(KEY, "id", "sort_key")
     old = nodes.select(KEY, "id", "name", "parent_id", "description", "source_urls", "evidence_ids", "confidence")
+    first = F.when(c("whole"), 0).otherwise(1)
     copies = (
         walk.join(cut, [KEY, "id"], "left_anti").join(plan, [KEY, "old_id"]).join(depth, [KEY, "id", "old_id"])
         .filter(c("whole") | (c("dist") > 0))
         .join(listed, [KEY, "id"]).join(old, [KEY, "id"])
         .select(
             KEY, "branch_id", "step", F.array_join("sort_key", "/").alias("walk"), F.concat(F.lit("old:"), "id").alias("key"),
-            F.when(c("dist") == F.when(c("whole"), 0).otherwise(1), F.lit("")).otherwise(F.concat(F.lit("old:"), "parent_id")).alias("parent_key"),
-            (c("start_level") + c("dist") - F.when(c("whole"), 0).otherwise(1)).cast("int").alias("level"),
-            "name", "description", "source_urls", "evidence_ids", "confidence",
+            F.when(c("dist") == first, F.coalesce("parent_key", F.lit(""))).otherwise(F.concat(F.lit("old:"), "parent_id")).alias("parent_key"),
+            (c("start_level") + c("dist") - first).cast("int").alias("level"), "name", "description", "source_urls", "evidence_ids", "confidence",
+            F.lit(False).alias("manual"), F.lit("").alias("template_key"),
         )
     )
-    copies = checkpointed(copies)
-    again = copies.groupBy(KEY, "branch_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+    none = F.lit(None).cast("array<string>")
+    home = branches.select(KEY, "branch_id", "chain_position", "chain_segment", "source_urls", "evidence_ids")
+    extra = manual.join(home.select(KEY, "branch_id"), [KEY, "branch_id"], "left_semi").select(
+        KEY, "branch_id", "step", F.lit("").alias("walk"), F.concat(F.lit("manual:"), "key").alias("key"), F.coalesce("parent_key", F.lit("")).alias("parent_key"), "level", "name", "description",
+        none.alias("source_urls"), none.alias("evidence_ids"), F.lit(0.86).alias("confidence"), F.lit(True).alias("manual"), X.or_default(c("template_key"), c("parent_key"), F.lit("")).alias("template_key"),
+    )
+    ranked = checkpointed(numbered(copies.unionByName(extra), [KEY, "branch_id"], ["step", "walk", "key"], "rn"))
+    again = ranked.groupBy(KEY, "branch_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
     if again is not None:
         raise ValueError(f"{again['key']} of {again[KEY]} is planned twice for branch {again['branch_id']}")
-    template = nodes.select(KEY, c("id").alias("template_id"), c("source_urls").alias("_u"), c("evidence_ids").alias("_e"))
-    home = branches.select(KEY, "branch_id", "chain_position", "chain_segment", c("source_urls").alias("_bu"), c("evidence_ids").alias("_be"))
-    extra = manual.join(template, [KEY, "template_id"], "left").join(home, [KEY, "branch_id"]).select(
-        KEY, "branch_id", "step", F.lit("").alias("walk"), F.concat(F.lit("manual:"), "key").alias("key"),
-        F.when(c("under_template"), F.concat(F.lit("old:"), "template_id")).otherwise("").alias("parent_key"), "level", "name", "description",
-        F.coalesce("_u", "_bu").alias("source_urls"), F.coalesce("_e", "_be").alias("evidence_ids"), F.lit(0.86).alias("confidence"),
-    )
-    ranked = numbered(copies.unionByName(extra), [KEY, "branch_id"], ["step", "walk", "key"], "rn")
     number = c("rn").cast("string")
     new_id = F.concat("branch_id", F.lit("_"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
     ids = ranked.select(KEY, "branch_id", c("key").alias("parent_key"), new_id.alias("_pid"))
-    placed = (
-        ranked.withColumn("id", new_id).join(ids, [KEY, "branch_id", "parent_key"], "left")
+    given = _inherited(ranked, home)
+    placed = checkpointed(
+        ranked.withColumn("id", new_id).join(ids, [KEY, "branch_id", "parent_key"], "left").join(given, [KEY, "branch_id", "key"], "left")
         .join(home.select(KEY, "branch_id", "chain_position", "chain_segment"), [KEY, "branch_id"])
         .withColumn("parent_id", F.when(c("parent_key") == "", c("branch_id")).otherwise(c("_pid")))
+        .withColumn("source_urls", F.when(c("manual"), c("_urls")).otherwise(c("source_urls"))).withColumn("evidence_ids", F.when(c("manual"), c("_evidence")).otherwise(c("evidence_ids")))
     )
+    lost = placed.filter("parent_id IS NULL").select(KEY, "branch_id", "key", "parent_key").first()
+    if lost is not None:
+        raise ValueError(f"{lost['key']} of {lost[KEY]} hangs under {lost['parent_key']}, which is not planned for branch {lost['branch_id']}")
     out = placed.select(
         KEY, c("rn").alias("pos"), "branch_id", "id", "name", F.lit(K.NODE_TYPE_DETAIL).alias("node_type"),
         F.array(F.concat(F.lit("level_"), c("level").cast("string")), c("chain_position")).alias("tags"), "level", "chain_position",

@@ -11,14 +11,14 @@ from linkstrata.functions import text as X
 KEY = "industry_id"
 
 
-def _digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free multiset digest per graph: row count and sums over four 32-bit words of each row's sha256.
+def digest(rows: DataFrame, columns: list[str], key: str = KEY) -> DataFrame:
+    """Order-free multiset digest per graph (or other key): row count and sums over four 32-bit words of each row's sha256.
 
     Sums combine on the map side, so a huge graph never has its row hashes gathered in one place.
     """
     h = X.row_hash(*[F.col(c) for c in columns])
     words = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    return rows.select(KEY, *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy(KEY).agg(
+    return rows.select(key, *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy(key).agg(
         F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.sum(f"w{i}").cast("string") for i in range(4)]).alias("digest")
     )
 
@@ -28,18 +28,21 @@ def graph_fingerprint(graphs: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
     A canonical form of its own; ``pos`` takes part, so reordering changes the fingerprint.
     """
-    n = _digest(nodes, sorted(c for c in nodes.columns if c != KEY)).withColumnRenamed("digest", "_n")
-    e = _digest(edges, sorted(c for c in edges.columns if c != KEY)).withColumnRenamed("digest", "_e")
+    n = digest(nodes, sorted(c for c in nodes.columns if c != KEY)).withColumnRenamed("digest", "_n")
+    e = digest(edges, sorted(c for c in edges.columns if c != KEY)).withColumnRenamed("digest", "_e")
     return graphs.select(KEY, "schema_version").join(n, KEY, "left").join(e, KEY, "left").select(
         KEY, F.sha2(F.to_json(F.struct("schema_version", F.coalesce("_n", F.lit("")).alias("n"), F.coalesce("_e", F.lit("")).alias("e"))), 256).alias("graph_fingerprint")
     )
 
 
 def overlay_fingerprint(meta: DataFrame, l2_edges: DataFrame, projected: DataFrame) -> DataFrame:
-    """Fingerprint of a flow overlay, without its timestamps."""
-    cols = lambda df: sorted(c for c in df.columns if c not in (KEY, "updated_at"))
-    a = _digest(l2_edges, cols(l2_edges)).withColumnRenamed("digest", "_a")
-    b = _digest(projected, cols(projected)).withColumnRenamed("digest", "_b")
+    """(industry_id, overlay_fingerprint) of flow overlays: schema version, industry, graph fingerprint, and all of both edge lists, nested values included.
+
+    When the payload was generated does not count; where the edge tables have ``pos``, order does.
+    """
+    cols = lambda df: sorted(c for c in df.columns if c != KEY)
+    a = digest(l2_edges, cols(l2_edges)).withColumnRenamed("digest", "_a")
+    b = digest(projected, cols(projected)).withColumnRenamed("digest", "_b")
     return meta.select(KEY, "schema_version", "graph_fingerprint").join(a, KEY, "left").join(b, KEY, "left").select(
         KEY, F.sha2(F.to_json(F.struct("schema_version", KEY, "graph_fingerprint", F.coalesce("_a", F.lit("")).alias("a"), F.coalesce("_b", F.lit("")).alias("b"))), 256).alias("overlay_fingerprint")
     )
@@ -47,8 +50,8 @@ def overlay_fingerprint(meta: DataFrame, l2_edges: DataFrame, projected: DataFra
 
 def table_hash(df: DataFrame) -> DataFrame:
     """One row: content hash of a whole table (the source-file hash of a CSV that is a table here)."""
-    digest = _digest(df.select(F.lit("all").alias(KEY), *df.columns), sorted(df.columns))
-    return digest.select(F.sha2("digest", 256).alias("source_hash"))
+    whole = digest(df.select(F.lit("all").alias(KEY), *df.columns), sorted(df.columns))
+    return whole.select(F.sha2("digest", 256).alias("source_hash"))
 
 
 def overlay_status(
@@ -129,3 +132,12 @@ def upsert_graph(old_nodes: DataFrame, old_edges: DataFrame, nodes: DataFrame, e
         all_edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("edge_count")), KEY, "left"
     ).select(KEY, "node_count", F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
     return merged, all_edges, counts
+
+
+def industry_rows(industries: DataFrame, nodes: DataFrame, edges: DataFrame, status: str = "demo") -> DataFrame:
+    """Industry rows of an import (industry_id, name, node_count, edge_count, status): counts are those of the imported tables, dangling edges included."""
+    n = nodes.groupBy(KEY).agg(F.count(F.lit(1)).alias("node_count"))
+    e = edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("edge_count"))
+    return industries.select(KEY, "name").join(n, KEY, "left").join(e, KEY, "left").select(
+        KEY, "name", F.coalesce("node_count", F.lit(0)).alias("node_count"), F.coalesce("edge_count", F.lit(0)).alias("edge_count"), F.lit(status).alias("status")
+    )

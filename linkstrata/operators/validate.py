@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import checkpointed, first_by
+from linkstrata.functions.tables import Slices, checkpointed, first_by
+from linkstrata.operators.hierarchy import ancestor_paths, closure
 
 KEY = "industry_id"
 ERROR, WARNING = "error", "warning"
@@ -52,25 +53,34 @@ def _bad_confidence(c: Column) -> tuple[Column, Column]:
 
 
 # --- graph ---------------------------------------------------------------------------
+def _walked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(industry_id, depth) reached by a breadth-first walk from every root: each frontier is appended to the table of visited nodes, which no round writes again."""
+    visited = Slices(links.sparkSession, "walk")
+    front = visited.add(roots.select(KEY, F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        reached = front.join(links.withColumnRenamed("source", "id"), [KEY, "id"]).select(KEY, "root", F.col("target").alias("id")).distinct()
+        front = visited.add(reached.join(visited.rows().select(KEY, "root", "id"), [KEY, "root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+    return visited.rows().groupBy(KEY).agg(F.max("depth").alias("walked"))
+
+
 def contains_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest breadth-first distance from a root over contains edges, at least the deepest level."""
+    """Longest breadth-first distance from a root over contains edges, at least the deepest level.
+
+    Where every node has one contains parent, distances are places on its path of ancestors, found in log2(depth) joins; other graphs are walked.
+    """
     ids = nodes.select(KEY, "id").distinct()
-    links = (
+    links = checkpointed(
         edges.filter(F.col("relation_type") == K.CONTAINS).select(KEY, "source", "target").distinct()
         .join(ids.withColumnRenamed("id", "source"), [KEY, "source"], "left_semi")
         .join(ids.withColumnRenamed("id", "target"), [KEY, "target"], "left_semi")
     )
-    roots = nodes.filter(X.is_root(F.col("level"), F.col("chain_position"))).select(KEY, F.col("id").alias("root"), "id").distinct()
-    seen = front = checkpointed(roots)
-    links = checkpointed(links)
-    depth, reached = 0, roots.select(KEY, F.lit(0).alias("depth"))
-    while not front.isEmpty():
-        depth += 1
-        nxt = front.join(links.withColumnRenamed("source", "id"), [KEY, "id"]).select(KEY, "root", F.col("target").alias("id")).distinct()
-        front = checkpointed(nxt.join(seen, [KEY, "root", "id"], "left_anti"))
-        seen = checkpointed(seen.unionByName(front))
-        reached = reached.unionByName(front.select(KEY, F.lit(depth).alias("depth")).distinct())
-    deepest = reached.groupBy(KEY).agg(F.max("depth").alias("walked"))
+    roots = checkpointed(nodes.filter(X.is_root(F.col("level"), F.col("chain_position"))).select(KEY, "id").distinct())
+    several = checkpointed(links.groupBy(KEY, "target").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(KEY).distinct())
+    paths = ancestor_paths(links.join(several, KEY, "left_anti").select(KEY, F.col("target").alias("id"), F.col("source").alias("parent_id")))
+    on_path = closure(paths).join(roots.withColumnRenamed("id", "ancestor"), [KEY, "ancestor"], "left_semi").groupBy(KEY).agg(F.max("dist").alias("walked"))
+    deepest = on_path.unionByName(_walked(roots.join(several, KEY, "left_semi"), links.join(several, KEY, "left_semi")))
     level = nodes.groupBy(KEY).agg(F.max(F.coalesce("level", F.lit(0))).alias("level"))
     return level.join(deepest, KEY, "left").select(
         KEY, F.greatest(F.lit(0), F.coalesce("walked", F.lit(0)), F.col("level")).alias("max_contains_depth")

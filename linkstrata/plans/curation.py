@@ -61,11 +61,25 @@ def final_validation(
     return Validated(n2, e2, issues, report, evidence, guardrails, review, merge.review_status(review, graphs))
 
 
-def merge_candidate(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, as_of: str):
-    """Standardized graph with shared evidence (factored), duplicate names and relation conflicts."""
+@dataclass
+class Candidate:
+    nodes: DataFrame
+    edges: DataFrame
+    node_evidence: DataFrame  # factored lists, see merge.item_evidence
+    edge_evidence: DataFrame
+    duplicates: DataFrame
+    conflicts: DataFrame
+
+
+def merge_candidate(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, as_of: str) -> Candidate:
+    """Standardized graphs whose nodes and edges share all evidence of their graph, with duplicate names and relation conflicts.
+
+    Of several relation types between two nodes the first stays. Evidence lists are factored; ``merge.expand_evidence`` gives the full lists of chosen items.
+    """
     n, e = (checkpointed(t) for t in standardize_graph(graphs, nodes, edges, as_of))
     kept, conflicts = merge.relation_conflicts(e)
-    return n, kept, merge.item_evidence_urls(n, evidence), merge.duplicate_name_report(n), conflicts
+    kept = checkpointed(kept)
+    return Candidate(n, kept, merge.item_evidence(n, evidence), merge.item_evidence(kept, evidence), merge.duplicate_name_report(n), conflicts)
 
 
 def standardize_staged(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:

@@ -106,6 +106,20 @@ def overlay_issues(decisions: DataFrame, l2: DataFrame, projected: DataFrame, no
     )
 
 
+def reproject_checked(
+    decisions: DataFrame, l2_edges: DataFrame, nodes: DataFrame, edges: DataFrame, status: DataFrame, as_of: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`reproject`, then the flow rules over what is ready: (projected edges, outcome with ``error_count`` and ``written``, issues). Overlays with errors are not written."""
+    projected, outcome = reproject(l2_edges, nodes, status, as_of)
+    ready = outcome.filter("overlay_status = 'ready'").select(KEY)
+    keep = lambda df: df.join(ready, KEY, "left_semi")
+    issues = checkpointed(overlay_issues(keep(decisions), keep(l2_edges), projected, keep(nodes), keep(edges), ready, as_of))
+    errors = issues.filter("severity = 'error'").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    checked = outcome.join(errors, KEY, "left").withColumn("error_count", F.coalesce("n", F.lit(0))).withColumn(
+        "written", (F.col("overlay_status") == "ready") & (F.col("error_count") == 0)).drop("n")
+    return projected.join(checked.filter("written").select(KEY), KEY, "left_semi"), checked, issues
+
+
 def reproject(l2_edges: DataFrame, nodes: DataFrame, status: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """Rebuild projections of overlays that are ready: (projected edges, outcome per industry of ``status``).
 
@@ -128,13 +142,18 @@ class Reconciled:
     projected: DataFrame
     cache: DataFrame
     issues: DataFrame
+    company_issues: DataFrame
+    outcome: DataFrame  # industry_id, outcome: company_rules_failed (the company overlay stays as it was, and nothing is written after it), flow_rules_failed, reconciled
 
 
 def reconcile(
     nodes: DataFrame, edges: DataFrame, legacy_paths: DataFrame, attachments: DataFrame, pairs: DataFrame, decisions: DataFrame,
-    cache: DataFrame, industries: DataFrame, as_of: str,
+    cache: DataFrame, industries: DataFrame, as_of: str, master: DataFrame, selected: DataFrame,
 ) -> Reconciled:
-    """Carry both overlays over to a cleaned-up graph."""
+    """Carry both overlays over to a cleaned-up graph, and check both there.
+
+    ``selected``: companies by industry that the scope selects; their exact matches must still be covered.
+    """
     moved = checkpointed(C.remap_to_survivors(attachments, nodes, legacy_paths))
     counts = moved.groupBy(KEY).agg(
         F.count_if(F.col("outcome") != "dropped").alias("retained"), F.count_if(F.col("outcome") == "dropped").alias("removed"),
@@ -144,5 +163,12 @@ def reconcile(
     catalog = checkpointed(flow.l2_catalog(nodes, ancestor_paths(tree_parents(nodes))))
     kept_pairs, kept_decisions = flow.retained_pairs(pairs, decisions, catalog)
     normalized, l2, projected = build_overlay(kept_pairs, kept_decisions, nodes, as_of)
-    issues = overlay_issues(normalized, l2, projected, nodes, edges, industries, as_of)
-    return Reconciled(kept, counts, kept_pairs, normalized, l2, projected, flow.prune_by_l2(cache, nodes), issues)
+    issues = checkpointed(overlay_issues(normalized, l2, projected, nodes, edges, industries, as_of))
+    above = closure(ancestor_paths(aggregation_parents(nodes, edges)))
+    required = C.taxonomy_matches(nodes, C.listed_companies(master), selected)
+    company = checkpointed(validate.attachment_issues(kept, C.payload_companies(kept, master), master, nodes, above, required))
+    wrong = lambda df, name: df.filter("severity = 'error'").select(KEY, F.lit(name).alias(name)).distinct()
+    outcome = industries.select(KEY).join(wrong(company, "company"), KEY, "left").join(wrong(issues, "flow"), KEY, "left").select(
+        KEY, F.when(F.col("company").isNotNull(), "company_rules_failed").when(F.col("flow").isNotNull(), "flow_rules_failed").otherwise("reconciled").alias("outcome")
+    )
+    return Reconciled(kept, counts, kept_pairs, normalized, l2, projected, flow.prune_by_l2(cache, nodes), issues, company, outcome)

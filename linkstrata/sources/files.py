@@ -12,6 +12,7 @@ from linkstrata.functions import text as X
 from linkstrata.functions.tables import checkpointed, empty_like, path_exists
 from linkstrata.operators.companies import company_master, taxonomy_paths
 from linkstrata.sources import schemas as S
+from linkstrata.sources.delimited import read_delimited
 
 KEY = "industry_id"
 
@@ -75,18 +76,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 # --- CSV -------------------------------------------------------------------------------------
-def read_company_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Raw candidate rows with ``pos``. Files without a ``pos`` column are ordered by file offset of
-    their lines, which Spark keeps within a file as (file name, block start, row in block)."""
-    df = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
-    if "pos" in df.columns:
-        return df.withColumn("pos", F.col("pos").cast("bigint"))
-    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return df.withColumn("pos", order)
+def read_company_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Raw candidate rows with ``pos``, from CSV files in UTF-8, GB18030 or GBK (see :func:`read_delimited`)."""
+    return read_delimited(spark, path)
 
 
-def read_companies(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    return company_master(read_company_rows(spark, path, encoding))
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    return company_master(read_company_rows(spark, path))
 
 
 def check_taxonomy_columns(columns: Sequence[str]) -> None:

@@ -148,7 +148,7 @@ def test_transplant_refuses_a_subtree_planned_twice(spark):
     paths = HI.ancestor_paths(HI.tree_parents(n))
     plan = "industry_id string, branch_id string, step int, old_id string, start_level int, whole boolean"
     branches = spark.createDataFrame([("t", "x", "support", "s", [], [])], "industry_id string, branch_id string, chain_position string, chain_segment string, source_urls array<string>, evidence_ids array<string>")
-    manual = spark.createDataFrame([], "industry_id string, branch_id string, step int, key string, name string, level int, description string, template_id string, under_template boolean")
+    manual = spark.createDataFrame([], "industry_id string, branch_id string, step int, key string, name string, level int, description string, parent_key string, template_key string")
     drops = spark.createDataFrame([], "industry_id string, id string")
     once = M.transplant(n, paths, spark.createDataFrame([("t", "x", 1, "a", 2, True)], plan), branches, manual, drops, "2024-06-01")[0]
     assert S.rows(once, "id", "parent_id", "name") == [("x_001", "x", "a"), ("x_002", "x_001", "b")]

@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 
 import pytest
 
@@ -11,6 +14,7 @@ from linkstrata.plans.delivery import HEADERS, delivery_tables, write_bundle
 from linkstrata.operators import hierarchy as HI
 from linkstrata.sources import files as FI
 from linkstrata.sources import schemas as SC
+from linkstrata.sources.delimited import file_fingerprints, read_delimited, write_delimited
 
 
 def test_graph_documents(spark, tmp_path):
@@ -117,3 +121,57 @@ def test_upsert_keeps_old_values_where_new_are_null(spark):
     old = spark.createDataFrame([("t", "a", "A", 1), ("t", "b", "B", 2)], "industry_id string, id string, name string, level int")
     new = spark.createDataFrame([("t", "a", "A2", None), ("t", "c", "C", 3)], "industry_id string, id string, name string, level int")
     assert S.rows(P.upsert(old, new, ["industry_id", "id"]), "id", "name", "level") == [("a", "A2", 1), ("b", "B", 2), ("c", "C", 3)]
+
+
+CSV_FILES = {
+    "a_sig.csv": ("utf-8-sig", "comcode,chiname,islisted\n1,\"甲 \"\"一\"\"\n公司\",1\n\n2,乙,\n"), "b_plain.csv": ("utf-8", "chiname,comcode\r\n丙,3\r\n\"丁\r\n,\",4\r\n"),
+    "c_gb.csv": ("gb18030", "comcode,chiname,islisted\n5,戊㐀,0\n1,again,1\n6,\"己\n\n\n\",y"), "d_gbk.csv": ("gbk", "comcode,chiname,indunamesw\n7,庚\n8,\"辛\",白酒,more\n"), "e_empty.csv": ("utf-8", ""), "f_head.csv": ("utf-8", "comcode,chiname\n"),
+}
+
+
+def test_csv_of_all_charsets_at_once(spark, tmp_path):
+    import csv as plain_csv
+
+    for name, (charset, text) in CSV_FILES.items():
+        (tmp_path / name).write_bytes(text.encode(charset))
+    got = read_delimited(spark, str(tmp_path)).orderBy("pos").collect()
+    want = []
+    for name in sorted(CSV_FILES):
+        want += [r for r in plain_csv.DictReader(io.StringIO(CSV_FILES[name][1], newline=""))]
+    assert [(r["comcode"], r["chiname"], r["islisted"] or "", r["indunamesw"] or "") for r in got] == [(w["comcode"], w["chiname"], w.get("islisted") or "", w.get("indunamesw") or "") for w in want]
+    assert {r["comcode"]: r["name"] for r in FI.read_companies(spark, str(tmp_path)).collect()}["1"] == '甲 "一"\n公司'
+    (tmp_path / "g_torn.csv").write_bytes(b"comcode,chiname\n1,\xff\xff\n")
+    with pytest.raises(Exception, match="neither UTF-8 nor GB18030"):
+        read_delimited(spark, str(tmp_path)).collect()
+
+
+def test_records_over_many_splits(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [[str(i), "".join(rng.choice(["a", "\n", '"', ",", "\r\n", "公"]) for _ in range(rng.randint(0, 12)))] for i in range(3000)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["comcode", "chiname"], *rows])
+    (tmp_path / "big.csv").write_bytes(out.getvalue().encode("gb18030"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = read_delimited(spark, str(tmp_path)).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [[r["comcode"], r["chiname"] or ""] for r in got] == rows
+    df = spark.createDataFrame([tuple(r) for r in rows], "comcode string, chiname string").repartition(3)
+    write_delimited(df, str(tmp_path / "written"), "utf-8-sig")
+    back = read_delimited(spark, str(tmp_path / "written"))
+    assert sorted((r["comcode"], r["chiname"] or "") for r in back.collect()) == sorted(map(tuple, rows))
+
+
+def test_file_fingerprints(spark, tmp_path):
+    texts = {"a": b"x\ny\nz\xff", "same": b"x\ny\nz\xff", "order": b"y\nx\nz\xff", "end": b"x\ny\nz\xff\n", "carriage": b"x\r\ny\nz\xff", "twice": b"x\ny\ny\nz\xff"}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "long").write_bytes(b"line\n" * 5000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        cut = {r["file"].rsplit("/", 1)[1]: r["fingerprint"] for r in file_fingerprints(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r["file"].rsplit("/", 1)[1]: r["fingerprint"] for r in file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == cut and got["a"] == got["same"] and len(set(got.values())) == len(texts)
