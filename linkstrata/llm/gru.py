@@ -41,9 +41,10 @@ class Layout:
 
 @dataclass(frozen=True)
 class Settings:
-    hidden: int = 24
+    hidden: int = 16
     lanes: int = 384
     window: int = 24
+    segment: int = 2048
     rate: float = 0.01
     row_rate: float = 0.05
     clip: float = 1.0
@@ -141,14 +142,15 @@ def lanes_of(texts: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray
     return tokens, owners
 
 
-def score_texts(p: dict, layout: Layout, texts: list[np.ndarray], most_lanes: int = 512, window: int = 64) -> np.ndarray:
-    """Natural log probability of each whole text; the state is carried from window to window."""
+def score_texts(p: dict, layout: Layout, texts: list[np.ndarray], most_lanes: int = 512, batch: int = 1 << 15) -> np.ndarray:
+    """Natural log probability of each whole text; the state is carried from window to window. A window has about ``batch`` tokens."""
     found = np.zeros(len(texts))
     if not texts:
         return found
     class_of = layout.class_of()
     tokens, owners = lanes_of(texts, most_lanes)
     h = np.zeros((tokens.shape[1], p["candidate"].shape[0]), dtype=np.float32)
+    window = max(1, batch // tokens.shape[1])
     for at in range(0, len(tokens), window):
         part, owner = tokens[at:at + window], owners[at:at + window].ravel()
         before, h, _ = _steps(p, h, part)
@@ -221,31 +223,51 @@ def _backward(p: dict, layout: Layout, h: np.ndarray, part: np.ndarray, class_of
     return g, after
 
 
-def fit(p: dict, layout: Layout, texts: list[np.ndarray], s: Settings) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation over the texts; returns new parameters."""
-    p = {k: v.copy() for k, v in p.items()}
-    if not texts:
-        return p
-    class_of = layout.class_of()
-    tokens, _ = lanes_of(texts, s.lanes)
-    h = np.zeros((tokens.shape[1], s.hidden), dtype=np.float32)
-    whole = [k for k in p if k not in ROWS]
-    mean, square = {k: np.zeros_like(p[k]) for k in whole}, {k: np.zeros_like(p[k]) for k in whole}
-    sums = {k: np.full(len(p[k]), 1e-10, dtype=np.float32) for k in ROWS}
-
-    def on_rows(key: str, rows, values: np.ndarray) -> None:
-        sums[key][rows] += values * values if values.ndim == 1 else np.einsum("ij,ij->i", values, values) / values.shape[1]
-        step = np.float32(s.row_rate) / np.sqrt(sums[key][rows])
+class Trainer:
+    """Truncated backpropagation over one batch of texts after another; parameters and optimizer state go on from batch to batch.
+
+    Texts are cut into segments for this, so that a few long ones cannot leave the other lanes idle; every token is learned from. A window has about
+    ``lanes * window`` tokens, also where there are fewer lanes.
+    """
+
+    def __init__(self, p: dict, layout: Layout, s: Settings):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.layout, self.settings, self.class_of = layout, s, layout.class_of()
+        self.whole = [k for k in p if k not in ROWS]
+        self.mean, self.square = {k: np.zeros_like(p[k]) for k in self.whole}, {k: np.zeros_like(p[k]) for k in self.whole}
+        self.sums = {k: np.full(len(p[k]), 1e-10, dtype=np.float32) for k in ROWS}
+        self.steps = self.tokens = 0
+
+    def _on_rows(self, key: str, rows, values: np.ndarray) -> None:
+        sums = self.sums[key]
+        sums[rows] += values * values if values.ndim == 1 else np.einsum("ij,ij->i", values, values) / values.shape[1]
+        step = np.float32(self.settings.row_rate) / np.sqrt(sums[rows])
         values *= step if values.ndim == 1 else step[:, None]
-        p[key][rows] -= values
-
-    for step, at in enumerate(range(0, len(tokens), s.window), 1):
-        g, h = _backward(p, layout, h, tokens[at:at + s.window], class_of, on_rows)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        shrink = np.float32(min(1.0, s.clip / norm) if norm else 1.0)
-        for k in whole:
-            v = g[k] * shrink
-            mean[k] += 0.1 * (v - mean[k])
-            square[k] += 0.001 * (v * v - square[k])
-            p[k] -= s.rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
-    return p
+        self.p[key][rows] -= values
+
+    def learn(self, texts: list[np.ndarray]) -> None:
+        s, p = self.settings, self.p
+        pieces = [t[i:i + s.segment] for t in texts for i in range(0, len(t), s.segment)]
+        if not pieces:
+            return
+        tokens, _ = lanes_of(pieces, s.lanes)
+        self.tokens += sum(map(len, texts))
+        window = max(s.window, s.lanes * s.window // tokens.shape[1])
+        h = np.zeros((tokens.shape[1], s.hidden), dtype=np.float32)
+        for at in range(0, len(tokens), window):
+            self.steps += 1
+            g, h = _backward(p, self.layout, h, tokens[at:at + window], self.class_of, self._on_rows)
+            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            shrink = np.float32(min(1.0, s.clip / norm) if norm else 1.0)
+            for k in self.whole:
+                v, mean, square = g[k] * shrink, self.mean[k], self.square[k]
+                mean += 0.1 * (v - mean)
+                square += 0.001 * (v * v - square)
+                p[k] -= s.rate * (mean / (1 - 0.9 ** self.steps)) / (np.sqrt(square / (1 - 0.999 ** self.steps)) + 1e-8)
+
+
+def fit(p: dict, layout: Layout, texts: list[np.ndarray], s: Settings) -> dict[str, np.ndarray]:
+    """One pass over the texts; returns new parameters."""
+    trainer = Trainer(p, layout, s)
+    trainer.learn(texts)
+    return trainer.p

@@ -18,14 +18,15 @@ from linkstrata.llm import gru
 from linkstrata.llm.common import share, snippet, stage
 
 END = b""
-KNOWN_SHARE = 1 << 19
+KNOWN_SHARE = 1 << 17
 LEAST_COUNT = 2
 SPELLING = 64
 COUNTED = 200_000
 CHUNK_TOKENS = 3_000_000
-SHARD_TOKENS = 4_000_000
+STORED_TOKENS = 1_000_000
 ROUNDS = 3
-PIECE = 1 << 16
+PIECE = 1 << 14
+AVERAGED = 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -64,7 +65,7 @@ def word_counts(evidence: DataFrame) -> DataFrame:
 class Lexicon:
     """Known words: token number, log10(count + 1) and the fixed part of the score of each.
 
-    ``known`` are words with at least 1/KNOWN_SHARE of all tokens, so at most KNOWN_SHARE of them. Those seen LEAST_COUNT times have an
+    ``known`` are words with at least a given share of all tokens, so that their number is bounded. Those seen LEAST_COUNT times have an
     embedding and a learned place in a class; classes are about as many as the root of these words, with about equal shares of the tokens. A rarer word has the probability (count + 1) / (tokens + words + 1) within its spelling class, where an unseen word
     counts as one more word of the class, never seen.
     """
@@ -120,49 +121,105 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return {key: part.reshape(value.shape) for part, (key, value) in zip(parts, like.items())}
 
 
-def training_rounds(evidence: DataFrame, total: int) -> list[DataFrame]:
-    """``shard``, ``turn``, ``snippet`` of all rows given, dealt to shards of about SHARD_TOKENS tokens and these to at most ROUNDS rounds; every row is in one."""
-    shards = max(1, math.ceil(total / SHARD_TOKENS))
-    identity = F.xxhash64(F.lit("lm"), F.col("evidence_id").cast("string"), snippet())
-    rows = evidence.select(F.pmod(identity, F.lit(shards)).cast("int").alias("shard"), F.xxhash64("evidence_id", snippet()).alias("turn"), snippet().alias("snippet"))
-    rounds = min(ROUNDS, shards)
-    return [rows.filter(F.col("shard") % rounds == i) for i in range(rounds)]
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, sizes = column.flatten().to_numpy().astype(np.int64), np.diff(column.offsets.to_numpy())
+    return np.split(values, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def train_model(evidence: DataFrame, lexicon, total: int, settings: gru.Settings) -> dict[str, np.ndarray]:
-    """Learns the recurrent model from all rows given, at every size of input.
+def encode_snippets(rows: DataFrame, lexicon) -> DataFrame:
+    """Every row as token numbers, once for training and scoring.
 
-    Tasks go through shards in parallel; each round has other shards, so that one pass over the rows is made. After each
-    round the shards' parameters are averaged in Spark, piece by piece, so that the driver gets one set of them.
+    Adds to ``evidence_id`` and ``held_out``: ``row`` (unique), ``tokens``, ``seen`` (tokens of the lexicon that training has seen), ``logs`` (their summed log10(count + 1)),
+    ``fixed`` (fixed part of the score) and ``others`` (words that are not in the lexicon).
     """
-    spark = evidence.sparkSession
-    lex = lexicon.value
-    p = gru.start(lex.layout, lex.class_bias, lex.word_bias, settings)
-    if not total:
-        return p
-    for rows in training_rounds(evidence, total):
+    kind = rows.schema["evidence_id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, base = lexicon.value, TaskContext.get().partitionId() << 33
+        done, held, size = 0, [], 0
+
+        def drained(id_type) -> pa.RecordBatch:
+            nonlocal done, held, size
+            offsets = np.concatenate([[0], np.cumsum([len(h[2][0]) for h in held])]).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([
+                pa.array([base | done + i for i in range(len(held))], pa.int64()), pa.array([h[0] for h in held], id_type), pa.array([h[1] for h in held], pa.bool_()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([h[2][0] for h in held]).astype(np.int32))),
+                *[pa.array([h[2][i] for h in held], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.list_(pa.binary())))],
+            ], names=["row", "evidence_id", "held_out", "tokens", "seen", "logs", "fixed", "others"])
+            done += len(held)
+            held, size = [], 0
+            return out
+
+        for batch in batches:
+            for identifier, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held.append((identifier, out, lex.read(text.as_py())))
+                size += len(held[-1][2][0])
+                if size >= STORED_TOKENS:
+                    yield drained(batch.schema.field(0).type)
+            if held:
+                yield drained(batch.schema.field(0).type)
+
+    wanted = rows.select("evidence_id", "held_out", snippet().alias("snippet"))
+    return wanted.mapInArrow(encode, f"row bigint, evidence_id {kind}, held_out boolean, tokens array<int>, seen bigint, logs double, fixed double, others array<binary>")
+
+
+def training_rounds(encoded: DataFrame) -> list[DataFrame]:
+    """Tokens of all rows that are not held out, dealt by a hash to ROUNDS rounds; every row is in one."""
+    return [encoded.filter(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == i)).select("tokens") for i in range(ROUNDS)]
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One long array cut into parameters of the shapes of ``like``."""
+    parts = np.split(flat.astype(np.float32), np.cumsum([v.size for v in like.values()])[:-1])
+    return {key: part.reshape(value.shape) for part, (key, value) in zip(parts, like.items())}
+
+
+def train_model(encoded: DataFrame, lexicon, settings: gru.Settings) -> dict[str, np.ndarray]:
+    """Learns the recurrent model from all rows that are not held out, at every size of input.
+
+    Every round goes once over its share of the rows: each task learns from its partition of the stored tokens, batch by batch, and the tasks'
+    parameters are averaged in Spark by the tokens that they saw, piece by piece and in two steps, so that the driver gets one set of them.
+    """
+    spark = encoded.sparkSession
+    p = gru.start(lexicon.value.layout, lexicon.value.class_bias, lexicon.value.word_bias, settings)
+    for rows in training_rounds(encoded):
         state = spark.sparkContext.broadcast(p)
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            texts = [lexicon.value.read(t)[0] for t in frame.sort_values("turn", kind="stable")["snippet"]]
-            learned = gru.fit(state.value, lexicon.value.layout, texts, settings)
-            values = np.concatenate([v.ravel() for v in learned.values()])
-            pieces = [values[i:i + PIECE].tobytes() for i in range(0, len(values), PIECE)]
-            return pd.DataFrame({"piece": np.arange(len(pieces)), "shard": int(frame["shard"].iloc[0]), "value": pieces})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trainer = gru.Trainer(state.value, lexicon.value.layout, settings)
+            held, size = [], 0
+            for batch in batches:
+                held += _lists(batch.column(0))
+                size += len(batch.column(0).flatten())
+                if size >= CHUNK_TOKENS:
+                    trainer.learn(held)
+                    held, size = [], 0
+            trainer.learn(held)
+            if trainer.tokens:
+                values = np.concatenate([v.ravel() for v in trainer.p.values()])
+                pieces = [values[i:i + PIECE].tobytes() for i in range(0, len(values), PIECE)]
+                n, task = len(pieces), TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int64()), pa.array([trainer.tokens] * n, pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "task", "weight", "value"],
+                )
 
         def average(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(v, dtype=np.float32).astype(np.float64) for v in frame.sort_values("shard")["value"])
-            return pd.DataFrame({"piece": frame["piece"].iloc[:1], "value": [(total / len(frame)).astype(np.float32).tobytes()]})
-
-        learned = rows.groupBy("shard").applyInPandas(run, "piece int, shard int, value binary")
-        found = learned.groupBy("piece").applyInPandas(average, "piece int, value binary").toPandas()  # as large as one model
+            frame = frame.sort_values("task")
+            total = sum(w * np.frombuffer(v, dtype=np.float32).astype(np.float64) for v, w in zip(frame["value"], frame["weight"]))
+            weight = int(frame["weight"].sum())
+            return pd.DataFrame({"piece": frame["piece"].iloc[:1].to_numpy(), "task": [int(frame["task"].iloc[0]) // AVERAGED], "weight": [weight], "value": [(total / weight).astype(np.float32).tobytes()]})
+
+        schema = "piece int, task bigint, weight bigint, value binary"
+        learned = rows.mapInArrow(run, schema)
+        some = learned.groupBy("piece", F.floor(F.col("task") / AVERAGED)).applyInPandas(average, schema)
+        found = some.groupBy("piece").applyInPandas(average, schema).select("piece", "value").toPandas()  # as large as one model
         if len(found):
             p = _shaped(np.frombuffer(b"".join(found.sort_values("piece")["value"]), dtype=np.float32), p)
         state.unpersist()
     return p
 
 
-def score_snippets(evidence: DataFrame, folds: int = 7, held_out_fold: int = 2, settings: gru.Settings = gru.Settings()) -> DataFrame:
+def score_snippets(evidence: DataFrame, folds: int = 7, held_out_fold: int = 2, settings: gru.Settings = gru.Settings(), known_share: int = KNOWN_SHARE) -> DataFrame:
     """Log10 probability of every whole snippet by a gated recurrent language model, and by word frequencies for comparison.
 
     Reads ``evidence_id`` and ``snippet``. Rows whose crc32 of the id modulo ``folds`` is ``held_out_fold`` are not learned from. Tokens are words
@@ -170,64 +227,52 @@ def score_snippets(evidence: DataFrame, folds: int = 7, held_out_fold: int = 2,
     training), ``train_tokens`` (N), ``base_score``: sum of log10((c+1)/(N+V+1)) with a token's count c and V distinct training tokens, and
     ``score``: the model's log10 probability of the tokens.
 
-    Word counts are taken over all training rows. Words with less than 1/524288 of the tokens are not sent to tasks; their counts
+    Word counts are taken over all training rows. Words with less than 1/``known_share`` of the tokens are not sent to tasks; their counts
     are joined, and since each has so few tokens no key of that join is hot. The recurrent weights learn from all training rows, each
-    seen once (see ``train_model``). Null and empty snippets are the end alone. Null ids are in the fold of the empty text. Repeated rows are scored
-    each. Snippets of any length are scored whole. An empty table gives an empty result.
+    seen once (see ``train_model``); texts are read twice, to count and to number their words. Null and empty snippets are the end alone. Null ids are in
+    the fold of the empty text. Repeated rows are scored each. Snippets of any length are scored whole. An empty table gives an empty result.
     """
     spark = evidence.sparkSession
-    training = evidence.filter(share("evidence_id", folds) != held_out_fold).select("evidence_id", "snippet")
-    counts = stage(word_counts(training), "word-counts", compression="zstd")
+    rows = evidence.select("evidence_id", (share("evidence_id", folds) == held_out_fold).alias("held_out"), "snippet")
+    counts = stage(word_counts(rows.filter("NOT held_out")), "word-counts", compression="zstd")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    is_known = (F.col("n") * KNOWN_SHARE >= total) | (F.length("word") == 0)
-    known = [(bytes(r["word"]), r["spelling"], r["n"]) for r in counts.filter(is_known).collect()]  # at most KNOWN_SHARE + 1 rows
+    is_known = (F.col("n") * known_share >= total) | (F.length("word") == 0)
+    known = [(bytes(r["word"]), r["spelling"], r["n"]) for r in counts.filter(is_known).collect()]  # at most known_share + 1 rows
     rarer = counts.filter((~is_known | (F.col("n") < LEAST_COUNT)) & (F.length("word") > 0))
     classes = {r["spelling"]: (r["n"], r["v"]) for r in rarer.groupBy("spelling").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     lexicon = spark.sparkContext.broadcast(Lexicon(sorted(known), classes, total))
-    model = spark.sparkContext.broadcast(train_model(training, lexicon, total, settings))
-    rows = evidence.select("evidence_id", (share("evidence_id", folds) == held_out_fold).alias("held_out"), snippet().alias("snippet"))
-    kind = rows.schema["evidence_id"].dataType.simpleString()
+    encoded = stage(encode_snippets(rows, lexicon), "lm-tokens", compression="zstd")
+    model = spark.sparkContext.broadcast(train_model(encoded, lexicon, settings))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, base = lexicon.value, TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-        tokens, done = 0, 0
+        layout = lexicon.value.layout
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        def drained(id_type) -> pa.RecordBatch:
-            nonlocal held, tokens, done
-            texts = [h[2][0] for h in held]
-            logs = gru.score_texts(model.value, lex.layout, texts)
-            columns = (
-                pa.array([base | done + i for i in range(len(held))], pa.int64()), pa.array([h[0] for h in held], id_type), pa.array([h[1] for h in held], pa.bool_()),
-                pa.array([len(t) for t in texts], pa.int64()), pa.array([h[2][1] for h in held], pa.int64()), pa.array([h[2][2] for h in held], pa.float64()),
-                pa.array([(log + h[2][3]) / math.log(10) for log, h in zip(logs, held)], pa.float64()), pa.array([h[2][4] for h in held], pa.list_(pa.binary())),
-            )
-            done += len(held)
-            held, tokens = [], 0
-            return pa.RecordBatch.from_arrays(list(columns), names=["row", "evidence_id", "held_out", "n_tokens", "seen", "logs", "score", "others"])
+        def drained() -> pa.RecordBatch:
+            nonlocal held, size
+            texts = [t for b in held for t in _lists(b.column(1))]
+            logs = gru.score_texts(model.value, layout, texts)
+            rows = np.concatenate([b.column(0).to_numpy() for b in held])
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array([len(t) for t in texts], pa.int64()), pa.array(logs)], names=["row", "n_tokens", "model"])
 
-        id_type = None
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for identifier, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                read = lex.read(text.as_py())
-                held.append((identifier, out, read))
-                tokens += len(read[0])
-                if tokens >= CHUNK_TOKENS:
-                    yield drained(id_type)
+            held.append(batch)
+            size += len(batch.column(1).flatten())
+            if size >= CHUNK_TOKENS:
+                yield drained()
         if held:
-            yield drained(id_type)
+            yield drained()
 
-    scored = stage(rows.mapInArrow(score, (
-        f"row bigint, evidence_id {kind}, held_out boolean, n_tokens bigint, seen bigint, logs double, score double, others array<binary>"
-    )), "lm-scores", compression="zstd")
+    scored = encoded.select("row", "tokens").mapInArrow(score, "row bigint, n_tokens bigint, model double")
     rest = counts.filter(~is_known).select("word", "n")
-    others = scored.select("row", F.explode("others").alias("word")).join(rest, "word").groupBy("row").agg(
+    others = encoded.select("row", F.explode("others").alias("word")).join(rest, "word").groupBy("row").agg(
         F.count(F.lit(1)).alias("more_seen"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs")
     )
     logs = F.coalesce("more_logs", F.lit(0.0))
-    return scored.drop("others").join(others, "row", "left").select(
+    return encoded.select("row", "evidence_id", "held_out", "seen", "logs", "fixed").join(scored, "row").join(others, "row", "left").select(
         "evidence_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more_seen", F.lit(0))).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("logs") + logs - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), (F.col("score") + logs).alias("score"),
+        (F.col("logs") + logs - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), ((F.col("model") + F.col("fixed")) / math.log(10) + logs).alias("score"),
     )

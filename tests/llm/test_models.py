@@ -9,11 +9,11 @@ import numpy as np
 import pytest
 from llm_samples import EMPTY, evidence, sentence, texts
 
-from linkstrata.llm import gru
+from linkstrata.llm import gru, scoring
 from linkstrata.llm.ftrl import Settings, learn, probabilities, weights
 from linkstrata.llm.language import gram_counts, predict_language, temperature
 from linkstrata.llm.quality import score_quality, word_grams
-from linkstrata.llm.scoring import KNOWN_SHARE, SHARD_TOKENS, Lexicon, score_snippets, spelling_class, training_rounds
+from linkstrata.llm.scoring import Lexicon, encode_snippets, score_snippets, spelling_class, training_rounds
 
 
 def prose(n, seed=8):
@@ -123,18 +123,64 @@ def test_language_model_of_nothing(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in score_snippets(evidence(spark, [(i, "a b") for i in alone])).collect())
 
 
-@pytest.mark.parametrize("total", [1, 2 * SHARD_TOKENS, 50 * SHARD_TOKENS])
-def test_every_row_is_learned_from_once(spark, total):
+def test_every_row_is_learned_from_once(spark):
     rows = [(i, f"text {i}") for i in range(500)] + [(None, "no id"), (7, "text 7")]
-    shards = [{(r["shard"], r["snippet"]) for r in part.collect()} for part in training_rounds(evidence(spark, rows, twice=False), total)]
-    texts = Counter(r["snippet"] for part in training_rounds(evidence(spark, rows, twice=False), total) for r in part.collect())
-    assert texts == Counter(t for _, t in rows)
-    assert sum(len({n for n, _ in s}) for s in shards) == len({n for s in shards for n, _ in s}) >= min(50, total // SHARD_TOKENS)
+    table = evidence(spark, rows, twice=False).selectExpr("*", "coalesce(evidence_id, 0) % 5 = 1 AS held_out")
+    lexicon = spark.sparkContext.broadcast(Lexicon([(b"", 0, 502), (b"text", 1, 501)], {spelling_class(b"%d" % i): (20, 20) for i in range(500)}, 1500))
+    encoded = encode_snippets(table, lexicon).cache()
+    assert encoded.select("row").distinct().count() == len(rows) == encoded.count()
+    parts = [part.count() for part in training_rounds(encoded)]
+    assert sum(parts) == encoded.filter("NOT held_out").count() == 402 and min(parts) > 80
+
+
+def slow_score(p, lexicon, text):
+    """The model's natural log probability, token by token in 64 bits."""
+    layout, total, h = lexicon.layout, 0.0, np.zeros(p["candidate"].shape[0])
+    sigmoid = lambda a: 1 / (1 + np.exp(-a))
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    class_of = layout.class_of()
+    for token in lexicon.read(text)[0]:
+        scores = h @ p["classes"] + p["class_bias"]
+        total += scores[class_of[token]] - np.log(np.exp(scores).sum())
+        if token < layout.frequent:
+            low, high = layout.bounds[class_of[token]], layout.bounds[class_of[token] + 1]
+            scores = p["words"][low:high] @ h + p["word_bias"][low:high]
+            total += scores[token - low] - np.log(np.exp(scores).sum())
+        x, k = p["x"][token] @ p["input"], len(h)
+        z, r = sigmoid(x[:k] + h @ p["gates"][:, :k]), sigmoid(x[k:2 * k] + h @ p["gates"][:, k:])
+        h = (1 - z) * h + z * np.tanh(x[2 * k:] + (r * h) @ p["candidate"])
+    return total
+
+
+def test_scores_token_by_token(spark):
+    rows = [*EMPTY, *[(i, t) for i, t, _ in texts(n=24)][:-1], (301, "one long text " * 700)]
+    kept = {}
+
+    def keep(encoded, lexicon, settings):
+        kept["lexicon"] = lexicon.value
+        kept["p"] = train(encoded, lexicon, settings)
+        return kept["p"]
+
+    train, scoring.train_model = scoring.train_model, keep
+    try:
+        found = scoring.score_snippets(evidence(spark, rows, twice=False), known_share=400)
+        got = {r["evidence_id"]: r for r in found.collect()}
+    finally:
+        scoring.train_model = train
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    counts = Counter(w for i, t in rows if fold(i) != 2 for w in lowered(t).encode().split())
+    lexicon = kept["lexicon"]
+    for i, t in rows:
+        words = [w for w in lowered(t).encode().split() if w not in lexicon.place]
+        _, _, _, fixed, others = lexicon.read(t or "")
+        assert sorted(words) == sorted(others)
+        want = (slow_score(kept["p"], lexicon, t or "") + fixed) / math.log(10) + sum(math.log10(counts[w] + 1) for w in others)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-4), i
 
 
 def test_every_known_word_has_a_learned_place():
     words = [(b"w%d" % i, spelling_class(b"w%d" % i), 2 + 3000 // (i + 1)) for i in range(3000)]
-    lexicon = Lexicon([(b"", 0, 500), *words, (b"once", 3, 1)], {3: (1, 1)}, KNOWN_SHARE)
+    lexicon = Lexicon([(b"", 0, 500), *words, (b"once", 3, 1)], {3: (1, 1)}, 1 << 19)
     assert lexicon.layout.frequent == 3001 and 20 < len(lexicon.layout.bounds) < 60
     numbers, _, _, fixed, others = lexicon.read(" ".join(w.decode() for w, _, _ in words))
     assert sorted(numbers) == list(range(3001)) and fixed == 0 and others == []
@@ -183,7 +229,20 @@ def test_state_is_carried_over_windows(params):
     p = {k: v.astype(np.float32) for k, v in params.items()}
     rng = np.random.default_rng(6)
     docs = [np.append(rng.integers(1, 10, n), 0) for n in (50, 3, 0, 17, 200, 8)]
-    whole = gru.score_texts(p, LAYOUT, docs, window=1000)
-    for lanes, window in ((1, 7), (3, 16), (512, 64)):
-        assert np.allclose(gru.score_texts(p, LAYOUT, docs, lanes, window), whole, rtol=1e-4)
+    whole = gru.score_texts(p, LAYOUT, docs, batch=100_000)
+    for lanes, batch in ((1, 7), (3, 48), (512, 64)):
+        assert np.allclose(gru.score_texts(p, LAYOUT, docs, lanes, batch), whole, rtol=1e-4)
     assert np.allclose([gru.score_texts(p, LAYOUT, [d])[0] for d in docs], whole, rtol=1e-4)
+
+
+def test_training_lowers_the_loss_of_long_and_short_texts():
+    rng = np.random.default_rng(8)
+    docs = [np.append(np.tile([1, 2, 3, 4, 5], n)[:n], 0) for n in (*rng.integers(1, 40, 200), 9000)]
+    s = gru.Settings(hidden=6, lanes=16, window=8, segment=64)
+    p = gru.start(LAYOUT, np.zeros(LAYOUT.classes), np.zeros(LAYOUT.frequent), s)
+    trainer = gru.Trainer(p, LAYOUT, s)
+    trainer.learn(docs)
+    trainer.learn([])
+    assert trainer.tokens == sum(map(len, docs)) and trainer.steps > 60
+    before, after = (gru.score_texts(q, LAYOUT, docs).sum() for q in (p, trainer.p))
+    assert after > 0.6 * before and np.array_equal(gru.fit(p, LAYOUT, docs, s)["words"], trainer.p["words"])
