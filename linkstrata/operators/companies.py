@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkstrata import constants as K
 from linkstrata.functions import text as X
-from linkstrata.functions.tables import Slices, checkpointed, first_by, join_path, last_by
+from linkstrata.functions.tables import Slices, checkpointed, first_by, join_path, last_by, work_dir
 from linkstrata.operators.hierarchy import aggregation_parents, ancestor_paths
 from linkstrata.operators.standardize import drop_nodes, singleton_leaves
 
@@ -303,8 +305,8 @@ def collapse_low_coverage(
     """Fold thin leaves into their parents until none is left: (nodes, edges, attachments, removals).
 
     A non-root leaf with at most ``threshold`` distinct direct companies is removed, its pairs go to its parent, and the parent may then be such a leaf. Whether
-    a node goes depends on what lies below it only, so the tree is contracted level by level, deepest first: the pairs of a level are its own and those moved
-    up to it, written once; what stays on a kept node is not touched again. ``round`` counts from the removal of the node's lowest descendants. Pairs that
+    a node goes depends on what lies below it only, so the tree is contracted level by level, deepest first: pairs are stored by level once, and those that
+    are moved up are written once for each move; what stays is not touched again. ``round`` counts from the removal of the node's lowest descendants. Pairs that
     meet on a node become one row (see :func:`merge_moved`), those of children that were removed earlier first.
     """
     extra = attachments
@@ -313,21 +315,20 @@ def collapse_low_coverage(
             extra = extra.withColumn(column, F.lit(None).cast("string"))
     tree = _contraction_tree(nodes, edges)
     known = companies.select("company_id").distinct()
-    own = Slices(nodes.sparkSession, "pairs")
     depths = tree.select(KEY, F.col("id").alias("node_id"), "depth").distinct()
-    path = join_path(own.path, "by-depth")
+    path = join_path(work_dir(nodes.sparkSession), f"pairs-{uuid.uuid4().hex}")
     extra.join(depths, [KEY, "node_id"], "left").write.partitionBy("depth").parquet(path)
     placed = nodes.sparkSession.read.schema(T.StructType([*extra.schema.fields, T.StructField("depth", T.IntegerType())])).parquet(path)
-    settled, gone = Slices(nodes.sparkSession, "settled-pairs"), Slices(nodes.sparkSession, "removals")
-    settled.add(placed.filter("depth IS NULL").select(*extra.columns))
+    merged, gone = Slices(nodes.sparkSession, "merged-pairs"), Slices(nodes.sparkSession, "removals")
+    merged.add(extra.limit(0))
     moved = held_up = last = None
     for depth in range(int(tree.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]), -1, -1):
         here, level = placed.filter(F.col("depth") == depth).select(*extra.columns), tree.filter(F.col("depth") == depth)
         if moved is not None:
-            receiving = moved.select(KEY, "node_id").distinct()
-            mixed = here.join(receiving, [KEY, "node_id"], "left_semi").withColumn("_moved", F.lit(0)).unionByName(moved)
-            here = here.join(receiving, [KEY, "node_id"], "left_anti").unionByName(merge_moved(mixed).select(*extra.columns))
-        here = settled.add(here)
+            receiving = last.select(KEY, F.col("parent_id").alias("node_id"), F.lit(True).alias("_receives")).distinct()
+            own_rows = here.join(receiving, [KEY, "node_id"], "left")
+            mixed = own_rows.filter("_receives").drop("_receives").withColumn("_moved", F.lit(0)).unionByName(moved)
+            here = own_rows.filter("_receives IS NULL").drop("_receives").unionByName(merged.add(merge_moved(mixed).select(*extra.columns)))
         counts = (
             here.join(known, "company_id", "left_semi").select(KEY, F.col("node_id").alias("id"), "company_id").distinct()
             .groupBy(KEY, "id").agg(F.count(F.lit(1)).alias("direct_company_count"))
@@ -351,7 +352,8 @@ def collapse_low_coverage(
     removed = gone.rows()
     if removed.isEmpty():
         return nodes, edges, extra, removed
-    pairs = settled.rows().join(removed.select(KEY, F.col("id").alias("node_id")), [KEY, "node_id"], "left_anti")
+    untouched = placed.select(*extra.columns).join(removed.select(KEY, F.col("parent_id").alias("node_id")).distinct(), [KEY, "node_id"], "left_anti")
+    pairs = untouched.unionByName(merged.rows()).join(removed.select(KEY, F.col("id").alias("node_id")), [KEY, "node_id"], "left_anti")
     # a graph that lost a node has each pair once: the last of repeated rows on nodes that nothing was moved to
     touched = removed.select(KEY).distinct()
     pairs = last_by(pairs.join(touched, KEY, "left_semi"), [KEY, "company_id", "node_id"], ["pos"]).unionByName(pairs.join(touched, KEY, "left_anti"))

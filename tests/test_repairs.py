@@ -86,7 +86,7 @@ def test_chains(spark):
     assert len(left) == 4 and len(guard) == 7
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", (0, 3))
 def test_random_repairs(spark, seed):
     rng = random.Random(seed)
     names = "abc" if seed < 3 else "ab"
