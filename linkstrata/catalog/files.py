@@ -328,14 +328,6 @@ def _(g):
     return P.upsert(old, quiet, [KEY])
 
 
-@query("s19_report_lines")
-def _(g):
-    depth = g.remember("depth", lambda: V.contains_depth(g("nodes"), g("edges")))
-    issues = g.remember("clean_graph_issues", lambda: V.graph_issues(g("nodes"), g("edges"), depth))
-    report = V.graph_report(g("nodes"), g("edges"), issues, depth)
-    return E.report_lines("graph", report, issues)
-
-
 @query("s20_search_plan", "SELECT industry_id, cast(query_no AS bigint) AS query_no, name || ' ' || tail AS query FROM manifest, (VALUES "
        + ", ".join(f"({i + 1}, '{t.split('} ')[1]}')" for i, t in enumerate(K.SEARCH_TEMPLATES)) + ") v(query_no, tail)", ("manifest",))
 def _(g):

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 SOME = (
     "f01_graph_filter_edges", "f03_graph_filter_offline", "j01_ancestor_closure", "j05_branch_role", "j15_company_rollup", "t01_company_page", "m01_standard_edges",
     "m03_build_attachments", "m04_low_coverage_removals", "w03_pair_shortlist", "j10_recall_evidence", "a04_flow_projection", "v_graph_rules",
-    "v_company_attachment_rules", "v_flow_rules", "a13_evidence_table", "m11_update_nodes", "m16_subtree_transplant", "s14_delivery_company_nodes",
+    "v_company_attachment_rules", "v_flow_rules", "a13_evidence_table", "m12_ordered_edges", "m19_merged_nodes", "m09_node_evidence", "m16_manual_forest", "s06_company_csv_charsets", "s19_report_lines", "m11_update_nodes", "m16_subtree_transplant", "s14_delivery_company_nodes",
 )
 NAMES = sorted(contract.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
 
