@@ -175,8 +175,10 @@ def near_duplicate_snippets(evidence: DataFrame, shingle_words: int = 4, max_bit
     distinct = stage(rows.groupBy("fingerprint").agg(F.min("evidence_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     joined = components(fingerprint_links(distinct.select("fingerprint"), max_bits, subtree_rows), "fingerprint", "link")
     members = stage(distinct.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"), "fingerprint-members")
-    named = members.filter("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = members.filter("root IS NOT NULL").join(named, "root").select("fingerprint", "n", "component_id")
+    grouped = members.filter("root IS NOT NULL")
+    named = stage(grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    total = named.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
+    linked = lookup_weighted(grouped, named, ["root"], "members", total).select("fingerprint", "n", "component_id")
     alone = members.filter("root IS NULL AND n > 1").select("fingerprint", "n", F.col("least").alias("component_id"))
     found = lookup_weighted(rows, linked.unionByName(alone), ["fingerprint"], "n", rows.count())
     return found.select(
